@@ -8,12 +8,54 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, pieces, terms
-from lumenfold.runtime import table
+from lumenfold.llm import leaks, names, pieces, terms, vectors
+from lumenfold.runtime import collect_bounded, table
 
 FIELDS = (("dreams", ("tags",)), ("dream_features", ("themes", "objects")))
 
 
+def _dims(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = collect_bounded(table(spark, d, "vector_collections").select("collection_name", "dims"), 10_000, "the table of collections")
+    return {r[0]: r[1] for r in rows if r[0] is not None and r[1]}
+
+
+def _among(vectors_: DataFrame, keys: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """Rows with one of ``keys``; the keys are broadcast only if there are at most ``most`` of them."""
+    keys = keys.select("vec_no").distinct()
+    return vectors_.join(F.broadcast(keys) if keys.count() <= most else keys, "vec_no", "left_semi")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every grouped vector with its group."""
+    return vectors.similar_groups(table(spark, d, "dream_vectors"), _dims(spark, d))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every group with its size, most typical members and tags."""
+    v = table(spark, d, "dream_vectors")
+    return vectors.describe_groups(vectors.similar_groups(v, _dims(spark, d)), v)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_groups(spark, d).select("vec_no", "cluster_no")
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose key is divisible by 50."""
+    v = table(spark, d, "dream_vectors")
+    return vectors.nearest(v, v.filter(F.col("vec_no") % 50 == 0), _dims(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "dream_vectors")
+    n = vectors.nearest(v, _among(v, table(spark, d, "probe_vectors")), _dims(spark, d))
+    return n.select(F.least("vec_no", "neighbour").alias("vec_a"), F.greatest("vec_no", "neighbour").alias("vec_b")).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(table(spark, d, "dream_features"), "journal_id", ["named_characters", "characters"])
+
+
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every term with its counts and verdict."""
     out = []
