@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, names, pieces, terms, vectors
+from lumenfold.llm import leaks, names, pieces, terms, toxic, vectors
 from lumenfold.runtime import collect_bounded, table
 
 FIELDS = (("dreams", ("tags",)), ("dream_features", ("themes", "objects")))
@@ -109,6 +109,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score of each category for each document."""
+    return toxic.score_texts(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of each category by source."""
+    return toxic.rates(p10_scores(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    s = p10_scores(spark, d)
+    pairs = F.explode(F.array(*[F.when(F.col(f"{c}_flag"), F.lit(c)) for c in toxic.CATEGORIES])).alias("category")
+    return s.select("doc_id", pairs).filter(F.col("category").isNotNull())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 

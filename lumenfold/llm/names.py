@@ -42,8 +42,9 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().replace("ß", "ss")) if not unicodedata.combining(c))
 
 
-def tokens_of(name: str) -> tuple[list[str], set[int]]:
-    """Words of a name in natural order, and which of them are marked as shortened by a full stop."""
+def tokens_of(name: str, titled: bool = False) -> tuple[list[str], set[int]]:
+    """Words of a name in natural order, and which of them are marked as shortened by a full stop; without titles
+    unless ``titled``."""
     s = plain(name).replace("’", "'")
     s = re.sub(r"^(.*?)\s*\(([^()]*)\)\s*$", r"\2 \1", s)  # assistant (museum)
     of = re.match(r"^(?:the\s+)?(\S+(?:\s\S+){0,2}) (?:of|for)(?: the)? (\S+)$", s)
@@ -57,7 +58,7 @@ def tokens_of(name: str) -> tuple[list[str], set[int]]:
     raw = [w for w in re.split(r"[\s\-_/]+", s) if w.strip(".,;:'\"")]
     words = [(w.strip(".,;:'\""), w.endswith(".")) for w in raw]
     kept = [(w, d) for w, d in words if w not in FILLERS] or words
-    while len(kept) > 1 and kept[0][0] in TITLES and (len(kept[0][0]) > 1 or len(kept) > 2):
+    while not titled and len(kept) > 1 and kept[0][0] in TITLES and (len(kept[0][0]) > 1 or len(kept) > 2):
         kept = kept[1:]
     return [w for w, _ in kept], {i for i, (w, d) in enumerate(kept) if d and len(w) > 1}
 
@@ -115,10 +116,10 @@ def rewritings(name: str) -> list[tuple[str, str, str]]:
         for i, w in enumerate(words):
             rest = " ".join(sorted([*words[:i], *words[i + 1 :]]))
             out += [("cut", f"{rest}|{w[:n]}.", "full") for n in range(2, min(len(w), 8))]
-    whole = " ".join(words)
-    if len(whole) >= 5 and not cut:
-        out.append(("slip", whole, "both"))
-        out += [("slip", whole[:i] + whole[i + 1 :], "both") for i in range(len(whole)) if i == 0 or whole[i] != whole[i - 1]]
+    for whole in {" ".join(words), " ".join(tokens_of(name, titled=True)[0])}:
+        if len(whole) >= 5 and not cut:
+            out.append(("slip", whole, "both"))
+            out += [("slip", whole[:i] + whole[i + 1 :], "both") for i in range(len(whole)) if i == 0 or whole[i] != whole[i - 1]]
     return list(dict.fromkeys(out))
 
 
@@ -174,13 +175,15 @@ def link_names(df: DataFrame, scope: str, columns: list[str], *, established: in
         for batch in batches:
             out = []
             for a, b, na, nb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb"))):
-                wa, wb = tokens_of(na)[0], tokens_of(nb)[0]
-                if not one_slip(" ".join(wa), " ".join(wb)):
-                    continue
-                odd = [(x, y) for x, y in zip(wa, wb) if x != y] if len(wa) == len(wb) else []
-                if len(wa) == len(wb) and (len(odd) != 1 or min(len(odd[0][0]), len(odd[0][1])) < 3):
-                    continue
-                out.append((a, b, *(odd[0] if odd else ("", ""))))
+                for titled in (False, True):
+                    wa, wb = tokens_of(na, titled)[0], tokens_of(nb, titled)[0]
+                    if not one_slip(" ".join(wa), " ".join(wb)):
+                        continue
+                    odd = [(x, y) for x, y in zip(wa, wb) if x != y] if len(wa) == len(wb) else []
+                    if len(wa) == len(wb) and (len(odd) != 1 or min(len(odd[0][0]), len(odd[0][1])) < 3):
+                        continue
+                    out.append((a, b, *(odd[0] if odd else ("", ""))))
+                    break
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["a", "b", "wa", "wb"])
 
     near = pairs.mapInArrow(differ, "a long, b long, wa string, wb string")
