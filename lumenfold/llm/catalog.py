@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leaks, names, pieces, terms, toxic, vectors
+from lumenfold.llm import leaks, names, pieces, pii, terms, toxic, vectors
 from lumenfold.runtime import collect_bounded, table
 
 FIELDS = (("dreams", ("tags",)), ("dream_features", ("themes", "objects")))
@@ -52,6 +52,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.least("vec_no", "neighbour").alias("vec_a"), F.greatest("vec_no", "neighbour").alias("vec_b")).distinct()
 
 
+def _personal(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    dreams, records = table(spark, d, "dreams"), table(spark, d, "dream_features")
+    texts = dreams.select(F.col("entry_no").alias("row_no"), "text").unionAll(records.select("feature_no", "summary"))
+    net = pii.network(texts.filter(F.length("text") > 0), "text", "row_no", records, "named_characters")
+    return [("dreams", pii.find_personal(dreams, "entry_no", "text", net)), ("dream_features", pii.find_personal(records, "feature_no", "summary", net))]
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders, and what they stand for."""
+    parts = [f.select(F.lit(src).alias("src"), F.col(f.columns[0]).alias("row_no"), "redacted", "items") for src, f in _personal(spark, d)]
+    return parts[0].unionAll(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    item = F.explode(F.array_distinct(F.transform("items", lambda x: F.struct(x["pii_type"].alias("pii_type"), x["value"].alias("value"))))).alias("x")
+    return p3_redacted(spark, d).select("src", "row_no", item).select("src", "row_no", "x.pii_type", "x.value")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.link_names(table(spark, d, "dream_features"), "journal_id", ["named_characters", "characters"])
 
