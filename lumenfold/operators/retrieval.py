@@ -40,7 +40,7 @@ def check_model(collections: DataFrame, name: str, model: str) -> None:
         raise ValueError(f"collection {name} was embedded by {got[0][0]}, not {model}")
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", measure: str = "l2", drop_self: bool = True, block_mb: int = 64) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", measure: str = "l2", drop_self: bool = True, block_mb: float = 64) -> DataFrame:
     """The ``k`` nearest rows of the corpus for each query: ``query_id, <key>, rank, score``.
 
     ``l2`` is the squared distance, ``cosine`` the similarity; rounded to 9 digits before ranking, ties by key. The
@@ -49,7 +49,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", v
     """
     q = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
     n, dims = q.agg(F.count("*"), F.max(F.size("_q"))).first()
-    blocks = max(1, math.ceil((n or 0) * (8 * (dims or 0) + 32) / (block_mb << 20)))
+    blocks = max(1, math.ceil((n or 0) * (8 * (dims or 0) + 32) / (block_mb * (1 << 20))))
     c = corpus.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"))
     score = squared_distance(F.col("_q"), F.col("_v")) if measure == "l2" else cosine(F.col("_q"), F.col("_v"))
     best = F.asc("score") if measure == "l2" else F.desc("score")

@@ -58,7 +58,7 @@ def parse(raw: DataFrame, column: str) -> DataFrame:
     """Raw JSON texts as typed records with ``errors``; a record is good if ``errors`` is empty."""
     rows = raw.withColumn("_r", F.from_json(column, schema())).select(*raw.columns, "_r.*")
     rows = normalize_lists(rows)
-    bad = F.when(F.from_json(F.col(column), schema()).isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.array_distinct(F.concat(raw_problems(F.col(column)), problems())))
+    bad = F.when(F.json_object_keys(F.col(column)).isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.array_distinct(F.concat(raw_problems(F.col(column)), problems())))
     return rows.withColumn("errors", bad)
 
 
