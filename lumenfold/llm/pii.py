@@ -447,6 +447,10 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
                 m = re.search(r"(?<![\w.])[^\W\d_]\. $", text[max(0, words[0][0] - 3) : words[0][0]])
                 if m:
                     words.insert(0, (words[0][0] - 3 + m.start() if words[0][0] >= 3 else m.start(), words[0][0] - 1))
+            if words and re.fullmatch(r"[^\W\d_]\.", text[words[0][0] : words[0][1]]):  # a known given name before it
+                m = re.search(r"([^\W\d_]+) $", text[max(0, words[0][0] - 30) : words[0][0]])
+                if m and m[1].lower() in given:
+                    words.insert(0, (words[0][0] - len(m[0]), words[0][0] - 1))
             if not 2 <= len(words) <= 4:
                 continue
             x, y = words[0][0], words[-1][1]

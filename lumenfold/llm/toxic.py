@@ -160,12 +160,13 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
             score = np.full(len(docs), -20.0)
             for k in range(folds):
                 own = np.flatnonzero(kept & (fold != k))
+                own = own if len(own) else np.flatnonzero(fold != k)
                 w, bias = fit_nnpu(_common([features(pick[i]) for i in own]), u_rows, weight, p0, steps=40)
                 for i in np.flatnonzero(fold == k):
                     v = [float(w[features(s)].sum() + bias) for s in docs[i]]
                     score[i] = max(v)
                     pick[i] = docs[i][int(np.argmax(v))]
-            kept = score > min(0.0, float(np.quantile(score, doubt)))
+            kept = score >= min(0.0, float(np.quantile(score, doubt)))
             found = float((weight * (u_rows.dot(w) + bias > 0)).sum() / weight.sum())
             p0 = float(np.clip(found, prior / 10, 0.2)) or prior
         w, bias = fit_nnpu(_common([features(pick[i]) for i in np.flatnonzero(kept)]), u_rows, weight, p0)
