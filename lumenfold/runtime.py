@@ -32,8 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Unused path below the shared folder."""
-    return f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
+    """Unused path below the shared folder, in a folder of this application (see ``clear``)."""
+    return f"{shared_dir(spark)}/lumenfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has staged; results not yet written can't be read afterwards."""
+    delete_path(spark, f"{shared_dir(spark)}/lumenfold/{spark.sparkContext.applicationId}")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
