@@ -512,7 +512,10 @@ def network(samples: DataFrame, text: str, key: str, names: DataFrame, name_colu
     """Network fitted to at most about ``most_texts`` texts and ``most_names`` names, both chosen by a hash."""
     total = samples.count()
     pick = F.pmod(F.xxhash64(F.lit("pii"), key), F.lit(1 << 20)) < int(min(1.0, most_texts / max(1, total)) * (1 << 20))
-    texts = samples.filter(pick).select(F.col(text).alias("t")).limit(2 * most_texts).toArrow().column(0).to_pylist()
+    # a window of a long text, from a place that a hash names: the sample is bounded by characters too
+    start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 4000, F.lit(1)).cast("long")).cast("int") + 1
+    window = F.substring(F.col(text), start, F.lit(4000))
+    texts = samples.filter(pick).select(window.alias("t")).limit(2 * most_texts).toArrow().column(0).to_pylist()
     flat = names.select(F.explode(name_column).alias("n")).filter(F.col("n").contains(" ") & (F.length("n") < 60)).groupBy("n").count()
     known = flat.filter(F.col("count") > 1).orderBy(F.xxhash64("n")).limit(most_names).select("n").toArrow().column(0).to_pylist()
     return fit([t for t in texts if t], known)

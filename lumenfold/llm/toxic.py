@@ -134,8 +134,9 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
     A label holds for a document, but a sentence earns it: in each round the best sentence of each positive document,
     as a scorer trained without this document sees it, is its positive example; all sentences of the unlabelled texts
     are unlabelled; and the prior of the next round is the share of those found positive. As raters err, documents in
-    which the other documents' scorer finds nothing are left out, at most a share of ``doubt``. The threshold is the
-    one with the best F1 over the labelled documents.
+    which the other documents' scorer finds nothing are left out, at most a share of ``doubt``, and those whose
+    sentence most rated documents hold without this label. The threshold is low among those of the best F1 over the
+    labelled documents, but above what a text without any known feature scores.
     """
     import numpy as np
 
@@ -144,6 +145,14 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
     uniq = Counter(" ".join(s) for d in u_docs for s in d)
     u_rows = Rows([features(s.split(" ")) for s in uniq])
     weight = np.array([float(n) for n in uniq.values()])
+    rated: Counter[tuple[str, str]] = Counter()
+    seen: Counter[tuple[str, str]] = Counter()
+    for d, (_, y) in zip(l_docs, labelled):
+        for x in {" ".join(q) for q in d}:
+            for c in CATEGORIES:
+                if y.get(c) is not None:
+                    rated[c, x] += 1
+                    seen[c, x] += y[c] > 0.5
     out: dict = {}
     told: Counter[str] = Counter()
     for c in CATEGORIES:
@@ -167,6 +176,9 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
                     score[i] = max(v)
                     pick[i] = docs[i][int(np.argmax(v))]
             kept = score >= min(0.0, float(np.quantile(score, doubt)))
+            # a sentence that stands in several rated documents, most of them without this label, did not earn it
+            kept &= np.array([seen[c, x] * 2 >= rated[c, x] or rated[c, x] < 3 for x in (" ".join(q) for q in pick)])
+            kept = kept if kept.any() else np.ones(len(docs), bool)
             found = float((weight * (u_rows.dot(w) + bias > 0)).sum() / weight.sum())
             p0 = float(np.clip(found, prior / 10, 0.2)) or prior
         w, bias = fit_nnpu(_common([features(pick[i]) for i in np.flatnonzero(kept)]), u_rows, weight, p0)
@@ -176,7 +188,7 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
         grid = np.arange(-4, 6.1, 0.25)
         f1 = [2 * ((top >= t) & (y == 1)).sum() / max(1, (top[known] >= t).sum() + (y == 1).sum()) for t in grid]
         good = grid[np.array(f1) >= max(f1) - 0.005]
-        out[c] = (w.astype(np.float32), bias, float(np.median(good)))
+        out[c] = (w.astype(np.float32), bias, max(float(np.quantile(good, 0.35)), bias + 1.2))
         told.update(x for i in np.flatnonzero(kept) for x in pick[i] if "*" not in x)
     known: dict[int, list[str]] = {}
     for x, _ in told.most_common(5000):
@@ -197,7 +209,13 @@ def unmask(words: list[str], known: dict[int, list[str]]) -> list[str]:
     return out
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabelled: int):
+def _window(text: str, chars: int):
+    """At most ``chars`` characters of a text, from a place that a hash of it names; for training only."""
+    start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - chars, F.lit(1)).cast("long")).cast("int") + 1
+    return F.substring(F.col(text), start, F.lit(chars)).alias(text)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabelled: int, most_chars: int):
     spark = docs.sparkSession
     ratings = labels.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES])
     n_labelled, n_docs = ratings.count(), docs.count()
@@ -206,23 +224,25 @@ def _fitted(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabel
     ratings = ratings.filter(some)
     ratings = F.broadcast(ratings) if n_labelled <= 1_000_000 else ratings
     text = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rated = text.join(ratings, "doc_id").select("text", *CATEGORIES).limit(2 * most_labelled).toArrow().to_pylist()
-    plain = text.filter(few).select("text").limit(2 * most_unlabelled).toArrow().column(0).to_pylist()
+    # what reaches the driver is bounded: by rows, and by characters a row; a label needs its whole text
+    rated = text.filter(F.length("text") <= most_chars).join(ratings, "doc_id").select("text", *CATEGORIES).limit(2 * most_labelled).toArrow().to_pylist()
+    plain = text.filter(few).select(_window("text", most_chars // 10)).limit(2 * most_unlabelled).toArrow().column(0).to_pylist()
     rated = sorted(((r["text"], {c: r[c] for c in CATEGORIES}) for r in rated), key=lambda x: x[0])
     return spark.sparkContext.broadcast(train(rated, sorted(plain)))  # bounded: 3 x 2^18 weights
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, most_unlabelled: int = 8_000) -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, most_unlabelled: int = 8_000, most_chars: int = 40_000) -> DataFrame:
     """A score for each category of each document, and whether it applies.
 
-    The classifiers are fitted to at most about ``most_labelled`` rated documents and ``most_unlabelled`` unlabelled
-    ones, chosen by a hash of the key; every document is scored in whole, by its most telling sentence.
+    The classifiers are fitted to at most about ``most_labelled`` rated documents of up to ``most_chars`` characters and
+    windows of a tenth of that from ``most_unlabelled`` others, chosen by a hash of the key; every document is scored in
+    whole, by its most telling sentence.
 
     Null and empty texts score 0; ratings that are null or of unknown documents are not used; a category with fewer
     than 3 confirmed documents scores 0 everywhere; documents that occur twice come out twice; no documents, no rows.
     Result: ``doc_id, source, <category> double, <category>_flag boolean``.
     """
-    model = _fitted(docs, labels, most_labelled, most_unlabelled)
+    model = _fitted(docs, labels, most_labelled, most_unlabelled, most_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -231,7 +251,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_0
         use = [c for c in CATEGORIES if fitted[c]]
         if use:
             w = np.stack([fitted[c][0] for c in use], axis=1)
-            margin = 3.0
+            margin = 2.5
             shift = np.array([fitted[c][1] - fitted[c][2] for c in use])
         seen: dict[str, object] = {}
         for batch in batches:
@@ -245,7 +265,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_0
                     v = seen.get(key)
                     if v is None:
                         v = w[features(unmask(s, fitted["known"]))].sum(axis=0) + shift
-                        v = np.minimum(v, 2 * v + margin - v.max())  # far behind another category: rather that one
+                        v = v - 5.0 * (v < v.max() - margin)  # far behind another category: rather that one
                         if len(seen) < 100_000:
                             seen[key] = v
                     best = v if best is None else np.maximum(best, v)
