@@ -180,7 +180,7 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
             kept &= np.array([seen[c, x] * 2 >= rated[c, x] or rated[c, x] < 3 for x in (" ".join(q) for q in pick)])
             kept = kept if kept.any() else np.ones(len(docs), bool)
             found = float((weight * (u_rows.dot(w) + bias > 0)).sum() / weight.sum())
-            p0 = float(np.clip(found, prior / 10, 0.2)) or prior
+            p0 = float(np.clip(found, prior / 10, 0.2))
         w, bias = fit_nnpu(_common([features(pick[i]) for i in np.flatnonzero(kept)]), u_rows, weight, p0)
         top = np.array([max((float(w[features(s)].sum() + bias) for s in d), default=-20.0) for d in l_docs])
         y = np.array([np.nan if m is None else float(m > 0.5) for m in marks])

@@ -38,18 +38,18 @@ def test_normal_words(text, words):
     assert " ".join(toxic.normal_words(text)) == words
 
 
-def texts_and_labels(n=240):
+def texts_and_labels(n=1200):
     rng = random.Random(1)
     plain = ["The clock showed nine.", "We walked to the old harbour.", "My sister painted a door.", "Rain fell upward all night.", "Nobody said a word."]
     bad = {"abusive": ["You are a worthless fool and should vanish."], "hateful": ["All hill people are vermin to be driven out."], "sexual": ["They had wild sex on the floor."]}
     docs, labels = [], []
     for i in range(n):
         s = [rng.choice(plain) for _ in range(5)]
-        kind = list(bad)[i % 3] if i % 4 == 0 else None
+        kind = list(bad)[i % 3] if i % 20 == 0 else None
         if kind:
             s.insert(rng.randrange(5), rng.choice(bad[kind]))
         docs.append((i, " ".join(s), "s" if i % 2 else None, kind))
-        labels.append((i, "r", int(kind == "abusive"), int(kind == "hateful"), int(kind == "sexual") if i % 7 else None))
+        labels.append((i, "r", int(kind == "abusive"), int(kind == "hateful"), int(kind == "sexual") if i % 20 == 0 or i % 7 else None))
     return docs, labels
 
 
@@ -61,7 +61,7 @@ def test_classifier(spark):
     got = {r.doc_id: {c for c in toxic.CATEGORIES if r[f"{c}_flag"]} for r in scored.collect()}
     wrong = sum(got[d[0]] != ({d[3]} if d[3] else set()) for d in docs)
     assert wrong <= 0.03 * len(docs) and got[900] == got[901] == set()
-    assert {r.source: r.documents for r in toxic.rates(scored).collect()} == {None: 120, "s": 122}
+    assert {r.source: r.documents for r in toxic.rates(scored).collect()} == {None: 600, "s": 602}
     assert toxic.score_texts(df.limit(0), lab).count() == 0
     assert toxic.score_texts(df, lab.limit(0)).filter("abusive > 0").count() == 0
 
