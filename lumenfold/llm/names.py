@@ -23,8 +23,8 @@ NICKNAMES = {
     "gerald": "gerry jerry", "gregory": "greg", "hamza": "hamzi", "harold": "harry hal", "henry": "harry hank hal", "ingrid": "inga inge", "isabella": "izzy bella isa ella belle", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "johannes": "hans hannes jo johann jan", "john": "jack johnny jon",
     "jonathan": "jon", "joseph": "joe joey jo", "josephine": "jo josie josy josi fifi", "joshua": "josh", "katherine": "kate katie kathy kat kitty kath", "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len lenny leo", "leopold": "leo poldi pold", "lubomir": "lubo lubos mirek", "margaret": "maggie meg peggy margie marge greta rita madge daisy",
     "matthew": "matt", "michael": "mike mick mickey micky mikey", "nathaniel": "nat nate", "nicholas": "nick nicky nico niko klaus claus", "ottilie": "otti tilly tilli odile ottie", "patricia": "pat patty trish", "patrick": "pat paddy", "peter": "pete", "philip": "phil", "priya": "pri", "quentin": "quint quin", "rebecca": "becky becca",
-    "renee": "nee ren", "richard": "dick rick ricky rich richie", "robert": "bob bobby rob robbie bert", "ronald": "ron ronnie", "samantha": "sam", "samuel": "sam sammy", "sarah": "sally", "stephen": "steve", "susannah": "sue susie susan suzy suzie sukie zuzu susi", "susan": "sue susie suzy", "takeshi": "take tak", "theodore": "ted teddy theo", "theresa": "terry tess",
-    "thomas": "tom tommy", "timothy": "tim", "ulrike": "uli ulli rike ulla", "victoria": "vicky vicki tori vic", "walter": "walt wally", "wanjiru": "shiru ciru", "william": "will bill billy willy liam willie", "yusuf": "yus joe", "zuzana": "zuzka zuza zuzi susie",
+    "renee": "nee ren", "richard": "dick rick ricky rich richie", "robert": "bob bobby rob robbie bert", "ronald": "ron ronnie", "samantha": "sam", "samuel": "sam sammy", "sarah": "sally", "stephen": "steve", "susannah": "sue susie susan suzy suzie sukie susi", "susan": "sue susie suzy", "takeshi": "take tak", "theodore": "ted teddy theo", "theresa": "terry tess",
+    "thomas": "tom tommy", "timothy": "tim", "ulrike": "uli ulli rike ulla", "victoria": "vicky vicki tori vic", "walter": "walt wally", "wanjiru": "shiru ciru", "william": "will bill billy willy liam willie", "yusuf": "yus joe", "zuzana": "zuzka zuza zuzi",
 }
 #: Forms of address, in several languages.
 TITLES = set("mr mrs ms miss mx dr prof professor sir madam mme mlle m monsieur herr frau fraulein senor senora sr sra don dona rev fr".split())

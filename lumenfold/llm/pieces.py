@@ -174,12 +174,13 @@ def encoder(path: str, pattern: str):
 BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, classes: int = 48, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str = BYTE_PATTERN) -> DataFrame:
+def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, classes: int = 48, filler: int = 8, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str = BYTE_PATTERN) -> DataFrame:
     """Assign every text, measured in tokens, to a container of ``capacity`` tokens.
 
     Harmonic packing: a length in (capacity/(k+1), capacity/k] belongs to class k, whose containers hold exactly k
     pieces, so that every scan task fills its containers by itself. Lengths up to capacity/(classes+1) are put
-    next to each other until the container is full. What a task leaves unfilled, fewer than ``classes`` squared
+    next to each other until the container is full. A piece of a class above ``filler`` first goes where a full container
+    of a class up to ``filler`` of this task has room, most room first. What a task leaves unfilled, fewer than ``classes`` squared
     pieces, is filled again by class, and the rest of that by decreasing size into the first container with room.
     Only a text longer than a container is split, into full containers and one remainder that is packed like others.
 
@@ -193,6 +194,8 @@ def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, clas
         return min(capacity // n, classes + 1) if n else 0
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import heapq
+
         from pyspark import TaskContext
 
         enc = encoder(tokenizer, pattern)
@@ -200,6 +203,7 @@ def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, clas
         made = 0
         waiting: dict[int, list] = {}
         used: dict[int, int] = {}
+        spare: list[tuple[int, str]] = []
         names = ["container", "cls", "key", "piece_no", "first_token", "n_tokens"]
         types = [pa.string(), pa.int32(), None, pa.int32(), pa.int64(), pa.int32()]
 
@@ -219,7 +223,12 @@ def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, clas
                 n -= first
                 c = size_class(n)
                 row = (k, piece, first, n)
-                if c > classes:  # small ones, side by side
+                if c > filler and spare and -spare[0][0] >= n:  # room that a container of few pieces leaves
+                    room, where = heapq.heappop(spare)
+                    out.append((where, c, *row))
+                    if -room - n >= 16:
+                        heapq.heappush(spare, (room + n, where))
+                elif c > classes:  # small ones, side by side
                     if used.get(c, 0) + n > capacity:
                         out += [(f"s{task}-{made}", c, *r) for r in waiting[c]]
                         made, waiting[c], used[c] = made + 1, [], 0
@@ -228,7 +237,11 @@ def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, clas
                 elif c:
                     waiting.setdefault(c, []).append(row)
                     if len(waiting[c]) == c:
-                        out += [(f"h{task}-{made}", c, *r) for r in waiting.pop(c)]
+                        rows = waiting.pop(c)
+                        out += [(f"h{task}-{made}", c, *r) for r in rows]
+                        room = capacity - sum(r[3] for r in rows)
+                        if c <= filler and room >= 16:
+                            heapq.heappush(spare, (-room, f"h{task}-{made}"))
                         made += 1
             yield batch_of(out, key_type)
         if key_type is not None:
