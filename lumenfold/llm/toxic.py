@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import zlib
@@ -128,7 +129,7 @@ def _common(lists: list[list[int]], least: int = 2) -> Rows:
     return Rows([[f for f in x if n[f] >= least] for x in lists])
 
 
-def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *, rounds: int = 2, folds: int = 3, prior: float = 0.005, doubt: float = 0.4) -> dict:
+def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *, rounds: int = 2, folds: int = 3, prior: float = 0.005, doubt: float = 0.4, categories: tuple[str, ...] = CATEGORIES) -> dict:
     """One scorer a category from confirmed documents and unlabelled text.
 
     A label holds for a document, but a sentence earns it: in each round the best sentence of each positive document,
@@ -155,7 +156,7 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
                     seen[c, x] += y[c] > 0.5
     out: dict = {}
     told: Counter[str] = Counter()
-    for c in CATEGORIES:
+    for c in categories:
         marks = [y.get(c) for _, y in labelled]
         docs = [d for d, y in zip(l_docs, marks) if y is not None and y > 0.5 and d]
         if len(docs) < 3 or not uniq:
@@ -190,11 +191,17 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
         good = grid[np.array(f1) >= max(f1) - 0.005]
         out[c] = (w.astype(np.float32), bias, max(float(np.quantile(good, 0.35)), bias + 1.2))
         told.update(x for i in np.flatnonzero(kept) for x in pick[i] if "*" not in x)
+    out["told"] = told
+    return out
+
+
+def _joined(parts: list[dict]) -> dict:
+    """Scorers of all categories, and the words of their examples by length, the most frequent first."""
+    told: Counter[str] = sum((p["told"] for p in parts), Counter())
     known: dict[int, list[str]] = {}
-    for x, _ in told.most_common(5000):
+    for x, _ in sorted(told.items(), key=lambda v: (-v[1], v[0]))[:5000]:
         known.setdefault(len(x), []).append(x)
-    out["known"] = known
-    return out
+    return {c: p[c] for p in parts for c in p if c != "told"} | {"known": known}
 
 
 def unmask(words: list[str], known: dict[int, list[str]]) -> list[str]:
@@ -228,7 +235,17 @@ def _fitted(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabel
     rated = text.filter(F.length("text") <= most_chars).join(ratings, "doc_id").select("text", *CATEGORIES).limit(2 * most_labelled).toArrow().to_pylist()
     plain = text.filter(few).select(_window("text", most_chars // 10)).limit(2 * most_unlabelled).toArrow().column(0).to_pylist()
     rated = sorted(((r["text"], {c: r[c] for c in CATEGORIES}) for r in rated), key=lambda x: x[0])
-    return spark.sparkContext.broadcast(train(rated, sorted(plain)))  # bounded: 3 x 2^18 weights
+    sample = spark.sparkContext.broadcast((rated, sorted(plain)))  # bounded by the parameters
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*sample.value, categories=(c,)))], pa.binary())], ["model"])
+
+    # one task a category
+    jobs = spark.createDataFrame([(c,) for c in CATEGORIES], "category string").repartitionByRange(len(CATEGORIES), "category")
+    parts = [pickle.loads(bytes(r[0])) for r in jobs.mapInArrow(fit, "model binary").collect()]
+    return spark.sparkContext.broadcast(_joined(parts))  # bounded: 3 x 2^18 weights
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, most_unlabelled: int = 8_000, most_chars: int = 40_000) -> DataFrame:
