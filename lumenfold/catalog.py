@@ -41,6 +41,9 @@ def _iso(c: str) -> str:
 _DATED = f"(SELECT *, {_iso('date_sort')} AS d FROM dreams)"
 
 
+_SQUASH = r"trim(regexp_replace(text, '[\s\x{{A0}}\x{{2028}}\x{{85}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+
+
 # --- statistics --------------------------------------------------------------------------------------------------
 
 for _f, _name, _trunc, _label in (("M", "month", "month", "month(s) || '-' || year(s)"), ("Q", "quarter", "quarter", "'Q' || quarter(s) || '-' || year(s)"), ("Y", "year", "year", "CAST(year(s) AS VARCHAR)")):
@@ -350,13 +353,29 @@ def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
     return clusters.quality(e)
 
 
-@query()
+_TERMS = f"""WITH w AS (SELECT feature_no, tone, list_filter(regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in STOP)})) AS w FROM dream_features WHERE summary IS NOT NULL AND tone IS NOT NULL),
+t AS (SELECT feature_no, tone, unnest(w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END) AS term FROM w),
+n AS (SELECT count(*)::DOUBLE AS n FROM w), tf AS (SELECT feature_no, tone, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT n FROM n)),
+r AS (SELECT tf.*, tf * (ln((1 + (SELECT n FROM n)) / (1.0::DOUBLE + df)) + 1) AS x FROM tf JOIN df USING (term)),
+v AS (SELECT tone, term, x / sqrt(sum(x * x) OVER (PARTITION BY feature_no)) AS v FROM r),
+c AS (SELECT tone, term, sum(v) AS s FROM v GROUP BY ALL), g AS (SELECT term, sum(s) AS a FROM c GROUP BY term), z AS (SELECT tone, count(*) AS size FROM w GROUP BY tone),
+y AS (SELECT c.tone, c.term, round(s / size - a / (SELECT n FROM n), 9) AS gain FROM c JOIN g USING (term) JOIN z USING (tone))
+SELECT tone, term, CAST(rank AS INT) AS rank, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY tone ORDER BY gain DESC, term) AS rank FROM y WHERE gain > 0) WHERE rank <= 8"""
+
+
+@query(_TERMS)
 def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Telling terms of each tone, from summaries; tested against a brute-force TF-IDF on a small fixture."""
+    """Telling terms of each tone, from summaries."""
     f = table(spark, d, "dream_features").filter(F.col("summary").isNotNull() & F.col("tone").isNotNull())
     return clusters.distinctive_terms(clusters.term_weights(f, "feature_no", "summary", stop_words=STOP), f, key="feature_no", label="tone")
 
 
+@query("SELECT doc_id, replace(replace(replace(replace(replace(substr(" + _SQUASH + ", 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS excerpt FROM documents")
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
 @query()
 def clustered_map(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in clustering with two map coordinates."""
@@ -441,7 +460,6 @@ def run_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- documents ---------------------------------------------------------------------------------------------------
 
-_SQUASH = r"trim(regexp_replace(text, '[\s\x{{A0}}\x{{2028}}\x{{85}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
 
 
 @query(f"SELECT entry_no, CASE WHEN length(c) > 300 THEN rtrim(substr(c, 1, 300)) || '...' ELSE c END AS preview, CASE WHEN len(w) > 25 THEN array_to_string(w[1:25], ' ') || '...' ELSE array_to_string(w, ' ') END AS words, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '[TRUNCATED]' ELSE text END AS cut FROM (SELECT entry_no, text, {_SQUASH} AS c, string_split({_SQUASH}, ' ') AS w FROM dreams)")

@@ -82,3 +82,11 @@ def markdown_cell(text: Column) -> Column:
 
 def contains_passage(text: Column, passage: str) -> Column:
     return F.contains(text, F.lit(passage))
+
+
+def excerpt(text: Column, most: int = 300) -> Column:
+    """Compact text of at most ``most`` characters, safe inside HTML."""
+    c = F.substring(compact(text), 1, most)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
