@@ -127,10 +127,9 @@ def common_words(spark: SparkSession, d: str) -> DataFrame:
 _HOLD = r"(coalesce(date_precision IN ('month', 'year', 'unknown'), false) OR coalesce(regexp_matches(date, '^\s*(0{1,2}/\d{1,2}/\d{2,4}|\d{1,2}/0{1,2}/\d{2,4}|\d{1,2}/\d{1,2}/0{2,4})\s*$'), false))"
 
 
-@query(f"SELECT journal_id, trim(dream_id) AS dream_id, count(*) AS times, string_agg(CAST(entry_no AS VARCHAR), ',' ORDER BY entry_no) AS rows, (SELECT array_to_string(list_sort(list_distinct(list(date))), ',')) AS dates, bool_or({_HOLD}) AS has_placeholder FROM dreams WHERE trim(dream_id) <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"SELECT * FROM (SELECT journal_id, trim(dream_id) AS dream_id, entry_no, date, count(*) OVER w AS times, min(entry_no) OVER w AS first_row, bool_or({_HOLD}) OVER w AS has_placeholder FROM dreams WHERE trim(dream_id) <> '' WINDOW w AS (PARTITION BY journal_id, trim(dream_id))) WHERE times > 1")
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.duplicate_ids(table(spark, d, "dreams"))
-    return q.withColumn("dates", F.array_join(F.array_sort(F.split("dates", ",")), ","))
+    return quality.duplicate_ids(table(spark, d, "dreams"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text)")
@@ -403,7 +402,7 @@ def entity_ids(spark: SparkSession, d: str) -> DataFrame:
     return entities.with_ids(entities.roll_up(table(spark, d, "dream_features")))
 
 
-@query(f"SELECT journal_id, feature_no, dream_id, CAST(day AS VARCHAR) AS day, identity, name, CAST(row_number() OVER (PARTITION BY journal_id, identity ORDER BY day ASC NULLS LAST, feature_no) AS INT) AS nth FROM ({_MENTION})")
+@query(f"SELECT journal_id, feature_no, dream_id, CAST(day AS VARCHAR) AS day, identity, name, CAST(row_number() OVER (PARTITION BY journal_id, identity ORDER BY day ASC NULLS LAST, feature_no) AS BIGINT) AS nth FROM ({_MENTION})")
 def entity_history(spark: SparkSession, d: str) -> DataFrame:
     return entities.history(table(spark, d, "dream_features")).withColumn("day", F.col("day").cast("string"))
 

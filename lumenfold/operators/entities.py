@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold.functions import dates, text
+from lumenfold.operators.ordered import with_running_sum
 
 
 def mentions(records: DataFrame, scope: str = "journal_id", order: str = "feature_no", key: str = "dream_id") -> DataFrame:
@@ -36,6 +36,12 @@ def with_ids(persons: DataFrame, scope: str = "journal_id") -> DataFrame:
 
 
 def history(records: DataFrame, scope: str = "journal_id", order: str = "feature_no", key: str = "dream_id") -> DataFrame:
-    """Mentions of each person in order, numbered."""
-    w = Window.partitionBy(scope, "identity").orderBy(F.col("day").asc_nulls_last(), order)
-    return mentions(records, scope, order, key).withColumn("nth", F.row_number().over(w))
+    """Mentions of each person in order of date, then record, undated ones last, numbered from 1.
+
+    The numbers are running sums over chunks of a month, so that a name in a third of all records is no single task.
+    """
+    shift = 1 << 40
+    m = mentions(records, scope, order, key)
+    day = F.coalesce(F.date_diff("day", F.lit("0001-01-01").cast("date")), F.lit(4_000_000)).cast("long")
+    m = m.withColumn("_person", F.concat_ws("\0", scope, "identity")).withColumn("_at", day * shift + F.col(order))
+    return with_running_sum(m, "_person", "_at", F.lit(1), "nth", chunk=31 * shift).drop("_person", "_at")

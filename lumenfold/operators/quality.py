@@ -12,10 +12,11 @@ from lumenfold.operators.ordered import with_neighbour, with_running_sum
 
 
 def duplicate_ids(entries: DataFrame, journal: str = "journal_id", key: str = "dream_id", order: str = "entry_no") -> DataFrame:
-    """Ids of a journal that stand in two or more rows; trimmed, null and empty ids skipped."""
-    rows = entries.select(journal, F.trim(key).alias("id"), F.col(order).alias("n"), "date", dates.placeholder(F.col("date"), F.col("date_precision")).alias("p")).filter(F.col("id") != "")
-    a = rows.groupBy(journal, "id").agg(F.count("*").alias("times"), F.array_sort(F.collect_list(F.struct("n", "date"))).alias("all"), F.bool_or("p").alias("has_placeholder")).filter(F.col("times") > 1)
-    return a.select(journal, F.col("id").alias(key), "times", F.array_join(F.transform("all", lambda x: x["n"].cast("string")), ",").alias("rows"), F.array_join(F.array_distinct(F.transform("all", lambda x: x["date"])), ",").alias("dates"), "has_placeholder")
+    """Every row whose id stands in two or more rows of its journal: with their number, the first of them, and whether
+    any has a placeholder date. Ids are trimmed; null and empty ones skipped."""
+    rows = entries.select(journal, F.trim(key).alias(key), order, "date", dates.placeholder(F.col("date"), F.col("date_precision")).alias("_p")).filter(F.col(key) != "")
+    a = rows.groupBy(journal, key).agg(F.count("*").alias("times"), F.min(order).alias("first_row"), F.bool_or("_p").alias("has_placeholder")).filter(F.col("times") > 1)
+    return rows.join(a, [journal, key]).select(journal, key, order, "date", "times", "first_row", "has_placeholder")
 
 
 def date_blocks(entries: DataFrame, journal: str = "journal_id", order: str = "entry_no") -> DataFrame:
