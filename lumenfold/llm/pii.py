@@ -411,6 +411,33 @@ def _best_paths(scores: list, trans) -> list:
     return [path[: lens[i], i] for i in range(n)]
 
 
+def decode_bounded(net: dict, texts: list[str], most: int = 1_000_000, around: int = 1000) -> list[list[tuple[int, int, str]]]:
+    """``decode`` for texts of any length and number: at most about ``most`` characters are held at a time.
+
+    A longer text goes in slices that see ``around`` characters of their neighbours; a span counts where it begins.
+    """
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    part: list[tuple[int, int, int, int, str]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal part, size
+        for (i, lo, a, b, _), spans in zip(part, decode(net, [p[4] for p in part])):
+            out[i] += [(lo + x, lo + y, t) for x, y, t in spans if a <= lo + x < b]
+        part, size = [], 0
+
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), most):
+            b = min(a + most, len(t))
+            lo, hi = max(0, a - around), min(len(t), b + around)
+            if part and size + hi - lo > most:
+                flush()
+            part.append((i, lo, a, b, t[lo:hi]))
+            size += hi - lo
+    flush()
+    return out
+
+
 def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Exact ends of what the network found: the form of its type that it lies in, else whole words; names without
     titles and without a word before a known given name; what cannot be of its type is dropped."""
@@ -537,7 +564,7 @@ def find_personal(df: DataFrame, key: str, text: str, net: dict) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                spans = [settle(t or "", s, model.value["given"]) for t, s in zip(texts, decode(model.value, [t or "" for t in texts]))]
+                spans = [settle(t or "", s, model.value["given"]) for t, s in zip(texts, decode_bounded(model.value, [t or "" for t in texts]))]
                 items = [[{"pii_type": t, "value": x[a:b], "first_char": a, "end_char": b} for a, b, t in s] for x, s in zip(texts, spans)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([redact(t, s) if t else t for t, s in zip(texts, spans)], pa.string()), pa.array(items, item)], ["key", "redacted", "items"])
 

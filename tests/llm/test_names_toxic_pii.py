@@ -143,6 +143,12 @@ def test_whole_texts_and_round_trip(spark, net):
     assert pii.find_personal(df.limit(0), "n", "text", net).count() == 0
 
 
+def test_slices_of_long_texts_agree(net):
+    t = "The bell rang. I told Priya Hulaquist about it. We walked on. " * 30
+    whole = pii.decode(net, [t])[0]
+    assert whole and pii.decode_bounded(net, ["x", t, ""], most=400, around=200)[1] == whole
+
+
 def test_forms():
     t = "Call 1-415-555-0175 ext. 938, write to ann dot lee at post dot example, SSN 918 69 3755, 109 Quillen Court, Mabryahaven 15775. ISBN 978 0 00 000000 0. 2125550 coins."
     got = {(k, t[a:b]) for a, b, k in pii.teacher(t, {"ann"}, {"lee"})}
