@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold import runtime
 from lumenfold.functions import dates
 from lumenfold.operators.ordered import with_neighbour, with_running_sum
 
@@ -91,8 +92,8 @@ def findings(entries: DataFrame, *, max_isolated: int = 3, max_year_jump: int =
     isolated block and the next one is charged to the isolated one."""
     if max_year_jump < 0:
         raise ValueError("the largest year jump must not be negative")
-    blocks = date_blocks(entries)
-    iso = isolated_runs(blocks, max_isolated)
+    blocks, _ = runtime.stage(date_blocks(entries), "blocks")  # read by each of the detectors
+    iso, _ = runtime.stage(isolated_runs(blocks, max_isolated), "isolated")
     iso_blocks = iso.select("journal_id", F.explode(F.sequence("first_block", "last_block")).alias("block"), "expected_year")
     rep = repeated_dates(blocks).select("journal_id", "block", F.lit(1).alias("rank"), F.concat(F.lit("date repeats "), "earlier_date").alias("reason"))
     one = iso_blocks.select("journal_id", "block", F.lit(2).alias("rank"), F.concat(F.lit("isolated run, expected year "), F.col("expected_year").cast("string")).alias("reason"))
