@@ -15,7 +15,7 @@ from lumenfold.llm.names import FILLERS, NICKNAMES
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 TAGS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
-HIDDEN = 32
+HIDDEN = 44
 WINDOW, MARGIN = 320, 32
 _UNKNOWN, _PAD, _SPACE, _ACCENT = 0, 1, 2, 3
 #: Forms of address that are not part of a name.
@@ -464,11 +464,11 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
             words = max(parts, key=len)  # a sentence may end inside
             if len(words) > 2 and text[words[0][0]].islower() and text[words[-1][0]].isupper():
                 words = words[1:]
-            if len(words) > 2 and given:
-                first, second = (text[x:y].lower() for x, y in words[:2])
-                if first not in given and (second in given or re.fullmatch(r"[^\W\d_]\.", second)):
-                    words = words[1:]
-            while len(words) > 1 and text[words[0][0] : words[0][1]].lower().strip(".,:;") in TITLES:
+            while len(words) > 2 and given:
+                low = [text[x:y].lower() for x, y in words]
+                begins = [w in given or bool(re.fullmatch(r"[^\W\d_]\.", w)) for w in low]
+                if begins[0] or not any(begins[1:-1]):
+                    break
                 words = words[1:]
             if len(words) == 1:  # an initial before it
                 m = re.search(r"(?<![\w.])[^\W\d_]\. $", text[max(0, words[0][0] - 3) : words[0][0]])
@@ -486,7 +486,7 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
             while x < y and not text[x].isalpha():
                 x += 1
             value = text[x:y]
-            if value.split()[0].lower() in _NO_NAME or value.split()[-1].lower() in _NO_NAME or value[0].islower() and value.split()[-1][0].isupper():
+            if value.split()[0].lower() in _NO_NAME or value.split()[-1].lower() in _NO_NAME or value[0].isupper() != value.split()[-1][0].isupper():
                 continue
             if "\n" in value or any(c.isdigit() or c in "@()[]:;!?" for c in value) or len(value.split()) < 2 or not value.split()[-1].isalpha() or len(value.split()[-1]) < 3:
                 continue
