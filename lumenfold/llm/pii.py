@@ -319,6 +319,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, str]]]], *, epochs: int
         data.append((ids, y))
     data.sort(key=lambda x: len(x[0]))
     groups = [data[i : i + batch] for i in range(0, len(data), batch)]
+    epochs = max(epochs, -(-300 // max(1, len(groups))))  # few examples are gone through more often
     step, steps = 0, epochs * len(groups)
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
