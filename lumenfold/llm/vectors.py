@@ -503,7 +503,8 @@ def similar_groups(vectors: DataFrame, dims: dict[str, int], *, least_cosine: fl
     """Groups of at least ``least_size`` vectors linked, directly or through others, by a cosine of ``least_cosine``.
 
     In each of ``rounds`` rounds the vectors of a collection go to the nearest of other random pivots; copies within
-    a task travel once; crowded cells are salted. In each cell neighbour descent builds the graph, whose edges are
+    a task travel once; a cell with more than ``hot_rows`` different vectors is cut into blocks of half of that, and each
+    two blocks are looked at together, so that no pair of a cell is left out. In each cell neighbour descent builds the graph, whose edges are
     checked exactly, and modularity finds its communities; communities of a cell with an edge between them are one part,
     also if the graph lacks it: all pairs inside a (bounded) cell are looked at. Links between vectors that share no
     cell in any round are not seen, which matters only where they alone hold a group together.
@@ -527,13 +528,14 @@ def similar_groups(vectors: DataFrame, dims: dict[str, int], *, least_cosine: fl
         if not len(x):
             continue
         x = unit(x)
+        once = np.unique(x, axis=0)  # a cell is crowded by different vectors, not by copies of one
         rng = np.random.default_rng(3)
         pivots[c], split[c] = [], []
         for _ in range(rounds):
             p = np.unique(x[rng.choice(len(x), min(cells, len(x)), replace=False)], axis=0)
-            seen = np.bincount((x @ p.T).argmax(axis=1), minlength=len(p))
+            seen = np.bincount((once @ p.T).argmax(axis=1), minlength=len(p)) * n / len(x)
             pivots[c].append(p)
-            split[c].append([max(1, math.ceil(s * n / len(x) / hot_rows)) for s in seen])
+            split[c].append([1 if s <= hot_rows else math.ceil(2 * s / hot_rows) for s in seen])
     result = "vec_no long, collection_name string, cluster_no long, cluster_size long, degree double"
     if not pivots:
         return spark.createDataFrame([], result)
@@ -561,8 +563,12 @@ def similar_groups(vectors: DataFrame, dims: dict[str, int], *, least_cosine: fl
                 for r, p in enumerate(pivots_of[c]):
                     cell = (u @ p.T).argmax(axis=1)
                     parts = np.array(split_of[c][r])[cell]
-                    salt = (h >> 7) % parts
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(at)), pa.array(np.full(len(at), r), pa.int32()), pa.array(cell, pa.int32()), pa.array(salt, pa.int32()), pa.array(h), raw], ["collection_name", "round", "cell", "salt", "h", "embedding"])
+                    block = (h >> 7) % parts
+                    for other in range(int(parts.max())):  # any two blocks of a crowded cell meet in a task of their own
+                        go = np.flatnonzero((other < parts) & ((other != block) | (parts == 1)))
+                        if len(go):
+                            salt = (np.minimum(block, other) * parts + np.maximum(block, other))[go]
+                            yield pa.RecordBatch.from_arrays([pa.array([c] * len(go)), pa.array(np.full(len(go), r), pa.int32()), pa.array(cell[go], pa.int32()), pa.array(salt, pa.int32()), pa.array(h[go]), raw.take(pa.array(go))], ["collection_name", "round", "cell", "salt", "h", "embedding"])
 
     def detect(key, table):
         import hashlib

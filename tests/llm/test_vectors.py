@@ -88,6 +88,17 @@ def test_enough_copies_alone_are_a_group(spark):
     assert sorted((r.vec_no, r.cluster_no) for r in vectors.similar_groups(df, DIMS).collect()) == [(i, 0) for i in range(6)]
 
 
+@pytest.mark.parametrize(("copies", "hot_rows"), [(400, 100), (1, 30)])
+def test_crowded_cells_keep_their_links(spark, copies, hot_rows):
+    """Vectors that are similar to one vector only, which is often repeated or stands in a cell of many vectors."""
+    rng = np.random.default_rng(4)
+    x = np.eye(128)[1:61] * 0.78 + np.eye(128)[0] * 0.626  # cosine 0.626 to the first axis, 0.39 to each other
+    x = [np.eye(128)[0]] * copies + list(x) + list(rng.normal(size=(90, 128)))
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(np.float32(x))], "vec_no long, collection_name string, embedding array<float>")
+    got = vectors.similar_groups(df, {"a": 128}, hot_rows=hot_rows)
+    assert sorted((r.vec_no, r.cluster_no) for r in got.collect()) == [(i, 0) for i in range(copies + 60)]
+
+
 def test_empty_tables(spark, data):
     df, _ = data
     none = df.limit(0)
