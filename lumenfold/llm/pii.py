@@ -439,9 +439,43 @@ def decode_bounded(net: dict, texts: list[str], most: int = 1_000_000, around: i
     return out
 
 
+_APOSTROPHE, _HYPHEN = "'’", "‐‑-"
+_SURNAME = re.compile(rf"[^\W\d_]+(?:[{_APOSTROPHE}{_HYPHEN}][^\W\d_]+)*")
+
+
+def _inner(text: str, at: int) -> bool:
+    """Whether a sign stands inside a name (O'Brien, Smith-Jones), which that of a possessive or of Smith-like does not."""
+    if not (0 < at < len(text) - 1 and text[at - 1].isalpha() and text[at + 1].isalpha()):
+        return False
+    if text[at] in _APOSTROPHE:
+        return text[at + 1 : at + 3].isalpha()
+    start = at
+    while start > 0 and text[start - 1].isalpha():
+        start -= 1
+    return text[at] in _HYPHEN and text[at + 1].isupper() == text[start].isupper()
+
+
+def _whole_words(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
+    """A find without a form with its ends at whole words; none if it lacks what each item of its type has."""
+    while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    while a < b and not (text[a].isalnum() or text[a] in "+(" and kind == "phone"):
+        a += 1
+    while a < b and not text[b - 1].isalnum():
+        b -= 1
+    value, digits = text[a:b], sum(c.isdigit() for c in text[a:b])
+    has = re.search(r"@|\b(?:at|arroba|ät)\b", value, re.I) if kind == "email" else digits >= {"phone": 5, "id_number": 4, "address": 1}[kind] and (kind != "address" or re.search(r"[^\W\d_]{2}", value))
+    return (a, b, kind) if value and has else None
+
+
 def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Exact ends of what the network found: the form of its type that it lies in, else whole words; names without
-    titles and without a word before a known given name; what cannot be of its type is dropped."""
+    titles and without a word before a known given name; what cannot be of its type is dropped: an e-mail address
+    without an at, a phone number of under 5 digits or an id number of under 4, an address without a number or a word,
+    a name of one word or of more than 4, over an empty line, with digits or brackets, or of a word in upper and one in
+    lower case unless it begins with a known given name."""
     joined: list[tuple[int, int, str]] = []
     for s in spans:  # a middle initial may have parted a name
         if joined and s[2] == "name" == joined[-1][2] and not text[joined[-1][1] : s[0]].strip(" ") and s[0] - joined[-1][1] < 2:
@@ -449,6 +483,7 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
         joined.append(s)
     spans = joined
     out: list[tuple[int, int, str]] = []
+    bare: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
         lo, hi = max(0, a - 40), min(len(text), b + 40)
         while lo > 0 and text[lo - 1].isalnum():
@@ -456,7 +491,7 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
         if kind == "name":
             while a > 0 and (text[a - 1].isalnum()):
                 a -= 1
-            while b < len(text) and text[b].isalnum():
+            while b < len(text) and (text[b].isalnum() or _inner(text, b)):
                 b += 1
             words = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\s]+", text[a:b])]
             words = [(x, y) for x, y in words if any(c.isalpha() for c in text[x:y])]
@@ -486,10 +521,13 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
                 y -= 1
             while x < y and not text[x].isalpha():
                 x += 1
+            y -= 2 if y - x > 2 and text[y - 2] in _APOSTROPHE and text[y - 1] in "sS" else 0
             value = text[x:y]
-            if value.split()[0].lower() in _NO_NAME or value.split()[-1].lower() in _NO_NAME or value[0].isupper() != value.split()[-1][0].isupper():
+            if value.split()[0].lower() in _NO_NAME or value.split()[-1].lower() in _NO_NAME:
+                continue
+            if value[0].isupper() != value.split()[-1][0].isupper() and value.split()[0].lower().rstrip(".") not in given:
                 continue
-            if "\n" in value or any(c.isdigit() or c in "@()[]:;!?" for c in value) or len(value.split()) < 2 or not value.split()[-1].isalpha() or len(value.split()[-1]) < 3:
+            if re.search(r"\n\s*\n", value) or any(c.isdigit() or c in "@()[]:;!?" for c in value) or len(value.split()) < 2 or not _SURNAME.fullmatch(value.split()[-1]):
                 continue
             out.append((x, y, kind))
             continue
@@ -505,6 +543,11 @@ def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] =
                 break
         if best:
             out.append((best[1], best[2], best[3]))
+        elif whole := _whole_words(text, a, b, kind):
+            bare.append(whole)
+    for s in bare:  # a form or a name goes before what has none
+        if not any(s[0] < y and x < s[1] for x, y, _ in out):
+            out.append(s)
     out.sort(key=lambda s: (s[0], -s[1]))
     clean: list[tuple[int, int, str]] = []
     for s in out:

@@ -153,3 +153,22 @@ def test_forms():
     t = "Call 1-415-555-0175 ext. 938, write to ann dot lee at post dot example, SSN 918 69 3755, 109 Quillen Court, Mabryahaven 15775. ISBN 978 0 00 000000 0. 2125550 coins."
     got = {(k, t[a:b]) for a, b, k in pii.teacher(t, {"ann"}, {"lee"})}
     assert got == {("phone", "1-415-555-0175 ext. 938"), ("email", "ann dot lee at post dot example"), ("id_number", "918 69 3755"), ("address", "109 Quillen Court, Mabryahaven 15775")}
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("address", "Gartenweg 5"), ("address", "Via Roma 12"), ("address", "12 rue de la Paix"), ("address", "5 Elm Terrace"), ("id_number", "12345678Z"), ("email", "kim arroba post punto example")]
+    + [("name", n) for n in ("Sean O'Brien", "Ann Smith-Jones", "Ann Li", "ann wu", "Ann\nFennarick", "ann Fennarick", "Zoë D’Arcy")],
+)
+def test_finds_without_a_form_are_kept(kind, value):
+    for before, after in (("We met ", " there."), ("", ""), ("(", "), then")):
+        t = before + value + after
+        a, b = len(before), len(before) + len(value)
+        for x, y in ((a, b), (a + value[:2].isalnum(), b - value[-2:].isalnum())):  # also off by a letter of a word
+            assert pii.settle(t, [(x, y, kind)], frozenset({"ann"})) == [(a, b, kind)]
+
+
+def test_what_cannot_be_of_its_type_is_dropped():
+    t = "hahaha 12 walls. Ann Lee's dog. The Smith-like man\n\nAnn called 555."
+    assert pii.settle(t, [(0, 6, "email"), (7, 9, "address"), (7, 9, "phone"), (51, 57, "name"), (62, 66, "id_number")]) == []
+    assert pii.settle(t, [(17, 26, "name")]) == [(17, 24, "name")]
