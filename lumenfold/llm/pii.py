@@ -115,33 +115,65 @@ def teacher(text: str, given: set[str], surnames: set[str]) -> list[tuple[int, i
     return sorted(out)
 
 
+#: Kinds of streets, in four languages, and ends of host names.
+_STREETS = "Street Road Lane Avenue Court Drive Way Close Terrace Place Square Hill Gardens Row Boulevard Park Grove St. Rd. Ave. St Rd Ave Blvd Ln Dr".split()
+_STRASSEN = "straße strasse weg platz gasse allee ring".split()
+_RUES = "rue avenue boulevard place impasse chemin".split()
+_CALLES = "Calle Avenida Plaza Paseo Camino".split()
+_HOSTS = "com org net edu info de fr es eu co.uk example invalid test".split()
+
+
+def _word(rng: random.Random) -> str:
+    """A word that can be spoken and means nothing."""
+    parts = [rng.choice(["b", "br", "c", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "pl", "r", "s", "st", "t", "tr", "v", "w", ""]) + rng.choice("aeiou") + rng.choice(["", "l", "n", "r", "s", "ck", "rd", "mp", "nd"]) for _ in range(rng.choice([2, 2, 2, 3]))]
+    return "".join(parts)
+
+
 def _made_up(rng: random.Random, given: list[str], surnames: list[str]) -> tuple[str, str]:
-    """A made-up value of a random type."""
+    """A made-up value of a random type: general patterns with random words and digits, nothing from any table but names."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     cap = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
     g, s = rng.choice(given).title(), rng.choice(surnames).title()
-    if rng.random() < 0.4:  # a surname that nobody bears: two halves of others
+    r = rng.random()
+    if r < 0.4:  # a surname that nobody bears: two halves of others
         a, b = rng.choice(surnames), rng.choice(surnames)
         s = (a[: max(3, len(a) // 2)] + b[len(b) // 2 :]).title()
-    town, street = rng.choice(surnames).title(), rng.choice(["Harrow", "Lark", "Salt", "Fen", "Tam", "Bram", "Quill", "Ostle"]) + rng.choice(["gate", "spur", "marsh", "more", "sin", "blecote", "en", "ford"])
-    street = "Old Mill" if rng.random() < 0.1 else street
+    elif r < 0.5:
+        s = _word(rng).title()
     kind = rng.choice(["email", "phone", "id_number", "address", "name", "name"])
     if kind == "email":
-        user = rng.choice([f"{g[0]}.{s}-{d(2)}", f"{g}.{s}", f"{g}+dreams", f"{s}_{d(2)}", f"{g[0]}{s}", f"{g} dot {s}"]).lower()
-        host = rng.choice(["example.org", "kite-mail.example", "dreams.invalid", "wexley.test", "post.example", "mail.example"])
-        v = f"{user} at {host.replace('.', ' dot ')}" if " dot " in user else f"{user}{rng.choice(['@', '@', '(at)', ' [at] '])}{host}"
+        user = rng.choice([f"{g[0]}.{s}-{d(2)}", f"{g}.{s}", f"{g}+{_word(rng)}", f"{s}_{d(2)}", f"{g[0]}{s}", f"{_word(rng)}{d(2)}", f"{g} dot {s}"]).lower()
+        host = f"{_word(rng)}{rng.choice(['', '', '-' + _word(rng)])}.{rng.choice(_HOSTS)}"
+        v = f"{user} at {host.replace('.', ' dot ')}" if " dot " in user else f"{user}{rng.choice(['@', '@', '@', '(at)', ' [at] '])}{host}"
     elif kind == "phone":
-        v = rng.choice([f"{d(3)}-555-{d(4)}", f"({d(3)}) 555-{d(4)}", f"{d(3)}.555.{d(4)}", f"+1 {d(3)} 555 {d(4)}", f"{rng.choice('23456789')}{d(9)}", f"1-{d(3)}-555-{d(4)} ext. {d(3)}", f"+44 20 7946 {d(4)}", f"020 7946 {d(4)}", f"+49 (0)30 {d(5)}-{d(3)}", f"030 {d(5)} {d(3)}", f"01 99 00 {d(2)} {d(2)}", f"0491 570 {d(3)}"])
+        p = rng.choice(" -.")
+        v = rng.choice(
+            [f"{d(3)}{p}{d(3)}{p}{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"{rng.choice('23456789')}{d(9)}", f"1-{d(3)}-{d(3)}-{d(4)} ext. {d(3)}"]
+            + [f"+{rng.randint(2, 99)} {d(2)} {d(4)} {d(4)}", f"+{rng.randint(2, 99)}{p}{d(3)}{p}{d(3)}{p}{d(3)}", f"+{rng.randint(2, 99)} (0){d(2)} {d(5)}-{d(3)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(2)} {d(5)} {d(3)}", f"0{d(1)}" + "".join(f"{p}{d(2)}" for _ in range(4)), f"0{d(1)}" + "".join(f" {d(2)}" for _ in range(4)), f"0{d(3)} {d(3)} {d(3)}"]
+        )
     elif kind == "id_number":
-        v = rng.choice([f"{cap(1)}{d(7)}", f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"{cap(1)}{d(3)}-{d(4)}-{d(4)}", f"9{d(8)}", f"{cap(2)}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}", f"{d(6)}-{d(4)}", f"{cap(2)}{d(6)}{cap(1)}"])
+        p = rng.choice(" -")
+        v = rng.choice([f"{cap(1)}{d(rng.randint(7, 8))}", f"{d(3)}{p}{d(2)}{p}{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{cap(1)}{d(3)}-{d(4)}-{d(4)}", f"9{d(8)}", f"{cap(2)}{d(2)}" + "".join(f" {d(4)}" for _ in range(rng.randint(3, 5))), f"{d(6)}-{d(4)}", f"{cap(2)}{d(6)}{cap(1)}", f"{d(8)}{cap(1)}", f"{cap(2)}{d(7)}"])
     elif kind == "address":
-        n = str(rng.randint(1, 250))
-        v = rng.choice([f"{n} {street} {rng.choice(['Lane', 'St.', 'Court', 'Road'])}", f"{n} {street} Court, {town} {d(5)}", f"{n}b {street} Avenue, Apt {rng.randint(1, 20)}", f"Flat {rng.randint(1, 9)}, {n} {street} Road", f"P.O. Box {rng.randint(100, 2000)}, {town}", f"Calle {street} {n}", f"{n}, rue {street}", f"{street.replace(' ', '')}straße {n}"])
+        n, street, town = f"{rng.randint(1, 250)}{rng.choice(['', '', '', 'a', 'b'])}", _word(rng).title(), rng.choice(surnames).title() if rng.random() < 0.5 else _word(rng).title()
+        two = f"{street} {_word(rng).title()}" if rng.random() < 0.2 else street
+        of = rng.choice(["", "", "", "", "", "de ", "de la ", "du "])
+        first = f"{n} {two} {rng.choice(_STREETS)}"
+        v = rng.choice([first, first, f"{first}, {town} {d(5)}", f"{first}, Apt {rng.randint(1, 20)}", f"Flat {rng.randint(1, 9)}, {first}", f"P.O. Box {rng.randint(100, 2000)}, {town}", f"{rng.choice(_CALLES)} {two} {n}", f"{n}{rng.choice([', ', ', ', ' '])}{rng.choice(_RUES)} {of}{two}", f"{n}, rue {of}{street}", f"{street}{rng.choice(_STRASSEN)} {n}"])
     else:
+        if rng.random() < 0.15:
+            s = rng.choice([f"{s}-{_word(rng).title()}", f"O'{s}", _word(rng)[:2].title() + rng.choice(["", "n"]), f"Mc{s}"])
         v = rng.choice([f"{g} {s}", f"{g} {s}", f"{g} {cap(1)}. {s}", f"{g[0]}. {s}"])
     return kind, v
 
 
+def _nothing(rng: random.Random) -> str:
+    """What looks like an item and is none: a number of things, a sum, an order number."""
+    w = _word(rng)
+    n = rng.randint(2, 250)
+    return rng.choice([f"{n} {w.title()}", f"{n} {w}", f"{n} {w.title()}. {_word(rng).title()}", f"{n},{rng.randint(100, 999)} {w}", f"{n} to {rng.randint(2, 99)}", f"{n}.{rng.randint(10, 99)}", f"no. {rng.randint(1000, 9999999)}"])
+
+
 def examples(texts: list[str], given: set[str], surnames: set[str], seed: int = 5, most: int = 12_000) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled windows: what the teacher finds in the texts, with made-up values put between words."""
     rng = random.Random(seed)
@@ -156,18 +188,19 @@ def examples(texts: list[str], given: set[str], surnames: set[str], seed: int =
         a = text.find(" ", a) + 1 if a else 0
         part = text[a : a + 170]
         spans = teacher(part, given, surnames)
-        if rng.random() < 0.65:
-            for _ in range(rng.randint(1, 2)):
+        if rng.random() < 0.75:
+            for _ in range(rng.randint(1, 3)):
                 gaps = [m.start() for m in re.finditer(r"(?<=[\w.,]) (?=\w)", part) if not any(x <= m.start() < y for x, y, _ in spans)]
                 if not gaps:
                     break
                 at = rng.choice(gaps)
-                kind, v = _made_up(rng, g, s)
+                kind, v = _made_up(rng, g, s) if rng.random() < 0.9 else ("", _nothing(rng))
                 before = " " + rng.choice(lead)
                 after = rng.choice(["", "", ".", ","])
                 add = len(before) + len(v) + len(after)
                 spans = [(x, y, t) if y <= at else (x + add, y + add, t) for x, y, t in spans]
-                spans.append((at + len(before), at + len(before) + len(v), kind))
+                if kind:
+                    spans.append((at + len(before), at + len(before) + len(v), kind))
                 part = part[:at] + before + v + after + part[at:]
         r = rng.random()
         part = part.lower() if r < 0.22 and len(part.lower()) == len(part) else part.upper() if r < 0.26 and len(part.upper()) == len(part) else part

@@ -172,3 +172,12 @@ def test_what_cannot_be_of_its_type_is_dropped():
     t = "hahaha 12 walls. Ann Lee's dog. The Smith-like man\n\nAnn called 555."
     assert pii.settle(t, [(0, 6, "email"), (7, 9, "address"), (7, 9, "phone"), (51, 57, "name"), (62, 66, "id_number")]) == []
     assert pii.settle(t, [(17, 26, "name")]) == [(17, 24, "name")]
+
+
+def test_training_values_are_not_those_of_the_test_tables():
+    rng = random.Random(1)
+    values = [pii._made_up(rng, ["ann", "bob"], ["fennarick", "hulaquist"]) for _ in range(4000)]
+    taken = ("harrow", "larkspur", "saltmarsh", "tamsin", "bramblecote", "quillen", "old mill", "kite-mail", "dreams.invalid", "wexley", "post.example", "20 7946", "0491 570", "01 99 00")
+    assert not [v for _, v in values if any(x in v.lower() for x in taken)]
+    phones = [v for k, v in values if k == "phone"]
+    assert sum("555" in v for v in phones) < 0.1 * len(phones)
