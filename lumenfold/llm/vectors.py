@@ -77,6 +77,15 @@ def sample(vectors: DataFrame, name: str, dim: int, most: int, total: int):
     return x[good]
 
 
+def fixed(x) -> pa.Array:
+    """Rows of a matrix as binary values, without a loop over them."""
+    import numpy as np
+
+    x = np.ascontiguousarray(x)
+    ends = (np.arange(len(x) + 1) * (x.shape[1] * x.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
 # --- additive quantisation -------------------------------------------------------------------------------------
 
 
@@ -97,14 +106,14 @@ def _means(x, k: int, rounds: int, rng):
     return c
 
 
-def train_books(x, lists: int, books: int = 10, words: int = 256, rounds: int = 6, seed: int = 7) -> list:
-    """Full-dimensional codebooks, each fitted to what the ones before it leave; the first one names the lists."""
+def train_books(x, lists: int, books: int = 10, words: int = 256, rounds: int = 6, seed: int = 7, second: int = 256) -> list:
+    """Full-dimensional codebooks, each fitted to what the ones before it leave; the first one (or two) names the lists."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     left, out = x.copy(), []
     for m in range(books):
-        c = _means(left, lists if m == 0 else words, rounds, rng)
+        c = _means(left, lists if m == 0 else second if m == 1 else words, rounds, rng)
         out.append(c.astype(np.float32))
         left = left - c[(left @ c.T - 0.5 * np.einsum("ij,ij->i", c, c)).argmax(axis=1)]
     return out
@@ -136,155 +145,224 @@ def encode(x, books: list, beam: int = 2):
     return codes[rows[:, 0], best], np.sqrt(np.einsum("ij,ij->i", total, total))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, dims: dict[str, int], *, k: int = 10, books: int = 32, probes: int = 8, short: int = 300, short_share: float = 0.4, train_rows: int = 40_000, block_mb: float = 32, list_rows: int = 20_000) -> DataFrame:
+def _fit_lists(x, lists: int, books: int, n: int, list_rows: int, first_words: int):
+    """Codebooks of a sample of unit rows, how many words name a list, and into how many parts each list is cut."""
+    import numpy as np
+
+    two = min(256, lists // first_words) if lists > first_words else 1  # then the second word names the list as well
+    trained = train_books(x, min(lists, first_words), books, second=two if two > 1 else 256)
+    seen = np.bincount(_list_of(encode(x, trained[:2], 1)[0], two), minlength=len(trained[0]) * two)
+    return trained, two, np.maximum(1, np.ceil(seen * (n / len(x)) / list_rows)).astype(np.int32)
+
+
+def _list_of(codes, two: int):
+    return codes[:, 0] * two + codes[:, 1] if two > 1 else codes[:, 0]
+
+
+def _best_lists(u, books: list, two: int, probes: int):
+    """The lists whose words are nearest to each unit row: (rows x probes)."""
+    import numpy as np
+
+    c = books[0]
+    cost = -(u @ c.T) + 0.5 * np.einsum("ij,ij->i", c, c)
+    m = min(probes, len(c))
+    near = np.argpartition(cost, m - 1, axis=1)[:, :m]
+    if two == 1:
+        return near.astype(np.int64)
+    probes = min(probes, m * len(books[1]))
+    out = np.empty((len(u), probes), np.int64)
+    for i in range(len(u)):  # sums of two words, below the best first words
+        w = c[near[i]][:, None] + books[1][None]
+        v = -(w @ u[i]) + 0.5 * np.einsum("ijk,ijk->ij", w, w)
+        top = np.argpartition(v.ravel(), probes - 1)[:probes]
+        out[i] = near[i][top // v.shape[1]] * two + top % v.shape[1]
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, dims: dict[str, int], *, k: int = 10, books: int = 64, probes: int = 24, short: int = 100, short_share: float = 0.25, train_rows: int = 40_000, list_rows: int = 20_000, first_words: int = 4096, most_known: int = 1_000_000) -> DataFrame:
     """The ``k`` most similar vectors (cosine) of the same collection for each row of ``queries``, itself excluded.
 
     Additive quantisation: codebooks of full length are fitted to residuals of a sample of ``train_rows`` rows a
     collection; every vector is encoded by beam search and goes, with the length of its reconstruction, to the list
-    of its first word; a crowded list is salted. Queries are taken in blocks of ``block_mb``; a block visits the
-    ``probes`` best lists of each query, scores their codes by table lookup, and the best ``short`` (or
-    ``short_share`` of a long list) are ranked again by the exact cosine. Ties: the smaller vec_no first.
+    of its first word (above ``first_words`` lists, of its first two words, so that lists grow in number with the
+    table). A list of more than ``list_rows`` rows is cut into parts. Queries go by the same shuffle to all parts of
+    their ``probes`` best lists. A task holds one part of one list at a time and streams its queries through: the
+    codes of all its rows are scored by table lookup, and the best ``short`` (or ``short_share`` of a longer list) are
+    ranked again by the exact cosine. Nothing but the codebooks is broadcast, no query passes through the driver.
+
+    Of a vector that is repeated more than ``k`` times, the ``k + 1`` rows with the smallest keys are indexed, as no
+    other can be an answer, and one row asks for all of them. Ties: the smaller vec_no first.
 
     Null, empty, all-zero, not finite and wrongly long embeddings and unknown collections are neither queries nor
     answers; copies are answers like others; fewer than ``k`` others give fewer rows; empty tables give none.
     Result: ``vec_no, neighbour, similarity, rank``.
     """
+    import pickle
+
     import numpy as np
 
     spark = vectors.sparkSession
-    rows = of_length(vectors.select(*SHAPE), dims)
-    totals = {r[0]: r[1] for r in rows.groupBy("collection_name").count().collect()}
-    trained: dict[str, list] = {}
-    salts: dict[str, list[int]] = {}
-    for c, n in totals.items():
-        lists = min(4096, max(16, 1 << round(math.log2(max(1.0, 0.75 * math.sqrt(n))))))
-        x = sample(rows, c, dims[c], max(train_rows, 30 * lists), n)
-        if len(x):
-            x = unit(x)
-            trained[c] = train_books(x, lists, books)
-            seen = np.bincount((x @ trained[c][0].T - 0.5 * np.einsum("ij,ij->i", trained[c][0], trained[c][0])).argmax(axis=1), minlength=len(trained[c][0]))
-            salts[c] = [max(1, math.ceil(s * n / len(x) / list_rows)) for s in seen]
     out_schema = "vec_no long, neighbour long, similarity double"
+    rows = of_length(vectors.select(*SHAPE), dims).withColumn("h", F.xxhash64("collection_name", "embedding"))
+    # the (k + 1)-th key of each vector that is repeated more often: a window limit, narrow rows only
+    by_key = Window.partitionBy("h").orderBy("vec_no")
+    last = rows.select("h", "vec_no").withColumn("r", F.row_number().over(by_key)).filter(F.col("r") <= k + 1).filter(F.col("r") == k + 1)
+    last, last_at = runtime.stage(last.select("h", F.col("vec_no").alias("last")), "repeated")
+    repeated = last.count()
+    small = F.broadcast if repeated <= most_known else lambda df: df
+    if repeated:
+        rows = rows.join(small(last), "h", "left").filter(F.col("last").isNull() | (F.col("vec_no") <= F.col("last"))).drop("last")
+    totals = {r[0]: r[1] for r in rows.groupBy("collection_name").count().collect()}
+    if not totals:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    lists_of = {c: max(16, 1 << round(math.log2(max(1.0, 0.75 * math.sqrt(n))))) for c, n in totals.items()}
+
+    def fit(key, table):
+        c = key[0].as_py()
+        x, good = matrix(table.column("embedding").combine_chunks(), dims[c])
+        x = unit(x[good])
+        made = _fit_lists(x, lists_of[c], books, totals[c], list_rows, first_words) if len(x) else None
+        return pa.table({"collection_name": pa.array([c]), "model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    share = F.create_map(*[F.lit(v) for c, n in totals.items() for v in (c, int(min(1.0, max(train_rows, 30 * min(lists_of[c], first_words)) / n) * (1 << 30)))])
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "vec_no"), F.lit(1 << 30)) < F.try_element_at(share, F.col("collection_name")))
+    fitted = chosen.select("collection_name", "embedding").groupBy("collection_name").applyInArrow(fit, "collection_name string, model binary").collect()
+    trained = {r[0]: m for r in fitted if (m := pickle.loads(bytes(r[1])))}
     if not trained:
         return spark.createDataFrame([], out_schema + ", rank int")
-    model = spark.sparkContext.broadcast((trained, salts))  # bounded: collections x books x words x length
+    model = spark.sparkContext.broadcast(trained)  # bounded: collections x (books x words + first_words) x length
     known = {c: dims[c] for c in trained}
+    number = {c: i for i, c in enumerate(sorted(trained))}
+    names = ["coll", "list", "part", "asks", "vec_no", "codes", "size", "embedding"]
+    shape = "coll int, list long, part int, asks boolean, vec_no long, codes binary, size float, embedding binary"
+
+    def packed(c, lists, part, asks, key, codes, size, raw) -> pa.RecordBatch:
+        n = len(lists)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number[c]), pa.int32()), pa.array(lists, pa.int64()), pa.array(part, pa.int32()), pa.array(np.full(n, asks)), key, codes, pa.array(size, pa.float32()), raw], names)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books_of, salts_of = model.value
         for batch in batches:
             keys = batch.column("vec_no")
             for c, at, x in by_dim(batch, known):
+                words, two, parts = model.value[c]
                 for s in range(0, len(at), 2000):
-                    part, y = at[s : s + 2000], x[s : s + 2000]
-                    codes, size = encode(unit(y), books_of[c])
-                    key = keys.take(pa.array(part))
-                    salt = key.to_numpy() % np.array(salts_of[c])[codes[:, 0]]
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(part)), pa.array(codes[:, 0], pa.int32()), pa.array(salt, pa.int32()), key, pa.array([r.tobytes() for r in codes[:, 1:].astype(np.uint8)], pa.binary()), pa.array(size, pa.float32()), pa.array([r.tobytes() for r in y], pa.binary())], ["collection_name", "list", "salt", "vec_no", "codes", "size", "embedding"])
+                    y, key = x[s : s + 2000], keys.take(pa.array(at[s : s + 2000]))
+                    codes, size = encode(unit(y), words)
+                    lists = _list_of(codes, two)
+                    yield packed(c, lists, key.to_numpy() % parts[lists], False, key, fixed(codes[:, 1:].astype(np.uint8)), size, fixed(y))
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books_of, _ = model.value
         for batch in batches:
+            keys = batch.column("vec_no")
             for c, at, x in by_dim(batch, known):
-                first = books_of[c][0]
-                m = min(probes, len(first))
-                near = np.argpartition(-(unit(x) @ first.T) + 0.5 * np.einsum("ij,ij->i", first, first), m - 1, axis=1)[:, :m].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(at)), batch.column("vec_no").take(pa.array(at)), pa.array([r.tobytes() for r in near], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["collection_name", "vec_no", "probes", "embedding"])
-
-    index = rows.mapInArrow(route, "collection_name string, list int, salt int, vec_no long, codes binary, size float, embedding binary")
-    index = index.repartition("collection_name", "list", "salt")
-    asked, _ = runtime.stage(of_length(queries.select(*SHAPE), dims).mapInArrow(aim, "collection_name string, vec_no long, probes binary, embedding binary"), "queries")
-    each = max(1, int(block_mb * (1 << 20)) // (4 * max(known.values()) + 4 * probes + 64))
-    blocks = max(1, math.ceil(asked.count() / each))
-    if blocks > 1:
-        index, _ = runtime.stage(index, "index")
-    found = []
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_no"), F.lit(blocks)) == b).toArrow()
-        sets = {}
-        for c in known:
-            own = part.filter(pa.compute.equal(part.column("collection_name"), c))
-            if own.num_rows:
-                q = np.frombuffer(b"".join(own.column("embedding").to_pylist()), np.float32).reshape(-1, known[c])
-                sets[c] = (own.column("vec_no").to_numpy(), np.frombuffer(b"".join(own.column("probes").to_pylist()), np.int32).reshape(len(q), -1), q)
-        if sets:
-            found.append(index.mapInArrow(_searcher(model, spark.sparkContext.broadcast(sets), known, k, short, short_share), out_schema))
-    if not found:
-        return spark.createDataFrame([], out_schema + ", rank int")
-    w = Window.partitionBy("vec_no").orderBy(F.col("similarity").desc(), "neighbour")
-    return reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
+                words, two, parts = model.value[c]
+                for s in range(0, len(at), 1000):
+                    y, key = x[s : s + 1000], keys.take(pa.array(at[s : s + 1000]))
+                    near = _best_lists(unit(y), words, two, probes)
+                    who = np.repeat(np.arange(len(y)), near.shape[1])
+                    lists = near.ravel()
+                    cut = parts[lists]
+                    who, lists, part = np.repeat(who, cut), np.repeat(lists, cut), np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
+                    for p in range(0, len(who), 20_000):
+                        z = slice(p, p + 20_000)
+                        pick = pa.array(who[z])
+                        yield packed(c, lists[z], part[z], True, key.take(pick), pa.array([b""] * len(pick), pa.binary()), np.zeros(len(pick)), fixed(y).take(pick))
+
+    asked = of_length(queries.select(*SHAPE), dims).withColumn("h", F.xxhash64("collection_name", "embedding"))
+    if repeated:  # one row asks for all its copies
+        copied = asked.select("h", "vec_no").join(small(last.select("h")), "h", "left_semi")
+        one, one_at = runtime.stage(copied.groupBy("h").agg(F.min("vec_no").alias("one")), "asking")
+        asked = asked.join(small(one), "h", "left").filter(F.col("one").isNull() | (F.col("vec_no") == F.col("one")))
+    index = rows.select(*SHAPE).mapInArrow(route, shape)
+    ask = asked.select(*SHAPE).mapInArrow(aim, shape)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(totals.values()) / (4 * list_rows)))
+    met = index.unionAll(ask).repartition(tasks, "coll", "list", "part").sortWithinPartitions("coll", "list", "part", "asks")
+    best = Window.partitionBy("vec_no").orderBy(F.col("similarity").desc(), "neighbour")
+    hits = met.mapInArrow(_searcher(model, sorted(trained), known, k + 1, short, short_share), out_schema)
+    if repeated:
+        top = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank")
+        top, _ = runtime.stage(top, "answers")
+        many = copied.join(small(one), "h").select(F.col("one").alias("asker"), "vec_no")
+        theirs = many.join(top.withColumnRenamed("vec_no", "asker"), "asker")
+        itself = many.filter(F.col("vec_no") != F.col("asker")).select("vec_no", F.col("asker").alias("neighbour"), F.lit(1.0).alias("similarity"))
+        hits = top.join(small(one.select(F.col("one").alias("vec_no"))), "vec_no", "left_anti").unionByName(theirs.filter(F.col("neighbour") != F.col("vec_no")).select("vec_no", "neighbour", "similarity")).unionByName(itself)
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _searcher(model, order: list[str], known: dict[str, int], k: int, short: int, short_share: float):
+    """Streams sorted rows: the rows of a list part first, then the queries that visit it."""
 
-def _searcher(model, asked, known: dict[str, int], k: int, short: int, short_share: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        books_of, sets = model.value[0], asked.value
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        names = np.array(t.column("collection_name").to_pylist(), object)
-        hits: list[tuple] = []
-        for c, (q_no, q_lists, q_raw) in sets.items():
-            at = np.flatnonzero(names == c)
-            if not len(at):
-                continue
-            own = t.take(pa.array(at))
-            lists = own.column("list").to_numpy()
-            key = own.column("vec_no").to_numpy()
-            order = np.lexsort((key, lists))
-            bytes_of, times = own.column("embedding").to_pylist(), {}
-            kept = np.zeros(len(order), bool)
-            for p, row in enumerate(order.tolist()):  # of equal vectors only the k + 1 smallest keys can be answers
-                times[bytes_of[row]] = seen = times.get(bytes_of[row], 0) + 1
-                kept[p] = seen <= k + 1
-            order = order[kept]
-            lists, key = lists[order], key[order]
-            size = own.column("size").to_numpy()[order]
-            books = books_of[c]
-            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(at), -1)[order]
-            raw = np.frombuffer(b"".join(bytes_of), np.float32).reshape(len(at), known[c])[order]
-            del bytes_of, times
-            q_unit = unit(q_raw)
-            by_list = np.argsort(q_lists.ravel(), kind="stable")
-            flat = q_lists.ravel()[by_list]
-            cut = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-            for a, z in zip(cut, np.r_[cut[1:], len(lists)]):
-                lo, hi = np.searchsorted(flat, [lists[a], lists[a] + 1])
-                who = by_list[lo:hi] // q_lists.shape[1]
-                n = z - a
-                r = min(n, max(short, math.ceil(short_share * n)))
-                here = unit(raw[a:z])
-                step = max(1, 2_000_000 // n)
-                for s in range(0, len(who), step):
-                    w = who[s : s + step]
-                    y = q_unit[w].T
-                    exact = here @ y
-                    if r < n:
-                        score = np.repeat((books[0][lists[a]] @ y)[None], n, axis=0)
-                        for m in range(1, len(books)):
-                            score += (books[m] @ y)[codes[a:z, m - 1]]  # the table of this book, looked up
-                        score /= size[a:z, None]
-                        exact[score < np.partition(score, n - r, axis=0)[n - r]] = -2
-                    last = np.partition(exact, n - k - 1, axis=0)[n - k - 1] if n > k + 1 else np.full(len(w), -2)
-                    x_at, q_at = np.nonzero(exact >= np.maximum(last - 2e-6, -1.5))  # with all that may tie
-                    x_at, q_at = x_at + a, w[q_at]
-                    for p in range(0, len(x_at), 20_000):
-                        xs, qs = x_at[p : p + 20_000], q_at[p : p + 20_000]
-                        sim = np.round(cosine64(raw[xs], q_raw[qs]), 12)
-                        keep = key[xs] != q_no[qs]
-                        hits.append((q_no[qs][keep], key[xs][keep], sim[keep]))
-                    if sum(len(h[0]) for h in hits) > 2_000_000:
-                        hits = [_best(hits, k)]
+        def dense(column: pa.Array, dim: int):
+            flat = np.frombuffer(column.buffers()[2], np.float32)
+            first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+            return flat[first // 4 : first // 4 + len(column) * dim].reshape(-1, dim)
+
+        at, held, ready, hits, size = None, [], None, [], 0
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            edge = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]) if batch.num_rows else []
+            for a, z in zip(edge, [*edge[1:], batch.num_rows]):
+                key = (int(cols[0][a]), int(cols[1][a]), int(cols[2][a]))
+                c = order[key[0]]
+                part = batch.slice(a, z - a)
+                if key != at:
+                    at, held, ready = key, [], None
+                if not cols[3][a]:
+                    held.append((part.column("vec_no").to_numpy(), np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(z - a, -1), part.column("size").to_numpy(), dense(part.column("embedding"), known[c])))
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    no, codes, length, raw = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 3))
+                    ready = no, codes, length, raw
+                    words, two, _ = model.value[c]
+                    first = words[0][key[1] // two]
+                asks, q_raw = part.column("vec_no").to_numpy(), dense(part.column("embedding"), known[c])
+                hits += _answers(first, words[1:], *ready, asks, q_raw, k, short, short_share)
+                size += len(hits[-1][0]) if hits else 0
+                if size > 500_000:
+                    yield from _sent(_best(hits, k))
+                    hits, size = [], 0
         if hits:
-            q, x, s = _best(hits, k)
-            for i in range(0, len(q), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(q[i : i + 50_000]), pa.array(x[i : i + 50_000]), pa.array(s[i : i + 50_000])], ["vec_no", "neighbour", "similarity"])
+            yield from _sent(_best(hits, k))
 
     return search
 
 
+def _sent(best: tuple) -> Iterator[pa.RecordBatch]:
+    q, x, s = best
+    for i in range(0, len(q), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(q[i : i + 50_000]), pa.array(x[i : i + 50_000]), pa.array(s[i : i + 50_000])], ["vec_no", "neighbour", "similarity"])
+
+
+def _answers(first, books: list, no, codes, length, raw, asks, q_raw, k: int, short: int, short_share: float) -> list[tuple]:
+    """Best rows of one list part for each query: all codes scored by tables, the short list by the exact cosine."""
+    import numpy as np
+
+    n = len(no)
+    r = min(n, max(short, k + 1, math.ceil(short_share * n)))
+    out = []
+    step = max(1, 1_000_000 // n)
+    for s in range(0, len(asks), step):
+        q = q_raw[s : s + step]
+        y = unit(q).T
+        score = np.repeat((first @ y)[None], n, axis=0)
+        for m, b in enumerate(books):
+            score += (b @ y)[codes[:, m]]  # the table of this book, looked up
+        score /= np.maximum(length, 1e-6)[:, None]
+        pick = np.argpartition(-score, r - 1, axis=0)[:r].T if r < n else np.broadcast_to(np.arange(n), (len(q), n))
+        for p in range(0, len(q), max(1, 20_000 // r)):
+            own = pick[p : p + max(1, 20_000 // r)]
+            x_at, q_at = own.ravel(), np.repeat(np.arange(p, p + len(own)), own.shape[1])
+            sim = np.round(cosine64(raw[x_at], q[q_at]), 12)
+            keep = no[x_at] != asks[s + q_at]
+            out.append(_best([(asks[s + q_at][keep], no[x_at][keep], sim[keep])], k))
+    return out
+
+
 def _best(hits: list[tuple], k: int) -> tuple:
     """The first ``k`` of each query by similarity, then key."""
     import numpy as np
@@ -312,7 +390,7 @@ def neighbour_descent(x, k: int = 10, *, trees: int = 2, leaf: int = 64, rounds:
     k = min(k, n - 1)
     if k < 1:
         return np.full((n, 0), -1), np.zeros((n, 0), np.float32)
-    if n <= 600:
+    if n <= max(leaf, k + 1):
         s = x @ x.T
         np.fill_diagonal(s, -2)
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -435,26 +513,6 @@ def communities(n: int, i, j, w, *, passes: int = 8, levels: int = 4, seed: int
     return components(n, i[inside], j[inside])
 
 
-def _exact_parts(raw, part, least: float):
-    """Parts of a cell joined where any two vectors of different parts reach ``least``, and which vectors took part in
-    that. All pairs of the cell are looked at, block by block; a cell is bounded, so this stays in proportion."""
-    import numpy as np
-
-    n = len(raw)
-    u, part, took = unit(raw), part.copy(), np.zeros(n, bool)
-    for a in range(0, n, 1024):
-        for b in range(a, n, 1024):
-            s = u[a : a + 1024] @ u[b : b + 1024].T
-            i, j = np.nonzero((s >= least - 1e-6) & (part[a : a + 1024, None] != part[None, b : b + 1024]))
-            if len(i):
-                i, j = i + a, j + b
-                good = np.concatenate([cosine64(raw[i[x : x + 20_000]], raw[j[x : x + 20_000]]) for x in range(0, len(i), 20_000)]) >= least
-                i, j = i[good], j[good]
-                took[i] = took[j] = True
-                part = components(n, np.r_[np.arange(n), i], np.r_[part, j])
-    return part, took
-
-
 def components(n: int, i, j):
     """Smallest connected node of each node."""
     import numpy as np
@@ -494,56 +552,262 @@ def linked(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
         runtime.delete_path(spark, state_at)
         state, state_at = new.select("node", "root"), new_at
         if done:
+            runtime.delete_path(spark, both_at)
+            return state
+    raise RuntimeError(f"components of {name} are not complete after {most} rounds")
+
+
+class _Tree:
+    """Pivots by which vectors find their cells. A crowded cell has pivots of its own, and so on down.
+
+    ``leaves`` holds, for each cell, the pivots on the way to it. A vector goes to its nearest pivot, right below a
+    crowded cell to the two nearest.
+    """
+
+    def __init__(self, x, per_row: float, cells: int, hot_rows: int, rng):
+        import numpy as np
+
+        self.leaves: list = []
+        once = np.unique(x, axis=0)  # a cell is crowded by different vectors, not by copies of one
+        per_row *= len(x) / len(once)
+        self.root = self._grow(once, per_row, once[rng.choice(len(once), min(cells, len(once)), replace=False)], 1, hot_rows, [], rng)
+
+    def _grow(self, x, per_row: float, pivots, wide: int, hot_rows: int, way: list, rng):
+        import numpy as np
+
+        home = (x @ pivots.T).argmax(axis=1)
+        kids: list = []
+        for p in range(len(pivots)):
+            own, path = x[home == p], [*way, pivots[p]]
+            size = len(own) * per_row * wide
+            if size > hot_rows and len(own) >= 4 and len(path) < 12:
+                many = int(min(64, len(own) // 2, max(2, math.ceil(4 * size / hot_rows))))
+                kids.append(self._grow(own, per_row, _central(own, many, path, rng), 2 if len(path) == 1 else 1, hot_rows, path, rng))
+            else:
+                kids.append(len(self.leaves))
+                self.leaves.append(np.stack(path))
+        return pivots, wide, kids
+
+    def place(self, u):
+        """Pairs of (row, cell)."""
+        import numpy as np
+
+        rows, cells, todo = [], [], [(self.root, np.arange(len(u)))]
+        while todo:
+            (pivots, wide, kids), at = todo.pop()
+            s = u[at] @ pivots.T
+            w = min(wide, len(kids))
+            near = s.argmax(axis=1)[:, None] if w == 1 else np.argpartition(-s, w - 1, axis=1)[:, :w]
+            for p in np.unique(near):
+                own = at[(near == p).any(axis=1)]
+                if isinstance(kids[p], int):
+                    rows.append(own)
+                    cells.append(np.full(len(own), kids[p]))
+                else:
+                    todo.append((kids[p], own))
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def _central(x, many: int, known: list, rng, least: float = 0.6, look: int = 2000):
+    """Pivots of a crowded cell: half of them those with most neighbours that no earlier one has, the others at random."""
+    import numpy as np
+
+    some = x[rng.choice(len(x), min(look, len(x)), replace=False)]
+    near = some @ some.T >= least
+    free = ~(some @ np.stack(known).T >= 1 - 1e-6).any(axis=1)
+    chosen: list[int] = []
+    open_ = np.ones(len(some), bool)
+    for _ in range((many + 1) // 2):
+        count = (near & open_).sum(axis=1) * free
+        best = int(count.argmax())
+        if count[best] < 3:
             break
-    runtime.delete_path(spark, both_at)
-    return state
+        chosen.append(best)
+        open_ &= ~near[best]
+        free[best] = False
+    rest = rng.permutation([i for i in range(len(some)) if i not in set(chosen)])[: many - len(chosen)]
+    return some[np.r_[np.array(chosen, int), rest.astype(int)]]
+
+
+def _border_links(u, label, degree, *, around: int = 10, look: int = 8):
+    """Candidate links between communities: for each, the members nearest to the centre of each of the communities
+    around it, and the other way round. Returns pairs of rows."""
+    import numpy as np
+
+    names, at = np.unique(label, return_inverse=True)
+    m = len(names)
+    if m < 2:
+        return np.zeros(0, int), np.zeros(0, int)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(m))
+    size = np.diff(np.r_[first, len(at)])
+    centre = unit(np.add.reduceat(u[order], first, axis=0) + 1e-9)
+    left, right = [], []
+    for s in range(0, m, 512):
+        near = centre[s : s + 512] @ centre.T
+        near[np.arange(len(near)), np.arange(s, s + len(near))] = -2
+        w = min(around, m - 1)
+        for a, tops in zip(range(s, s + len(near)), np.argpartition(-near, w - 1, axis=1)[:, :w]):
+            mine = order[first[a] : first[a] + size[a]]
+            for b in tops.tolist():
+                if near[a - s, b] < 0.2:
+                    continue
+                theirs = order[first[b] : first[b] + size[b]]
+                x = mine[np.argsort(-(u[mine] @ centre[b]))[:look]]
+                y = theirs[np.argsort(-(u[theirs] @ centre[a]))[:look]]
+                left.append(np.repeat(x, len(y)))
+                right.append(np.tile(y, len(x)))
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _cosines(raw, i, j):
+    """Exact cosines of pairs of rows, in bounded steps."""
+    import numpy as np
+
+    return np.concatenate([cosine64(raw[i[s : s + 20_000]], raw[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]) if len(i) else np.zeros(0)
 
 
-def similar_groups(vectors: DataFrame, dims: dict[str, int], *, least_cosine: float = 0.6, least_size: int = 5, k: int = 10, rounds: int = 3, cell_rows: int = 4096, most_cells: int = 2048, hot_rows: int = 20_000) -> DataFrame:
+def communities_of_cell(raw, pivots, k: int, least: float, seed: int):
+    """Graph, communities and parts of the vectors of one cell: (part, degree inside the community, has any edge).
+
+    Neighbour descent proposes edges, and so do the pivots on the way to the cell, which are rows as well (the last
+    ones); every edge is checked exactly. Modularity makes communities of the graph; communities are one part where an
+    edge of the graph, or one of the candidates along their border, holds.
+    """
+    import numpy as np
+
+    n = len(raw)
+    u = unit(raw)
+    ids, sim = neighbour_descent(u, k, seed=seed)
+    i, j = np.repeat(np.arange(n), ids.shape[1]), ids.ravel()
+    good = (j >= 0) & (sim.ravel() > least - 0.01)
+    hub = np.arange(n - pivots, n)
+    p, q = np.nonzero(u[hub] @ u.T > least - 0.01)
+    i, j = np.r_[i[good], hub[p]], np.r_[j[good], q]
+    pair = np.unique((np.minimum(i, j) * n + np.maximum(i, j))[i != j])
+    i, j = pair // n, pair % n
+    w = _cosines(raw, i, j)
+    i, j, w = i[w >= least], j[w >= least], w[w >= least]
+    label = communities(n, i, j, w, seed=seed)
+    inside = label[i] == label[j]
+    degree = np.bincount(i[inside], w[inside], n) + np.bincount(j[inside], w[inside], n)
+    x, y = _border_links(u, label, degree)
+    apart = components(n, np.r_[i, np.arange(n)], np.r_[j, label])
+    new = apart[x] != apart[y]
+    x, y = x[new], y[new]
+    near = np.einsum("ij,ij->i", u[x], u[y]) > least - 0.01
+    x, y = x[near], y[near]
+    hold = _cosines(raw, x, y) >= least
+    x, y = x[hold], y[hold]
+    part = components(n, np.r_[np.arange(n), x], np.r_[apart, y])
+    return part, degree.astype(np.float64), np.bincount(np.r_[i, j, x, y], minlength=n) > 0
+
+
+def similar_groups(vectors: DataFrame, dims: dict[str, int], *, least_cosine: float = 0.6, least_size: int = 5, k: int = 10, rounds: int = 3, cell_rows: int = 8192, hot_rows: int = 20_000, sample_mb: int = 128, pass_rows: int | None = None) -> DataFrame:
     """Groups of at least ``least_size`` vectors linked, directly or through others, by a cosine of ``least_cosine``.
 
-    In each of ``rounds`` rounds the vectors of a collection go to the nearest of other random pivots; copies within
-    a task travel once; a cell with more than ``hot_rows`` different vectors is cut into blocks of half of that, and each
-    two blocks are looked at together, so that no pair of a cell is left out. In each cell neighbour descent builds the graph, whose edges are
-    checked exactly, and modularity finds its communities; communities of a cell with an edge between them are one part,
-    also if the graph lacks it: all pairs inside a (bounded) cell are looked at. Links between vectors that share no
-    cell in any round are not seen, which matters only where they alone hold a group together.
-    Parts of different cells that share a vector are linked, by distributed components over parts, not vectors.
+    In each of ``rounds`` rounds the vectors of a collection go to the cell of the nearest of other random pivots, one
+    cell for ``cell_rows`` vectors: cells grow in number with the table, not in size. A cell that a sample shows to hold
+    more than ``hot_rows`` different vectors has pivots of its own, the most central vectors first, and its vectors go
+    to the two nearest of them, and so on down. In each cell neighbour descent builds the graph, whose edges are checked
+    exactly, modularity finds its communities, and communities with an edge between them, or along their border, are one
+    part; the pivots on the way to a cell are members of it, so that what a crowded cell parts meets again at its hubs.
+    Parts of different cells that share a vector are linked, by distributed components over parts, not vectors. Links
+    that alone hold a group together, between vectors that share no cell in any round, are not seen.
+
+    A pass routes at most ``pass_rows`` vectors (what a sample of ``sample_mb`` finds cells for); a larger collection is
+    first cut into blocks by coarse pivots, in each round by others, which are routed one after the other.
 
     Unusable embeddings (null, empty, all zero, not finite, wrong length, unknown collection) are in no group; copies
-    are members each; ties do not matter as a group is a set; empty tables give no rows.
+    are members each and travel once a task; ties do not matter as a group is a set; empty tables give no rows.
     Result: ``vec_no, collection_name, cluster_no, cluster_size, degree`` (degree: largest weight of a vector's edges
     inside its community).
     """
-    import numpy as np
-
     spark = vectors.sparkSession
     rows = of_length(vectors.select(*SHAPE), dims).withColumn("h", F.xxhash64("collection_name", "embedding"))
-    totals = {r[0]: r[1] for r in rows.groupBy("collection_name").count().collect()}
-    pivots: dict[str, list] = {}
-    split: dict[str, list] = {}
-    for c, n in totals.items():
-        cells = min(most_cells, max(1, round(n / cell_rows)))
-        x = sample(rows, c, dims[c], max(4000, 4 * rounds * cells), n)
-        if not len(x):
-            continue
-        x = unit(x)
-        once = np.unique(x, axis=0)  # a cell is crowded by different vectors, not by copies of one
-        rng = np.random.default_rng(3)
-        pivots[c], split[c] = [], []
-        for _ in range(rounds):
-            p = np.unique(x[rng.choice(len(x), min(cells, len(x)), replace=False)], axis=0)
-            seen = np.bincount((once @ p.T).argmax(axis=1), minlength=len(p)) * n / len(x)
-            pivots[c].append(p)
-            split[c].append([1 if s <= hot_rows else math.ceil(2 * s / hot_rows) for s in seen])
     result = "vec_no long, collection_name string, cluster_no long, cluster_size long, degree double"
-    if not pivots:
+    seen: list[DataFrame] = []
+
+    def meet(part: DataFrame, only: str | None, turns: list[int], depth: int) -> None:
+        """Adds what the cells of ``part`` find; blocks of it, if it is too large for one pass."""
+        totals = {r[0]: r[1] for r in part.groupBy("collection_name").count().collect() if only in (None, r[0])}
+        small = {}
+        for c, n in totals.items():
+            most = pass_rows or max(cell_rows, cell_rows * (sample_mb << 20) // (16 * 4 * dims[c]))
+            own = part.filter(F.col("collection_name") == c)
+            if n <= most or depth > 3:
+                small[c] = n
+                continue
+            for turn in turns:
+                blocks = min(1024, math.ceil(2 * n / most))
+                x = _fresh(sample(own, c, dims[c], 20 * blocks, n))
+                cut, _ = runtime.stage(_into_blocks(own, {c: dims[c]}, x, blocks, turn + 7 * depth), "block")
+                for b in sorted(r[0] for r in cut.select("block").distinct().collect()):
+                    meet(cut.filter(F.col("block") == b).drop("block"), c, [turn], depth + 1)
+        if small:
+            of = part if only is None and len(small) == len(totals) else part.filter(F.col("collection_name").isin(list(small)))
+            seen.append(_found_in_cells(of, small, dims, turns, depth, k, least_cosine, cell_rows, hot_rows))
+
+    meet(rows, None, list(range(rounds)), 0)
+    seen = [s for s in seen if s is not None]
+    if not seen:
         return spark.createDataFrame([], result)
-    plan = spark.sparkContext.broadcast((pivots, split))  # bounded by most_cells x rounds x collections
-    known = {c: dims[c] for c in pivots}
+    member, _ = runtime.stage(reduce(DataFrame.unionAll, seen), "communities")
+    own = member.groupBy("h").agg(F.min("part").alias("first"), F.collect_set("part").alias("all"), F.max("degree").alias("degree"))  # a part a cell: a few
+    own, _ = runtime.stage(own.select("h", "first", "degree", "all"), "parts")
+    edges = own.select(F.col("first").alias("a"), F.explode("all").alias("b")).distinct()
+    roots = linked(edges, "groups")
+    of = own.join(roots, F.col("first") == F.col("node")).select("h", "root", "degree")
+    # enough copies of one vector are a group though they have no other neighbour
+    holes = F.size("embedding") - F.size(F.array_compact("embedding"))
+    copied = rows.groupBy("h").agg(F.count("*").alias("n"), F.max(holes).alias("holes")).filter((F.col("n") >= least_size) & (F.col("holes") == 0))
+    of = of.unionByName(copied.join(of, "h", "left_anti").select("h", F.col("h").alias("root"), F.lit(0.0).alias("degree")))
+    placed = rows.select("vec_no", "collection_name", "h").join(of, "h")
+    groups = placed.groupBy("root").agg(F.min("vec_no").alias("cluster_no"), F.count("*").alias("cluster_size")).filter(F.col("cluster_size") >= least_size)
+    return placed.join(groups, "root").select("vec_no", "collection_name", "cluster_no", "cluster_size", "degree")
+
+
+def _fresh(x):
+    import numpy as np
+
+    return np.unique(unit(x), axis=0) if len(x) else x
+
+
+def _into_blocks(rows: DataFrame, known: dict[str, int], x, blocks: int, seed: int) -> DataFrame:
+    """Rows with the number of the nearest of ``blocks`` coarse pivots, chosen anew by each seed."""
+    import numpy as np
+
+    pivots = rows.sparkSession.sparkContext.broadcast(x[np.random.default_rng(seed).choice(len(x), min(blocks, len(x)), replace=False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, at, y in by_dim(batch, known):
+                block = (unit(y) @ pivots.value.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(block, pa.int32())], [*batch.schema.names, "block"])
+
+    out = rows.mapInArrow(run, "vec_no long, collection_name string, embedding array<float>, h long, block int")
+    return out.repartition("block")
+
+
+def _found_in_cells(rows: DataFrame, totals: dict[str, int], dims: dict[str, int], turns: list[int], depth: int, k: int, least: float, cell_rows: int, hot_rows: int) -> DataFrame | None:
+    """``h, part, degree`` of all vectors with a link, cell by cell."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    trees: dict[str, dict[int, _Tree]] = {}
+    for c, n in totals.items():
+        cells = max(1, round(n / cell_rows))
+        x = sample(rows, c, dims[c], max(4000, 16 * cells), n)
+        if len(x):
+            x = unit(x)
+            trees[c] = {r: _Tree(x, n / len(x), cells, hot_rows, np.random.default_rng([r, depth])) for r in turns}
+    if not trees:
+        return None
+    plan = spark.sparkContext.broadcast(trees)  # bounded by the rows of a pass
+    known = {c: dims[c] for c in trees}
+    salt = runtime.new_path(spark, "cells")  # cells of different passes are different
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots_of, split_of = plan.value
         sent: set[int] = set()
         for batch in batches:
             h_all = batch.column("h").to_numpy()
@@ -555,64 +819,40 @@ def similar_groups(vectors: DataFrame, dims: dict[str, int], *, least_cosine: fl
                         if len(sent) < 1_000_000:  # a bound of memory only: what is sent twice is merged in its cell
                             sent.add(v)
                         fresh[p] = True
-                at, x, h = at[fresh], x[fresh], h[fresh]
-                if not len(at):
+                x, h = x[fresh], h[fresh]
+                if not len(h):
                     continue
                 u = unit(x)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                for r, p in enumerate(pivots_of[c]):
-                    cell = (u @ p.T).argmax(axis=1)
-                    parts = np.array(split_of[c][r])[cell]
-                    block = (h >> 7) % parts
-                    for other in range(int(parts.max())):  # any two blocks of a crowded cell meet in a task of their own
-                        go = np.flatnonzero((other < parts) & ((other != block) | (parts == 1)))
-                        if len(go):
-                            salt = (np.minimum(block, other) * parts + np.maximum(block, other))[go]
-                            yield pa.RecordBatch.from_arrays([pa.array([c] * len(go)), pa.array(np.full(len(go), r), pa.int32()), pa.array(cell[go], pa.int32()), pa.array(salt, pa.int32()), pa.array(h[go]), raw.take(pa.array(go))], ["collection_name", "round", "cell", "salt", "h", "embedding"])
+                raw = fixed(x)
+                for r, tree in plan.value[c].items():
+                    row, cell = tree.place(u)
+                    pick = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(row)), pa.array(np.full(len(row), r), pa.int32()), pa.array(cell, pa.int32()), pa.array(h[row]), raw.take(pick)], ["collection_name", "round", "cell", "h", "embedding"])
 
     def detect(key, table):
         import hashlib
 
-        c, r, cell, salt = (v.as_py() for v in key)
+        c, r, cell = (v.as_py() for v in key)
         h, first = np.unique(table.column("h").to_numpy(), return_index=True)
         raw = np.frombuffer(b"".join(table.column("embedding").take(pa.array(first)).to_pylist()), np.float32).reshape(-1, known[c])
-        n = len(h)
-        ids, sim = neighbour_descent(unit(raw), k, seed=r + 1)
-        i, j = np.repeat(np.arange(n), ids.shape[1]), ids.ravel()
-        good = (j >= 0) & (sim.ravel() > least_cosine - 0.01)
-        i, j = i[good], j[good]
-        pair = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
-        i, j = pair // n, pair % n
-        w = np.concatenate([cosine64(raw[i[s : s + 20_000]], raw[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]) if len(i) else np.zeros(0)
-        good = w >= least_cosine
-        i, j, w = i[good], j[good], w[good]
-        label = communities(n, i, j, w, seed=r + 1)
-        names = {x: int.from_bytes(hashlib.blake2b(f"{c}|{r}|{cell}|{salt}|{h[x]}".encode(), digest_size=8).digest(), "little", signed=True) for x in np.unique(label).tolist()}
-        comm = np.array([names[x] for x in label.tolist()], np.int64)
-        inside = label[i] == label[j]
-        degree = (np.bincount(i[inside], w[inside], n) + np.bincount(j[inside], w[inside], n)).astype(np.float64)
-        # communities with an edge between them are one part of this cell; a vector without edges is no part
-        part = components(n, np.r_[i, np.arange(n)], np.r_[j, label])
-        part, linked_here = _exact_parts(raw, part, least_cosine)
-        some = np.flatnonzero((np.bincount(np.r_[i, j], minlength=n) > 0) | linked_here)
-        names = {x: int.from_bytes(hashlib.blake2b(f"{c}|{r}|{cell}|{salt}|{h[x]}".encode(), digest_size=8).digest(), "little", signed=True) for x in np.unique(part[some]).tolist()}
-        return pa.table({"h": pa.array(h[some]), "part": pa.array(np.array([names[x] for x in part[some].tolist()], np.int64)), "degree": pa.array(degree[some])})
-
-    sent = rows.mapInArrow(spread, "collection_name string, round int, cell int, salt int, h long, embedding binary")
-    seen = sent.groupBy("collection_name", "round", "cell", "salt").applyInArrow(detect, "h long, part long, degree double")
-    member, _ = runtime.stage(seen, "communities")
-    own = member.groupBy("h").agg(F.min("part").alias("first"), F.collect_set("part").alias("all"), F.max("degree").alias("degree"))
-    own, _ = runtime.stage(own.select("h", "first", "degree", "all"), "parts")
-    edges = own.select(F.col("first").alias("a"), F.explode("all").alias("b")).distinct()
-    roots = linked(edges, "groups")
-    of = own.join(roots, F.col("first") == F.col("node")).select("h", "root", "degree")
-    # enough copies of one vector are a group though they have no other neighbour
-    holes = F.size("embedding") - F.size(F.array_compact("embedding"))
-    copied = rows.groupBy("h").agg(F.count("*").alias("n"), F.max(holes).alias("holes")).filter((F.col("n") >= least_size) & (F.col("holes") == 0))
-    of = of.unionByName(copied.join(of, "h", "left_anti").select("h", F.col("h").alias("root"), F.lit(0.0).alias("degree")))
-    placed = rows.select("vec_no", "collection_name", "h").join(of, "h")
-    groups = placed.groupBy("root").agg(F.min("vec_no").alias("cluster_no"), F.count("*").alias("cluster_size")).filter(F.col("cluster_size") >= least_size)
-    return placed.join(groups, "root").select("vec_no", "collection_name", "cluster_no", "cluster_size", "degree")
+        way = plan.value[c][r].leaves[cell]
+        part, degree, some = communities_of_cell(np.concatenate([raw, way]), len(way), k, least, r + 1)
+
+        def named(what: str) -> int:
+            return int.from_bytes(hashlib.blake2b(what.encode(), digest_size=8).digest(), "little", signed=True)
+
+        # a pivot has a part of its own name, by which the cells below it meet
+        roots = {x: named(f"{salt}|{c}|{r}|{cell}|{x}") for x in np.unique(part[some]).tolist()}
+        hub = [named(f"{salt}|{c}|{r}|pivot|{hashlib.blake2b(v.tobytes()).hexdigest()}") for v in way]
+        at = np.flatnonzero(some[: len(raw)])
+        own = np.array([roots[x] for x in part[at].tolist()], np.int64)
+        ties = [(roots[part[len(raw) + i]], hub[i]) for i in range(len(way)) if some[len(raw) + i]]
+        return pa.table({"h": pa.array(np.r_[h[at], np.array([b for _, b in ties], np.int64)].astype(np.int64)), "part": pa.array(np.r_[own, np.array([a for a, _ in ties], np.int64)].astype(np.int64)), "degree": pa.array(np.r_[degree[at], np.zeros(len(ties))])})
+
+    sent = rows.mapInArrow(spread, "collection_name string, round int, cell int, h long, embedding binary")
+    cells = sum(len(t.leaves) for of in trees.values() for t in of.values())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, cells // 2))  # what a task reads does not grow
+    return sent.repartition(tasks, "collection_name", "round", "cell").groupBy("collection_name", "round", "cell").applyInArrow(detect, "h long, part long, degree double")
 
 
 def describe_groups(members: DataFrame, vectors: DataFrame, *, typical: int = 3, tags: int = 3) -> DataFrame:

@@ -56,11 +56,25 @@ def test_ties_take_the_smaller_key(data):
     assert [r.neighbour for r in rows] == same[:5] and len(same) == 41
 
 
-def test_blocks_of_queries_agree(data):
+def test_cut_lists_agree(data):
     df, _ = data
     a = sorted(map(tuple, vectors.nearest(df, df.filter("vec_no < 40"), DIMS, k=3).collect()))
-    b = sorted(map(tuple, vectors.nearest(df, df.filter("vec_no < 40"), DIMS, k=3, block_mb=0.001).collect()))
+    b = sorted(map(tuple, vectors.nearest(df, df.filter("vec_no < 40"), DIMS, k=3, list_rows=10).collect()))
+    c = sorted(map(tuple, vectors.nearest(df, df.filter("vec_no < 40"), DIMS, k=3, first_words=4, probes=64).collect()))
+    assert a == b == c
+
+
+def test_whole_index_with_copies_shuffled_joins(data):
+    """Every row asks; vectors repeated more often than k times ask once, also where their keys are not broadcast."""
+    df, good = data
+    a = sorted(map(tuple, vectors.nearest(df, df, DIMS, k=3).collect()))
+    b = sorted(map(tuple, vectors.nearest(df, df, DIMS, k=3, most_known=0).collect()))
     assert a == b
+    by = {}
+    for q, x, _, _ in a:
+        by.setdefault(q, []).append(x)
+    same = sorted(r[0] for r in good if r[2] == good[5][2])
+    assert len(by) == len(good) and all(set(by[v]) == set([x for x in same if x != v][:3]) for v in same)
 
 
 def test_groups_against_brute_force(data):
@@ -99,6 +113,23 @@ def test_crowded_cells_keep_their_links(spark, copies, hot_rows):
     assert sorted((r.vec_no, r.cluster_no) for r in got.collect()) == [(i, 0) for i in range(copies + 60)]
 
 
+@pytest.mark.parametrize("kw", [{}, {"hot_rows": 300}, {"hot_rows": 150}, {"hot_rows": 60}, {"cell_rows": 100}, {"pass_rows": 200, "cell_rows": 50}])
+def test_small_groups_stay_whole_however_cells_are_cut(spark, kw):
+    """120 groups of 5 near-equal vectors."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(120, 32))
+    x = (centre[:, None] + 0.1 * rng.normal(size=(120, 5, 32))).reshape(600, 32)
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(np.float32(x))], "vec_no long, collection_name string, embedding array<float>").repartition(4)
+    got = {r.vec_no: r.cluster_no for r in vectors.similar_groups(df, {"a": 32}, **kw).collect()}
+    assert len(got) == 600 and all(got[i] <= i // 5 * 5 for i in got) and all(len({got[g * 5 + j] for j in range(5)}) == 1 for g in range(120))
+
+
+def test_components_that_do_not_end_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        vectors.linked(chain, "t", most=2)
+
+
 def test_empty_tables(spark, data):
     df, _ = data
     none = df.limit(0)
