@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold import runtime
 
@@ -154,130 +154,159 @@ def split_texts(df: DataFrame, key: str, text: str, *, limit: int = 1500, overla
     return out.withColumnRenamed("key", key)
 
 
-_ENCODERS: dict[tuple[str, str], object] = {}
+_ENCODERS: dict[tuple[int, str], object] = {}
 
 
-def encoder(path: str, pattern: str):
-    """Byte-level tokenizer from a file of ranks, once a process."""
-    if (path, pattern) not in _ENCODERS:
+def encoder_of(ranks: bytes, pattern: str):
+    """Byte-level tokenizer from the content of a file of ranks, once a process."""
+    mark = (hash(ranks), pattern)
+    if mark not in _ENCODERS:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path, pattern]
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _ENCODERS[mark] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+    return _ENCODERS[mark]
 
 
-#: Fixed value: the public pre-tokenization pattern of the byte-level vocabulary.
-BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+def encoder(path: str, pattern: str):
+    with open(path, "rb") as f:
+        return encoder_of(f.read(), pattern)
 
 
-def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, classes: int = 48, filler: int = 8, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str = BYTE_PATTERN) -> DataFrame:
-    """Assign every text, measured in tokens, to a container of ``capacity`` tokens.
-
-    Harmonic packing: a length in (capacity/(k+1), capacity/k] belongs to class k, whose containers hold exactly k
-    pieces, so that every scan task fills its containers by itself. Lengths up to capacity/(classes+1) are put
-    next to each other until the container is full. A piece of a class above ``filler`` first goes where a full container
-    of a class up to ``filler`` of this task has room, most room first. What a task leaves unfilled, fewer than ``classes`` squared
-    pieces, is filled again by class, and the rest of that by decreasing size into the first container with room.
-    Only a text longer than a container is split, into full containers and one remainder that is packed like others.
+#: Fixed value: the public pre-tokenization pattern of the byte-level vocabulary.
+BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Null and empty texts have no tokens and no container; repeated rows are packed each; no rows, no containers.
-    Result: ``container, <key>, piece_no, first_token, n_tokens``.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    spark = df.sparkSession
 
-    def size_class(n):
-        return min(capacity // n, classes + 1) if n else 0
+def _filler(level: int, capacity: int, classes: int, filler: int):
+    """Harmonic packing of measured pieces inside a task; what stays open comes out without a container."""
+    names = ["container", "key", "piece_no", "first_token", "n_tokens"]
+    types = [pa.string(), None, pa.int32(), pa.int64(), pa.int32()]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import heapq
 
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer, pattern)
-        task = TaskContext.get().partitionId()
+        mark = f"{level}-{TaskContext.get().partitionId()}"
         made = 0
         waiting: dict[int, list] = {}
-        used: dict[int, int] = {}
+        small: list = []
+        used = 0
         spare: list[tuple[int, str]] = []
-        names = ["container", "cls", "key", "piece_no", "first_token", "n_tokens"]
-        types = [pa.string(), pa.int32(), None, pa.int32(), pa.int64(), pa.int32()]
+        key_type = None
 
-        def batch_of(rows, key_type):
-            cols = list(zip(*rows)) if rows else [[]] * 6
+        def batch_of(rows):
+            cols = list(zip(*rows)) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t or key_type) for c, t in zip(cols, types)], names)
 
-        key_type = None
         for batch in batches:
             key_type = batch.schema.field(0).type
             out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, first, piece = len(enc.encode_ordinary(t)), 0, 1
-                while n - first > capacity:
-                    out.append((f"f{task}-{made}", 0, k, piece, first, capacity))
-                    made, first, piece = made + 1, first + capacity, piece + 1
-                n -= first
-                c = size_class(n)
-                row = (k, piece, first, n)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                n = row[3]
+                c = min(capacity // n, classes + 1)
                 if c > filler and spare and -spare[0][0] >= n:  # room that a container of few pieces leaves
                     room, where = heapq.heappop(spare)
-                    out.append((where, c, *row))
+                    out.append((where, *row))
                     if -room - n >= 16:
                         heapq.heappush(spare, (room + n, where))
                 elif c > classes:  # small ones, side by side
-                    if used.get(c, 0) + n > capacity:
-                        out += [(f"s{task}-{made}", c, *r) for r in waiting[c]]
-                        made, waiting[c], used[c] = made + 1, [], 0
-                    waiting.setdefault(c, []).append(row)
-                    used[c] = used.get(c, 0) + n
-                elif c:
+                    if used + n > capacity:
+                        out += [(f"s{mark}-{made}", *r) for r in small]
+                        made, small, used = made + 1, [], 0
+                    small.append(row)
+                    used += n
+                else:
                     waiting.setdefault(c, []).append(row)
                     if len(waiting[c]) == c:
                         rows = waiting.pop(c)
-                        out += [(f"h{task}-{made}", c, *r) for r in rows]
+                        out += [(f"h{mark}-{made}", *r) for r in rows]
                         room = capacity - sum(r[3] for r in rows)
                         if c <= filler and room >= 16:
-                            heapq.heappush(spare, (-room, f"h{task}-{made}"))
+                            heapq.heappush(spare, (-room, f"h{mark}-{made}"))
                         made += 1
-            yield batch_of(out, key_type)
+            yield batch_of(out)
         if key_type is not None:
-            yield batch_of([(None, c, *r) for c, rows in waiting.items() for r in rows], key_type)
+            yield batch_of([(None, *r) for rows in [*waiting.values(), small] for r in rows])
+
+    return fill
+
+
+def _best_fit(sizes: list[int], capacity: int) -> list[int]:
+    """Container of each size, in the order given: the one with least room that holds it, else a new one."""
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    there, bins, out = 0, 0, []  # a bit for each room that some container has
+    for n in sizes:
+        fits = there >> n
+        if fits:
+            room = n + (fits & -fits).bit_length() - 1
+            b = by_room[room].pop()
+            if not by_room[room]:
+                there ^= 1 << room
+        else:
+            room, b, bins = capacity, bins, bins + 1
+        by_room[room - n].append(b)
+        there |= 1 << (room - n)
+        out.append(b)
+    return out
+
+
+def pack_texts(df: DataFrame, key: str, text: str, *, capacity: int = 2048, classes: int = 48, filler: int = 8, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str = BYTE_PATTERN, last_rows: int = 20_000) -> DataFrame:
+    """Assign every text, measured in tokens, to a container of ``capacity`` tokens.
+
+    Harmonic packing: a length in (capacity/(k+1), capacity/k] belongs to class k, whose containers hold exactly k
+    pieces, so that every scan task fills its containers by itself. Lengths up to capacity/(classes+1) are put
+    next to each other until the container is full. A piece of a class above ``filler`` first goes where a full container
+    of a class up to ``filler`` of this task has room, most room first. What tasks leave unfilled, fewer than ``classes``
+    squared pieces each, is packed in the same way by fewer tasks, and so on, until at most ``last_rows`` pieces are left;
+    these go by decreasing size into the container with least room.
+    Only a text longer than a container is split, into full containers and one remainder that is packed like others.
+    The tokenizer's file is read once, by the driver, and sent to the tasks.
+
+    Null and empty texts have no tokens and no container; repeated rows are packed each; no rows, no containers.
+    Result: ``container, <key>, piece_no, first_token, n_tokens``.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    spark = df.sparkSession
+    with open(tokenizer, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: about 1 MB
 
-    cols = f"container string, cls int, key {kind}, piece_no int, first_token long, n_tokens int"
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder_of(ranks.value, pattern)
+        for batch in batches:
+            rows = [(i, p + 1, s, min(capacity, n - s)) for i, t in enumerate(batch.column(1).to_pylist()) if (n := len(enc.encode_ordinary(t))) for p, s in enumerate(range(0, n, capacity))]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names)
+
+    names = ["key", "piece_no", "first_token", "n_tokens"]
+    piece = f"key {kind}, piece_no int, first_token long, n_tokens int"
+    cols = f"container string, {piece}"
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.length("text") > 0)
-    done, _ = runtime.stage(rows.mapInArrow(fill, cols), "packed")
-    left = done.filter(F.col("container").isNull())
-    # a class has fewer than its k pieces a task here; containers of k again, the last of a class stays open
-    w = Window.partitionBy("cls").orderBy(F.col("n_tokens").desc(), "key", "piece_no")
-    per = F.when(F.col("cls") > classes, F.lit(classes + 1)).otherwise(F.col("cls"))
-    ranked = left.withColumn("rank", F.row_number().over(w) - 1).withColumn("many", F.count("*").over(Window.partitionBy("cls")))
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank") / per)).withColumn("whole", (F.col("bin") + 1) * per <= F.col("many"))
-    again = ranked.withColumn("container", F.when(F.col("whole"), F.concat(F.lit("r"), F.col("cls").cast("string"), F.lit("-"), F.col("bin").cast("string"))))
-
-    def first_fit(group):
-        import pandas as pd
-
-        group = group.sort_values(["n_tokens", "key", "piece_no"], ascending=[False, True, True])
-        room: list[int] = []
-        where = []
-        for n in group["n_tokens"]:
-            i = next((i for i, r in enumerate(room) if r >= n), None)
-            if i is None:
-                i = len(room)
-                room.append(capacity)
-            room[i] -= n
-            where.append(f"x-{i}")
-        return pd.DataFrame(group.assign(container=where)[["container", "cls", "key", "piece_no", "first_token", "n_tokens"]])
-
-    names = ["container", "cls", "key", "piece_no", "first_token", "n_tokens"]
-    again, _ = runtime.stage(again.select(*names), "packed-again")
-    rest = again.filter(F.col("container").isNull()).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(first_fit, cols)
-    out = done.filter(F.col("container").isNotNull()).unionByName(again.filter(F.col("container").isNotNull())).unionByName(rest)
-    return out.drop("cls").withColumnRenamed("key", key)
+    todo = rows.mapInArrow(measure, piece)
+    out: list[DataFrame] = []
+    level, before = 0, None
+    while True:
+        done, _ = runtime.stage(todo.mapInArrow(_filler(level, capacity, classes, filler), cols), "packed")
+        out.append(done.filter(F.col("container").isNotNull()))
+        left = done.filter(F.col("container").isNull()).select(*names)
+        n = left.count()
+        if n <= last_rows or before is not None and n > before / 2:
+            break
+        level, before = level + 1, n
+        todo = left.repartition(max(1, n // (5 * last_rows)))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).sort_by([("n_tokens", "descending"), ("key", "ascending"), ("piece_no", "ascending")])
+        where = _best_fit(t.column("n_tokens").to_pylist(), capacity)
+        yield from t.add_column(0, "container", pa.array([f"x-{i}" for i in where], pa.string())).to_batches(50_000)
+
+    out.append(left.repartition(1).mapInArrow(finish, cols))  # a bounded number of rows
+    return reduce(DataFrame.unionByName, out).withColumnRenamed("key", key)
 
 
 def container_fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:

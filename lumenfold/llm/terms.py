@@ -26,12 +26,12 @@ def normal_terms(c: Column) -> Column:
 
 
 def _duck(folder: str, memory_mb: int):
+    """DuckDB that spills to the shared folder; where that is no mounted one, it keeps to its memory and does not spill."""
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"SET threads=1; SET memory_limit='{memory_mb}MB'; SET preserve_insertion_order=false")
-    if folder.startswith("/"):
-        con.execute(f"SET temp_directory='{folder}'")
+    con.execute(f"SET temp_directory='{folder if folder.startswith('/') else ''}'")
     return con
 
 
@@ -39,20 +39,13 @@ def _local(path: str) -> str:
     return path[5:].replace("//", "/", 1) if path.startswith("file:") else path
 
 
-def _reader(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> pa.RecordBatchReader:
-    def batches():
-        yield first
-        yield from rest
-
-    return pa.RecordBatchReader.from_batches(first.schema, batches())
-
-
-def term_frequencies(df: DataFrame, fields: list[str], *, bits: int = 6, leaf_mb: int = 256, max_depth: int = 5, memory_mb: int = 256) -> DataFrame:
+def term_frequencies(df: DataFrame, fields: list[str], *, bits: int = 6, leaf_mb: int = 256, max_depth: int = 5, memory_mb: int = 256, combine_rows: int = 1_000_000) -> DataFrame:
     """Occurrences and records of each distinct term of the list columns ``fields``.
 
-    Recursive radix spilling: every scan task combines its own repeats, so that a hot term leaves a task once,
-    and writes its terms by the first hash bits to the shared folder. Parts above ``leaf_mb`` are written again by
-    the next bits. Each leaf is then aggregated by one DuckDB process that spills to the shared folder.
+    Recursive radix spilling: every scan task combines its own repeats, some ``combine_rows`` items at a time, so that a
+    hot term leaves it once for that many; the terms are written by the first hash bits to the shared folder, a few files
+    a bucket. Parts above ``leaf_mb`` are written again by the next bits. Each leaf is then aggregated by one DuckDB
+    process that spills to the shared folder (if that is no mounted folder, leaves are smaller and fit its memory).
 
     Null lists, empty lists, null and blank items count as records without terms; an item repeated in one record
     adds occurrences but one record; no rows give no terms; other columns are not read.
@@ -73,18 +66,35 @@ def term_frequencies(df: DataFrame, fields: list[str], *, bits: int = 6, leaf_mb
         rows = rows.unionByName(p)
     rows = rows.select("field", "t.term", F.xxhash64("field", "t.term").alias("h"), F.lit(1).cast("long").alias("occurrences"), F.col("t.one").cast("long").alias("records"))
 
+    if not spill.startswith("/"):
+        leaf_mb = min(leaf_mb, memory_mb // 4)
+
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        con = _duck(spill, memory_mb)
-        src = _reader(first, batches)  # noqa: F841
-        out = con.sql("SELECT field, term, h, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM src GROUP BY field, term, h")
-        yield from out.to_arrow_reader(50_000)
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            con = _duck(spill, memory_mb)
+            src = pa.Table.from_batches(held)  # noqa: F841
+            yield from con.sql("SELECT field, term, h, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM src GROUP BY field, term, h").to_arrow_reader(50_000)
+            con.close()
+
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= combine_rows:
+                yield from out()
+                held.clear()
+        if held:
+            yield from out()
 
     schema = "field string, term string, h long, occurrences long, records long"
     level = f"{root}/0"
-    rows.mapInArrow(combine, schema).withColumn("bucket", F.col("h").bitwiseAND(F.lit(fan - 1)).cast("int")).write.partitionBy("bucket").parquet(level)
+    # some files a bucket, by higher bits, instead of one for each scan task
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // fan)
+
+    def spread(df: DataFrame) -> None:
+        df.repartition(F.col("bucket"), F.pmod(F.shiftrightunsigned(F.col("h"), 48), F.lit(files))).write.partitionBy("bucket").parquet(level)
+
+    spread(rows.mapInArrow(combine, schema).withColumn("bucket", F.col("h").bitwiseAND(F.lit(fan - 1)).cast("int")))
     leaves: list[str] = []
     pending = runtime.sizes(spark, level)
     for depth in range(1, max_depth + 1):
@@ -96,7 +106,7 @@ def term_frequencies(df: DataFrame, fields: list[str], *, bits: int = 6, leaf_mb
         level = f"{root}/{depth}"
         deeper = F.shiftrightunsigned(F.col("h"), depth * bits).bitwiseAND(F.lit(fan - 1)).cast("int")
         parent = F.regexp_replace(F.input_file_name(), r".*bucket=([0-9_]+)/[^/]*$", "$1")
-        spark.read.schema(schema).parquet(*big).withColumn("bucket", F.concat_ws("_", parent, deeper)).write.partitionBy("bucket").parquet(level)
+        spread(spark.read.schema(schema).parquet(*big).withColumn("bucket", F.concat_ws("_", parent, deeper)))
         pending = runtime.sizes(spark, level)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +137,27 @@ def mark_terms(freq: DataFrame, records: int, *, min_records: int = 3, max_share
     return freq.withColumn("verdict", F.when(F.col("records") < min_records, "rare").when(F.col("records") > max_share * records, "common"))
 
 
+def _pair_steps(rows, m: int, most: int):
+    """Index pairs (i <= j) of records of ``m`` items that begin at ``rows``, at most about ``most`` at a time."""
+    import numpy as np
+
+    if m * (m + 1) // 2 <= most:
+        i, j = np.triu_indices(m)
+        step = max(1, most // len(i))
+        for s in range(0, len(rows), step):
+            yield rows[s : s + step, None], i, j
+        return
+    for r in rows:  # a record of very many items goes by rows of its triangle
+        a = 0
+        while a < m:
+            b = min(m, a + max(1, most // m))
+            i = np.repeat(np.arange(a, b), m - np.arange(a, b))
+            j = np.concatenate([np.arange(x, m) for x in range(a, b)])
+            for s in range(0, len(i), most):
+                yield np.array([[r]]), i[s : s + most], j[s : s + most]
+            a = b
+
+
 def cooccurrence(df: DataFrame, field: str, *, flush: int = 500_000, segments: int = 4) -> DataFrame:
     """Every pair of different terms that stand in one record, with counts, lift and log-likelihood ratio.
 
@@ -179,11 +210,8 @@ def cooccurrence(df: DataFrame, field: str, *, flush: int = 500_000, segments: i
             for m in np.unique(lens):
                 if not m:
                     continue
-                i, j = np.triu_indices(m)
-                step = max(1, 1_000_000 // len(i))
                 rows = start[lens == m]
-                for s in range(0, len(rows), step):
-                    r = rows[s : s + step, None]
+                for r, i, j in _pair_steps(rows, int(m), 1_000_000):
                     c, n = np.unique((code[r + i] << 32) | code[r + j], return_counts=True)
                     held.append((c.ravel(), n))
                     if sum(len(c) for c, _ in held) > flush:
@@ -200,27 +228,11 @@ def cooccurrence(df: DataFrame, field: str, *, flush: int = 500_000, segments: i
         if held:
             yield from emit()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sums(t: pa.Table) -> pa.Table:
-            return t.group_by(["item", "near"]).aggregate([("n", "sum")]).rename_columns(["item", "near", "n"])
-
-        held: list[pa.Table] = []
-        rows = 0
-        for b in batches:
-            lens = pa.array(np.diff(b.column("near").offsets.to_numpy()))
-            item = b.column("item").take(pa.array(np.repeat(np.arange(b.num_rows), lens.to_numpy())))
-            held.append(pa.table({"item": item, "near": b.column("near").flatten(), "n": b.column("n").flatten()}))
-            rows += len(item)
-            if rows > 2_000_000:
-                held = [sums(pa.concat_tables(held))]
-                rows = held[0].num_rows
-        if held:
-            yield from sums(pa.concat_tables(held)).to_batches(50_000)
-
     lists = df.select(F.array_distinct(normal_terms(F.col(f"`{field}`"))).alias("t")).filter(F.size("t") > 0)
     sent = lists.mapInArrow(stripes, "item string, seg int, near array<string>, n array<long>")
-    pairs = sent.repartition("item", "seg").mapInArrow(merge, "item string, near string, n long")
-    pairs, _ = runtime.stage(pairs, "stripes")
+    # stripes of a key meet in one task and are merged there by the JVM's aggregate, which spills; no further shuffle
+    pairs = sent.repartition("item", "seg").select("item", "seg", F.explode(F.arrays_zip("near", "n")).alias("x")).groupBy("item", "seg", F.col("x.near").alias("near")).agg(F.sum("x.n").alias("n"))
+    pairs, _ = runtime.stage(pairs.select("item", "near", "n"), "stripes")
     own = pairs.filter(F.col("item") == F.col("near")).select(F.col("item").alias("own"), F.col("n").alias("n_own"))
     out = pairs.filter(F.col("item") != F.col("near")).select(F.col("item").alias("item_a"), F.col("near").alias("item_b"), "n")
     out = out.join(own.select(F.col("own").alias("item_a"), F.col("n_own").alias("n_a")), "item_a").join(own.select(F.col("own").alias("item_b"), F.col("n_own").alias("n_b")), "item_b")

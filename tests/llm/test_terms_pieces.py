@@ -49,6 +49,20 @@ def test_pairs_by_brute_force(lists):
         assert got == {p: (n, one[p[0]], one[p[1]], 300) for p, n in two.items()}
 
 
+def test_records_of_very_many_items():
+    import numpy as np
+
+    for m, most in ((7, 10), (7, 3), (30, 100), (5, 1000)):
+        got = [(int(r), int(x), int(y)) for rows, i, j in terms._pair_steps(np.array([100, 200]), m, most) for r in np.ravel(rows) for x, y in zip(i, j)]
+        assert sorted(got) == [(r, x, y) for r in (100, 200) for x in range(m) for y in range(x, m)]
+
+
+def test_combined_in_steps(lists):
+    _, df = lists
+    a, b = (sorted(map(tuple, terms.term_frequencies(df, ["tags"], combine_rows=n).collect())) for n in (1_000_000, 1))
+    assert a == b
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id int, tags array<string>, text string")
     assert terms.term_frequencies(df, ["tags"]).count() == terms.cooccurrence(df, "tags").count() == 0
@@ -86,11 +100,21 @@ def test_pieces(spark):
         pieces.split_texts(df, "id", "text", limit=10, overlap=10)
 
 
-def test_containers(spark):
+def test_best_fit():
+    sizes = sorted(random.Random(1).choices(range(1, 2049), k=500), reverse=True)
+    where = pieces._best_fit(sizes, 2048)
+    fill = Counter()
+    for n, b in zip(sizes, where):
+        fill[b] += n
+    assert max(fill.values()) <= 2048 and len(fill) <= 1.1 * sum(sizes) / 2048 + 1
+
+
+@pytest.mark.parametrize("last_rows", [20_000, 5])
+def test_containers(spark, last_rows):
     rng = random.Random(2)
     texts = [(i, " ".join(rng.choice(["moon", "river", "a", "stone"]) for _ in range(rng.choice([3, 40, 300, 1200, 5000])))) for i in range(200)] + [(900, ""), (901, None), (5, "again")]
     df = spark.createDataFrame(texts, "id long, text string").repartition(3)
-    rows = pieces.pack_texts(df, "id", "text").collect()
+    rows = pieces.pack_texts(df, "id", "text", last_rows=last_rows).collect()
     enc = pieces.encoder("/opt/tokenizers/byte_bpe_50k.tiktoken", pieces.BYTE_PATTERN)
     size = Counter()
     for i, t in texts:
