@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.names import FILLERS, NICKNAMES
@@ -31,12 +32,14 @@ _NO_NAME = set(
 
 
 class _Chars(dict):
-    """Character numbers: ASCII by itself, accented letters by their base letter, white space as one."""
+    """Character numbers: ASCII by itself, but all digits as one; accented letters by their base letter, white space as one."""
 
     def __missing__(self, c: int) -> int:
         ch = chr(c)
         if ch.isspace():
             out = _SPACE
+        elif ch.isdigit():
+            out = ord("0") - 29
         elif 32 < c < 127:
             out = c - 29
         else:
@@ -58,8 +61,8 @@ def char_ids(text: str):
     return np.array([_CHARS[int(c)] for c in few], np.int64)[at] if len(cp) else np.zeros(0, np.int64)
 
 
-# --- what the types look like ------------------------------------------------------------------------------------
-# Used twice: to label the sample that the network is trained on, and to set the ends of what the network has found.
+# --- labels to train on ------------------------------------------------------------------------------------------
+# These forms only label the sample; what is found in a text, its type and its ends are the network's.
 
 _DASH = r"[-‐‑–]"
 FORMS: dict[str, list[re.Pattern]] = {
@@ -76,12 +79,13 @@ FORMS: dict[str, list[re.Pattern]] = {
         re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![\w-])", re.I),
         re.compile(r"(?<![\w-])\d{3}[ -]\d{2}[ -]\d{4}(?![\w-])"),
         re.compile(r"(?<![\w-])[A-Z]\d{3}-\d{4}-\d{4}(?![\w-])", re.I),
-        re.compile(r"(?<![\w-])(?:[A-Z]{2}\d{6}[A-Z]|[A-Z]\d{7,8}|\d{6}-\d{4}|9\d{8})(?![\w-])", re.I),
+        re.compile(r"(?<![\w-])(?:[A-Z]{2}\d{6}[A-Z]|[A-Z]{1,2}\d{7,8}|\d{6}-\d{4}|\d{8}[A-Z]|(?<!\d[ .-])\d{9}(?![ .-]\d))(?![\w-])", re.I),
     ],
     "address": [
         re.compile(r"(?<![\w.])P\.? ?O\.? Box \d+(?:, [^\W\d_]+(?: \d{5}(?!\d))?)?", re.I),
         re.compile(r"(?<![\w.])(?:Flat \d+, )?\d+[a-z]? (?:[^\W\d_]+ ){1,2}?(?:Street|Road|Lane|Avenue|Court|Drive|Way|Close|St\.|Rd\.|Ave\.|St|Rd|Ave)(?!\w)(?:, Apt\.? \d+)?(?:, [^\W\d_]+ \d{5}(?!\d))?", re.I),
-        re.compile(r"(?<![\w.])\d+[a-z]?, rue (?:Old Mill|(?!de\b)[^\W\d_]+)(?!\w)", re.I),
+        re.compile(r"(?<![\w.])\d+[a-z]?,? (?:rue|avenue|place|impasse) (?:(?:de|des|du|d'|de la|de l') ?)?[A-ZÀ-Ý][^\W\d_]+(?: [A-ZÀ-Ý][^\W\d_]+)?(?!\w)"),
+        re.compile(r"(?<![\w.])\d+[a-z]?, rue (?!de\b)[^\W\d_]+(?!\w)", re.I),
         re.compile(r"(?<!\w)Calle (?:[^\W\d_]+ ){1,2}?\d+(?!\w)", re.I),
         re.compile(r"(?<!\w)[^\W\d_]+(?:straße|strasse) \d+[a-z]?(?!\w)", re.I),
     ],
@@ -117,6 +121,7 @@ def teacher(text: str, given: set[str], surnames: set[str]) -> list[tuple[int, i
 
 #: Kinds of streets, in four languages, and ends of host names.
 _STREETS = "Street Road Lane Avenue Court Drive Way Close Terrace Place Square Hill Gardens Row Boulevard Park Grove St. Rd. Ave. St Rd Ave Blvd Ln Dr".split()
+_SHORT_STREETS = "St. Rd. Ave. Blvd. Ln. Dr.".split()
 _STRASSEN = "straße strasse weg platz gasse allee ring".split()
 _RUES = "rue avenue boulevard place impasse chemin".split()
 _CALLES = "Calle Avenida Plaza Paseo Camino".split()
@@ -140,7 +145,7 @@ def _made_up(rng: random.Random, given: list[str], surnames: list[str]) -> tuple
         s = (a[: max(3, len(a) // 2)] + b[len(b) // 2 :]).title()
     elif r < 0.5:
         s = _word(rng).title()
-    kind = rng.choice(["email", "phone", "id_number", "address", "name", "name"])
+    kind = rng.choice(["email", "phone", "id_number", "address", "address", "name", "name"])
     if kind == "email":
         user = rng.choice([f"{g[0]}.{s}-{d(2)}", f"{g}.{s}", f"{g}+{_word(rng)}", f"{s}_{d(2)}", f"{g[0]}{s}", f"{_word(rng)}{d(2)}", f"{g} dot {s}"]).lower()
         host = f"{_word(rng)}{rng.choice(['', '', '-' + _word(rng)])}.{rng.choice(_HOSTS)}"
@@ -156,10 +161,10 @@ def _made_up(rng: random.Random, given: list[str], surnames: list[str]) -> tuple
         v = rng.choice([f"{cap(1)}{d(rng.randint(7, 8))}", f"{d(3)}{p}{d(2)}{p}{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{cap(1)}{d(3)}-{d(4)}-{d(4)}", f"9{d(8)}", f"{cap(2)}{d(2)}" + "".join(f" {d(4)}" for _ in range(rng.randint(3, 5))), f"{d(6)}-{d(4)}", f"{cap(2)}{d(6)}{cap(1)}", f"{d(8)}{cap(1)}", f"{cap(2)}{d(7)}"])
     elif kind == "address":
         n, street, town = f"{rng.randint(1, 250)}{rng.choice(['', '', '', 'a', 'b'])}", _word(rng).title(), rng.choice(surnames).title() if rng.random() < 0.5 else _word(rng).title()
-        two = f"{street} {_word(rng).title()}" if rng.random() < 0.2 else street
+        two = f"{street} {_word(rng).title()}" if rng.random() < 0.35 else street
         of = rng.choice(["", "", "", "", "", "de ", "de la ", "du "])
-        first = f"{n} {two} {rng.choice(_STREETS)}"
-        v = rng.choice([first, first, f"{first}, {town} {d(5)}", f"{first}, Apt {rng.randint(1, 20)}", f"Flat {rng.randint(1, 9)}, {first}", f"P.O. Box {rng.randint(100, 2000)}, {town}", f"{rng.choice(_CALLES)} {two} {n}", f"{n}{rng.choice([', ', ', ', ' '])}{rng.choice(_RUES)} {of}{two}", f"{n}, rue {of}{street}", f"{street}{rng.choice(_STRASSEN)} {n}"])
+        first = f"{n} {two} {rng.choice(_STREETS if rng.random() < 0.75 else _SHORT_STREETS)}"
+        v = rng.choice([first, first, f"{first}, {town} {d(5)}", f"{first}, Apt {rng.randint(1, 20)}", f"Flat {rng.randint(1, 9)}, {first}", f"{rng.choice(['Unit', 'Apt', 'Flat'])} {rng.randint(1, 9)}, {first}", f"P.O. Box {rng.randint(100, 2000)}, {town}", f"{rng.choice(_CALLES)} {two} {n}", f"{n}{rng.choice([', ', ', ', ' '])}{rng.choice(_RUES)} {of}{two}", f"{n}, rue {of}{street}", f"{street}{rng.choice(_STRASSEN)} {n}"])
     else:
         if rng.random() < 0.15:
             s = rng.choice([f"{s}-{_word(rng).title()}", f"O'{s}", _word(rng)[:2].title() + rng.choice(["", "n"]), f"Mc{s}"])
@@ -168,13 +173,16 @@ def _made_up(rng: random.Random, given: list[str], surnames: list[str]) -> tuple
 
 
 def _nothing(rng: random.Random) -> str:
-    """What looks like an item and is none: a number of things, a sum, an order number."""
-    w = _word(rng)
+    """What looks like an item and is none: a number of things, a sum, an order number, a book number, a place in a book."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    w, p = _word(rng), rng.choice(" -")
+    if rng.random() < 0.4:
+        return rng.choice([f"ISBN {d(3)}{p}{d(1)}{p}{d(2)}{p}{d(6)}{p}{d(1)}", f"page {d(3)}, line {d(2)}, word {d(1)}", f"{d(2)}:{d(2)}", f"version {d(1)}.{d(1)}.{d(2)}", f"{d(1)}/{d(2)}/{d(4)}"])
     n = rng.randint(2, 250)
     return rng.choice([f"{n} {w.title()}", f"{n} {w}", f"{n} {w.title()}. {_word(rng).title()}", f"{n},{rng.randint(100, 999)} {w}", f"{n} to {rng.randint(2, 99)}", f"{n}.{rng.randint(10, 99)}", f"no. {rng.randint(1000, 9999999)}"])
 
 
-def examples(texts: list[str], given: set[str], surnames: set[str], seed: int = 5, most: int = 12_000) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def examples(texts: list[str], given: set[str], surnames: set[str], seed: int = 5, most: int = 12_000, width: int = 100) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled windows: what the teacher finds in the texts, with made-up values put between words."""
     rng = random.Random(seed)
     g, s = sorted(given) or ["ann"], sorted(surnames) or ["lee"]
@@ -184,19 +192,20 @@ def examples(texts: list[str], given: set[str], surnames: set[str], seed: int =
         if len(text) < 20:
             continue
         whole = teacher(text, given, surnames)
-        a = max(0, rng.choice(whole)[0] - rng.choice([0, rng.randrange(130), rng.randrange(10, 130)])) if whole and rng.random() < 0.75 else rng.randrange(max(1, len(text) - 150))
+        a = max(0, rng.choice(whole)[0] - rng.choice([0, rng.randrange(width), rng.randrange(10, width)]) * 3 // 4) if whole and rng.random() < 0.75 else rng.randrange(max(1, len(text) - width))
         a = text.find(" ", a) + 1 if a else 0
-        part = text[a : a + 170]
+        b = text.find(" ", a + width)
+        part = text[a : b if b > 0 else None] if b < a + width + 40 else text[a : a + width]
         spans = teacher(part, given, surnames)
         if rng.random() < 0.75:
-            for _ in range(rng.randint(1, 3)):
+            for _ in range(rng.randint(1, 2)):
                 gaps = [m.start() for m in re.finditer(r"(?<=[\w.,]) (?=\w)", part) if not any(x <= m.start() < y for x, y, _ in spans)]
                 if not gaps:
                     break
                 at = rng.choice(gaps)
-                kind, v = _made_up(rng, g, s) if rng.random() < 0.9 else ("", _nothing(rng))
+                kind, v = _made_up(rng, g, s) if rng.random() < 0.86 else ("", _nothing(rng))
                 before = " " + rng.choice(lead)
-                after = rng.choice(["", "", ".", ","])
+                after = rng.choice(["", "", ".", ","] if not v.endswith(("St", "Rd", "Ave", "Blvd", "Ln", "Dr")) else ["", ","])
                 add = len(before) + len(v) + len(after)
                 spans = [(x, y, t) if y <= at else (x + add, y + add, t) for x, y, t in spans]
                 if kind:
@@ -325,8 +334,8 @@ def _crf(score, gold, trans, mask):
     return nll / n, d_score / n, d_trans / n
 
 
-def train(samples: list[tuple[str, list[tuple[int, int, str]]]], *, epochs: int = 12, batch: int = 128, rate: float = 0.012, seed: int = 2) -> dict:
-    """Network fitted to labelled texts by Adam on the CRF likelihood."""
+def start(seed: int = 2) -> dict:
+    """A network that has learned nothing."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -341,42 +350,110 @@ def train(samples: list[tuple[str, list[tuple[int, int, str]]]], *, epochs: int
     net = {k: v.astype(np.float32) for k, v in net.items()}
     for k in ("table_f", "table_b"):
         net[k][:, HIDDEN : 2 * HIDDEN] += 1  # remember at first
-    m1, m2 = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
+    return net
+
+
+def _batches(samples: list, batch: int) -> list[tuple]:
+    """Characters, tags and mask (time x batch) of labelled texts, those of like length together."""
+    import numpy as np
+
     number = {t: i for i, t in enumerate(TAGS)}
-    data = []
-    for text, spans in samples:
-        ids, y = char_ids(text), np.zeros(len(text), np.int64)
-        for a, b, t in spans:
-            y[a:b] = number[f"I-{t}"]
-            y[a] = number[f"B-{t}"]
-        data.append((ids, y))
-    data.sort(key=lambda x: len(x[0]))
-    groups = [data[i : i + batch] for i in range(0, len(data), batch)]
+    out = []
+    samples = sorted(samples, key=lambda x: len(x[0]))
+    for s in range(0, len(samples), batch):
+        part = samples[s : s + batch]
+        t_max = max(len(x) for x, _ in part)
+        ids, gold, mask = np.full((t_max, len(part)), _PAD), np.zeros((t_max, len(part)), np.int64), np.zeros((t_max, len(part)), bool)
+        for i, (text, spans) in enumerate(part):
+            ids[: len(text), i], mask[: len(text), i] = char_ids(text), True
+            for a, b, t in spans:
+                gold[a:b, i] = number[f"I-{t}"]
+                gold[a, i] = number[f"B-{t}"]
+        out.append((ids, gold, mask))
+    return out
+
+
+def gradients(net: dict, ids, gold, mask) -> dict:
+    """Gradients of the CRF likelihood of one batch."""
+    import numpy as np
+
+    score, both, fo, ba = emissions(net, ids, keep=True)
+    _, ds, dt = _crf(score, gold, net["trans"], mask)
+    grad = {"trans": dt, "bias": ds.sum(axis=(0, 1)), "out": both.reshape(-1, 2 * HIDDEN).T @ ds.reshape(-1, len(TAGS))}
+    d_both = ds @ net["out"].T
+    grad["table_f"], grad["rec_f"] = _lstm_back(ids, net["table_f"], net["rec_f"], *fo, np.ascontiguousarray(d_both[:, :, :HIDDEN]))
+    grad["table_b"], grad["rec_b"] = _lstm_back(ids[::-1], net["table_b"], net["rec_b"], *ba, np.ascontiguousarray(d_both[::-1, :, HIDDEN:]))
+    return grad
+
+
+def advance(state: tuple, batches: list[tuple], steps: int, *, rate: float) -> tuple:
+    """Some steps of Adam, one a batch: ``state`` is (network, first moments, second moments, steps done)."""
+    import numpy as np
+
+    net, m1, m2, step = ({k: v.copy() for k, v in x.items()} if isinstance(x, dict) else x for x in state)
+    for ids, gold, mask in batches:
+        grad = gradients(net, ids, gold, mask)
+        size = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
+        cut = min(1.0, 5.0 / max(size, 1e-9))
+        step += 1
+        lr = rate * min(1.0, step / 10) * max(0.05, 1 - 0.95 * step / steps)
+        for k, v in grad.items():
+            v = v * cut
+            m1[k] = 0.9 * m1[k] + 0.1 * v
+            m2[k] = 0.99 * m2[k] + 0.01 * v * v
+            net[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return net, m1, m2, step
+
+
+def _empty_moments(net: dict) -> dict:
+    import numpy as np
+
+    return {k: np.zeros_like(v) for k, v in net.items()}
+
+
+def train(samples: list, *, epochs: int = 12, batch: int = 64, rate: float = 0.012, seed: int = 2) -> dict:
+    """Network fitted to labelled texts by Adam on the CRF likelihood, in this process."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    net = start(seed)
+    groups = _batches(samples, batch)
     epochs = max(epochs, -(-300 // max(1, len(groups))))  # few examples are gone through more often
-    step, steps = 0, epochs * len(groups)
+    state = (net, _empty_moments(net), _empty_moments(net), 0)
     for _ in range(epochs):
-        for g in rng.permutation(len(groups)):
-            part = groups[g]
-            t_max = max(len(x) for x, _ in part)
-            ids, gold, mask = np.full((t_max, len(part)), _PAD), np.zeros((t_max, len(part)), np.int64), np.zeros((t_max, len(part)), bool)
-            for i, (x, y) in enumerate(part):
-                ids[: len(x), i], gold[: len(x), i], mask[: len(x), i] = x, y, True
-            score, both, fo, ba = emissions(net, ids, keep=True)
-            _, ds, dt = _crf(score, gold, net["trans"], mask)
-            grad = {"trans": dt, "bias": ds.sum(axis=(0, 1)), "out": both.reshape(-1, 2 * HIDDEN).T @ ds.reshape(-1, tags)}
-            d_both = ds @ net["out"].T
-            grad["table_f"], grad["rec_f"] = _lstm_back(ids, net["table_f"], net["rec_f"], *fo, np.ascontiguousarray(d_both[:, :, :HIDDEN]))
-            grad["table_b"], grad["rec_b"] = _lstm_back(ids[::-1], net["table_b"], net["rec_b"], *ba, np.ascontiguousarray(d_both[::-1, :, HIDDEN:]))
-            size = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
-            cut = min(1.0, 5.0 / max(size, 1e-9))
-            step += 1
-            lr = rate * min(1.0, step / 10) * (1 - 0.95 * step / steps)
-            for k, v in grad.items():
-                v = v * cut
-                m1[k] = 0.9 * m1[k] + 0.1 * v
-                m2[k] = 0.99 * m2[k] + 0.01 * v * v
-                net[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return net
+        state = advance(state, [groups[g] for g in rng.permutation(len(groups))], epochs * len(groups), rate=rate)
+    return state[0]
+
+
+def train_spread(spark: SparkSession, samples: list, *, workers: int = 6, steps: int = 540, round_steps: int = 15, batch: int = 64, rate: float = 0.015, seed: int = 2) -> dict:
+    """Network fitted by ``workers`` tasks side by side: each makes ``round_steps`` steps on its own share of the examples
+    from the weights of the round before, and the mean of their weights and moments begins the next round. A lost task is
+    run again from the weights it was given. The examples and the weights are small and bounded by their parameters."""
+    import pickle
+
+    import numpy as np
+
+    net = start(seed)
+    state = (net, _empty_moments(net), _empty_moments(net), 0)
+    given = spark.sparkContext.broadcast(samples)
+    tasks = spark.range(0, workers, 1, workers)
+    for r in range(-(-steps // round_steps)):
+        now = spark.sparkContext.broadcast(state)
+
+        def run(parts: Iterator[pa.RecordBatch], r=r, now=now) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                for w in b.column(0).to_pylist():
+                    rng = np.random.default_rng([seed, w, r])
+                    own = given.value[w::workers] or given.value
+                    pick = [own[i] for i in rng.permutation(max(len(own), round_steps * batch))[: round_steps * batch] % len(own)]
+                    groups = _batches(pick, batch)
+                    made = advance(now.value, [groups[g] for g in rng.permutation(len(groups))], steps, rate=rate)
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["state"])
+
+        made = [pickle.loads(bytes(x[0])) for x in tasks.mapInArrow(run, "state binary").collect()]
+        state = (*({k: np.mean([m[i][k] for m in made], axis=0, dtype=np.float32) for k in net} for i in range(3)), made[0][3])
+        now.unpersist()
+    return state[0]
 
 
 def decode(net: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -489,99 +566,98 @@ def _inner(text: str, at: int) -> bool:
 
 
 def _whole_words(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
-    """A find without a form with its ends at whole words; none if it lacks what each item of its type has."""
-    while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
-        a -= 1
-    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-        b += 1
+    """A find with its ends at whole words; none if it lacks what each item of its type has: an at in an e-mail address,
+    5 digits in a phone number, 4 in an id number, a digit and a word in an address.
+
+    A word goes on over the signs that stand inside e-mail addresses and numbers; a number begins with its plus sign or
+    bracket; the full stop of a shortened kind of street is part of that word.
+    """
+    inner = "._+-%@" if kind == "email" else "-" if kind in ("phone", "id_number") else ""
+
+    def goes_on(i: int, step: int) -> bool:
+        """Whether the word of the sign before ``i`` (as seen in the direction ``step``) goes on at ``i``."""
+        if not 0 <= i < len(text) or not text[i - step].isalnum() and text[i - step] not in inner:
+            return False
+        return text[i].isalnum() or text[i] in inner and 0 <= i + step < len(text) and text[i + step].isalnum()
+
     while a < b and not (text[a].isalnum() or text[a] in "+(" and kind == "phone"):
         a += 1
     while a < b and not text[b - 1].isalnum():
         b -= 1
+    if a >= b:
+        return None
+    while text[a].isalnum() and goes_on(a - 1, -1):
+        a -= 1
+    while goes_on(b, 1):
+        b += 1
+    if kind == "phone":
+        while a > 0 and text[a - 1] in "+(" and (text[a - 1] == "+" or ")" in text[a:b]):
+            a -= 1
+    if kind == "address" and text[b : b + 1] == "." and re.split(r"\W", text[a:b])[-1].lower() in {s.rstrip(".").lower() for s in _SHORT_STREETS}:
+        b += 1
     value, digits = text[a:b], sum(c.isdigit() for c in text[a:b])
     has = re.search(r"@|\b(?:at|arroba|ät)\b", value, re.I) if kind == "email" else digits >= {"phone": 5, "id_number": 4, "address": 1}[kind] and (kind != "address" or re.search(r"[^\W\d_]{2}", value))
-    return (a, b, kind) if value and has else None
+    return (a, b, kind) if has else None
+
+
+def _name(text: str, a: int, b: int, given: frozenset[str]) -> tuple[int, int, str] | None:
+    """A find of a name at whole words, without titles, sentence ends and what else is no part of one; or none."""
+    while a > 0 and (text[a - 1].isalnum()):
+        a -= 1
+    while b < len(text) and (text[b].isalnum() or _inner(text, b)):
+        b += 1
+    words = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\s]+", text[a:b])]
+    words = [(x, y) for x, y in words if any(c.isalpha() for c in text[x:y])]
+    if not words:
+        return None
+    stops = [i + 1 for i, (x, y) in enumerate(words) if text[y - 1] in ".!?" and y - x > 2 and text[x:y].lower().strip(".") not in TITLES]
+    parts = [words[i:j] for i, j in zip([0, *stops], [*stops, len(words)])]
+    words = max(parts, key=len)  # a sentence may end inside
+    if len(words) > 2 and text[words[0][0]].islower() and text[words[-1][0]].isupper():
+        words = words[1:]
+    while len(words) > 2 and given:
+        low = [text[x:y].lower() for x, y in words]
+        begins = [w in given or bool(re.fullmatch(r"[^\W\d_]\.", w)) for w in low]
+        if begins[0] or not any(begins[1:-1]):
+            break
+        words = words[1:]
+    if len(words) == 1:  # an initial before it
+        m = re.search(r"(?<![\w.])[^\W\d_]\. $", text[max(0, words[0][0] - 3) : words[0][0]])
+        if m:
+            words.insert(0, (words[0][0] - 3 + m.start() if words[0][0] >= 3 else m.start(), words[0][0] - 1))
+    if words and re.fullmatch(r"[^\W\d_]\.", text[words[0][0] : words[0][1]]):  # a known given name before it
+        m = re.search(r"([^\W\d_]+) $", text[max(0, words[0][0] - 30) : words[0][0]])
+        if m and m[1].lower() in given:
+            words.insert(0, (words[0][0] - len(m[0]), words[0][0] - 1))
+    if not 2 <= len(words) <= 4:
+        return None
+    x, y = words[0][0], words[-1][1]
+    while y > x and not text[y - 1].isalpha():
+        y -= 1
+    while x < y and not text[x].isalpha():
+        x += 1
+    y -= 2 if y - x > 2 and text[y - 2] in _APOSTROPHE and text[y - 1] in "sS" else 0
+    value = text[x:y]
+    if len(value.split()) < 2 or value.split()[0].lower() in _NO_NAME or value.split()[-1].lower() in _NO_NAME:
+        return None
+    if value[0].isupper() != value.split()[-1][0].isupper() and value.split()[0].lower().rstrip(".") not in given:
+        return None
+    if re.search(r"\n\s*\n", value) or any(c.isdigit() or c in "@()[]:;!?" for c in value) or not _SURNAME.fullmatch(value.split()[-1]):
+        return None
+    return x, y, "name"
 
 
 def settle(text: str, spans: list[tuple[int, int, str]], given: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """Exact ends of what the network found: the form of its type that it lies in, else whole words; names without
-    titles and without a word before a known given name; what cannot be of its type is dropped: an e-mail address
-    without an at, a phone number of under 5 digits or an id number of under 4, an address without a number or a word,
-    a name of one word or of more than 4, over an empty line, with digits or brackets, or of a word in upper and one in
-    lower case unless it begins with a known given name."""
+    """What the network found, with its types, at whole words: no form decides. Parts of one type with no more than a
+    blank or a hyphen between them are one find. What cannot be of its type is dropped: see ``_whole_words``; a name of
+    one word or of more than 4, over an empty line, with digits or brackets, or of a word in upper and one in lower case
+    unless it begins with a known given name."""
     joined: list[tuple[int, int, str]] = []
-    for s in spans:  # a middle initial may have parted a name
-        if joined and s[2] == "name" == joined[-1][2] and not text[joined[-1][1] : s[0]].strip(" ") and s[0] - joined[-1][1] < 2:
-            s = (joined.pop()[0], s[1], "name")
+    for s in spans:
+        if joined and s[2] == joined[-1][2] and text[joined[-1][1] : s[0]] in ("", " ") + (("-", ".", ") ", ")") if s[2] != "name" else ()):
+            s = (joined.pop()[0], s[1], s[2])
         joined.append(s)
-    spans = joined
-    out: list[tuple[int, int, str]] = []
-    bare: list[tuple[int, int, str]] = []
-    for a, b, kind in spans:
-        lo, hi = max(0, a - 40), min(len(text), b + 40)
-        while lo > 0 and text[lo - 1].isalnum():
-            lo -= 1
-        if kind == "name":
-            while a > 0 and (text[a - 1].isalnum()):
-                a -= 1
-            while b < len(text) and (text[b].isalnum() or _inner(text, b)):
-                b += 1
-            words = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\s]+", text[a:b])]
-            words = [(x, y) for x, y in words if any(c.isalpha() for c in text[x:y])]
-            stops = [i + 1 for i, (x, y) in enumerate(words) if text[y - 1] in ".!?" and y - x > 2 and text[x:y].lower().strip(".") not in TITLES]
-            parts = [words[i:j] for i, j in zip([0, *stops], [*stops, len(words)])]
-            words = max(parts, key=len)  # a sentence may end inside
-            if len(words) > 2 and text[words[0][0]].islower() and text[words[-1][0]].isupper():
-                words = words[1:]
-            while len(words) > 2 and given:
-                low = [text[x:y].lower() for x, y in words]
-                begins = [w in given or bool(re.fullmatch(r"[^\W\d_]\.", w)) for w in low]
-                if begins[0] or not any(begins[1:-1]):
-                    break
-                words = words[1:]
-            if len(words) == 1:  # an initial before it
-                m = re.search(r"(?<![\w.])[^\W\d_]\. $", text[max(0, words[0][0] - 3) : words[0][0]])
-                if m:
-                    words.insert(0, (words[0][0] - 3 + m.start() if words[0][0] >= 3 else m.start(), words[0][0] - 1))
-            if words and re.fullmatch(r"[^\W\d_]\.", text[words[0][0] : words[0][1]]):  # a known given name before it
-                m = re.search(r"([^\W\d_]+) $", text[max(0, words[0][0] - 30) : words[0][0]])
-                if m and m[1].lower() in given:
-                    words.insert(0, (words[0][0] - len(m[0]), words[0][0] - 1))
-            if not 2 <= len(words) <= 4:
-                continue
-            x, y = words[0][0], words[-1][1]
-            while y > x and not text[y - 1].isalpha():
-                y -= 1
-            while x < y and not text[x].isalpha():
-                x += 1
-            y -= 2 if y - x > 2 and text[y - 2] in _APOSTROPHE and text[y - 1] in "sS" else 0
-            value = text[x:y]
-            if value.split()[0].lower() in _NO_NAME or value.split()[-1].lower() in _NO_NAME:
-                continue
-            if value[0].isupper() != value.split()[-1][0].isupper() and value.split()[0].lower().rstrip(".") not in given:
-                continue
-            if re.search(r"\n\s*\n", value) or any(c.isdigit() or c in "@()[]:;!?" for c in value) or len(value.split()) < 2 or not _SURNAME.fullmatch(value.split()[-1]):
-                continue
-            out.append((x, y, kind))
-            continue
-        best = None
-        for k in (kind, *[t for t in FORMS if t != kind]):
-            for rx in FORMS[k]:
-                for m in rx.finditer(text, lo, min(len(text), hi + 60)):
-                    x, y = m.span()
-                    both = min(b, y) - max(a, x)
-                    if both > 0 and both >= 0.4 * (b - a) and (best is None or (both, k == kind, y - x) > best[0]):
-                        best = ((both, k == kind, y - x), x, y, k)
-            if best and best[3] == kind:
-                break
-        if best:
-            out.append((best[1], best[2], best[3]))
-        elif whole := _whole_words(text, a, b, kind):
-            bare.append(whole)
-    for s in bare:  # a form or a name goes before what has none
-        if not any(s[0] < y and x < s[1] for x, y, _ in out):
-            out.append(s)
-    out.sort(key=lambda s: (s[0], -s[1]))
+    out = sorted((f for a, b, kind in joined if (f := _name(text, a, b, given) if kind == "name" else _whole_words(text, a, b, kind))), key=lambda s: (s[0], -s[1]))
     clean: list[tuple[int, int, str]] = []
     for s in out:
         if not clean or s[0] >= clean[-1][1]:
@@ -598,8 +674,8 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def fit(texts: list[str], people: list[str]) -> dict:
-    """Network trained on labelled windows of ``texts``; ``people`` are names as written in a structured column."""
+def _people(people: list[str]) -> tuple[set[str], set[str]]:
+    """Given names and surnames of names as written in a structured column."""
     pairs: dict[str, set[str]] = {}
     for p in people:
         w = [x for x in re.split(r"\s+", p.strip().lower()) if x.rstrip(".") not in TITLES]
@@ -608,21 +684,37 @@ def fit(texts: list[str], people: list[str]) -> dict:
     # a given name stands before several surnames; what else begins with a capital does not
     short = {x for k, v in NICKNAMES.items() for x in [k, *v.split()]}
     given = {g for g, s in pairs.items() if len(s) > 2 or g in short} - FILLERS - {"old"}
-    surnames = {s for g in given for s in pairs[g]}
-    return train(examples(sorted(texts), given | short, surnames)) | {"given": frozenset(given | short)}
+    return given | short, {s for g in given for s in pairs[g]}
+
+
+def fit(texts: list[str], people: list[str], spark: SparkSession | None = None) -> dict:
+    """Network trained on labelled windows of ``texts``, by tasks of ``spark`` if it is given; ``people`` are names as
+    written in a structured column."""
+    given, surnames = _people(people)
+    labelled = examples(sorted(texts), given, surnames)
+    return (train_spread(spark, labelled) if spark and labelled else train(labelled)) | {"given": frozenset(given)}
+
+
+_FITTED: dict[str, dict] = {}
 
 
 def network(samples: DataFrame, text: str, key: str, names: DataFrame, name_column: str, *, most_texts: int = 9000, most_names: int = 20_000) -> dict:
-    """Network fitted to at most about ``most_texts`` texts and ``most_names`` names, both chosen by a hash."""
+    """Network fitted to at most about ``most_texts`` texts and ``most_names`` names, both chosen by a hash; in one
+    application the same sample is fitted to once."""
     total = samples.count()
     pick = F.pmod(F.xxhash64(F.lit("pii"), key), F.lit(1 << 20)) < int(min(1.0, most_texts / max(1, total)) * (1 << 20))
     # a window of a long text, from a place that a hash names: the sample is bounded by characters too
     start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 4000, F.lit(1)).cast("long")).cast("int") + 1
     window = F.substring(F.col(text), start, F.lit(4000))
-    texts = samples.filter(pick).select(window.alias("t")).limit(2 * most_texts).toArrow().column(0).to_pylist()
+    texts = [t for t in samples.filter(pick).select(window.alias("t")).limit(2 * most_texts).toArrow().column(0).to_pylist() if t]
     flat = names.select(F.explode(name_column).alias("n")).filter(F.col("n").contains(" ") & (F.length("n") < 60)).groupBy("n").count()
     known = flat.filter(F.col("count") > 1).orderBy(F.xxhash64("n")).limit(most_names).select("n").toArrow().column(0).to_pylist()
-    return fit([t for t in texts if t], known)
+    spark = samples.sparkSession
+    mark = hashlib.sha256("\0".join([spark.sparkContext.applicationId, *sorted(texts), *sorted(known)]).encode("utf-8", "surrogatepass")).hexdigest()
+    if mark not in _FITTED:
+        _FITTED.clear()
+        _FITTED[mark] = fit(texts, known, spark)
+    return _FITTED[mark]
 
 
 def find_personal(df: DataFrame, key: str, text: str, net: dict) -> DataFrame:
