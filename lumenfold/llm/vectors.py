@@ -113,7 +113,8 @@ def train_books(x, lists: int, books: int = 10, words: int = 256, rounds: int =
     rng = np.random.default_rng(seed)
     left, out = x.copy(), []
     for m in range(books):
-        c = _means(left, lists if m == 0 else second if m == 1 else words, rounds, rng)
+        own = left if m < 2 else left[rng.choice(len(left), min(len(left), 60 * words), replace=False)]  # 60 rows a word
+        c = _means(own, lists if m == 0 else second if m == 1 else words, rounds, rng)
         out.append(c.astype(np.float32))
         left = left - c[(left @ c.T - 0.5 * np.einsum("ij,ij->i", c, c)).argmax(axis=1)]
     return out
@@ -135,8 +136,10 @@ def encode(x, books: list, beam: int = 2):
         cost = np.einsum("ij,ij->i", c, c) - 2 * (left.reshape(-1, d) @ c.T)
         cost += np.einsum("ij,ij->i", left.reshape(-1, d), left.reshape(-1, d))[:, None]
         cost = cost.reshape(n, -1)
-        b = min(beam, cost.shape[1])
-        top = np.argpartition(cost, b - 1, axis=1)[:, :b]
+        top = np.empty((n, min(beam, cost.shape[1])), np.int64)
+        for b in range(top.shape[1]):  # one minimum after the other: few are wanted
+            top[:, b] = cost.argmin(axis=1)
+            cost[rows[:, 0], top[:, b]] = np.inf
         at, word = top // len(c), top % len(c)
         left = left[rows, at] - c[word]
         codes = np.concatenate([codes[rows, at], word[:, :, None]], axis=2)
@@ -179,7 +182,7 @@ def _best_lists(u, books: list, two: int, probes: int):
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, dims: dict[str, int], *, k: int = 10, books: int = 64, probes: int = 24, short: int = 100, short_share: float = 0.25, train_rows: int = 40_000, list_rows: int = 20_000, first_words: int = 4096, most_known: int = 1_000_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, dims: dict[str, int], *, k: int = 10, books: int = 64, probes: int = 32, short: int = 100, short_share: float = 0.25, train_rows: int = 40_000, list_rows: int = 20_000, first_words: int = 4096, most_known: int = 1_000_000) -> DataFrame:
     """The ``k`` most similar vectors (cosine) of the same collection for each row of ``queries``, itself excluded.
 
     Additive quantisation: codebooks of full length are fitted to residuals of a sample of ``train_rows`` rows a
@@ -345,6 +348,7 @@ def _answers(first, books: list, no, codes, length, raw, asks, q_raw, k: int, sh
     n = len(no)
     r = min(n, max(short, k + 1, math.ceil(short_share * n)))
     out = []
+    u = unit(raw)
     step = max(1, 1_000_000 // n)
     for s in range(0, len(asks), step):
         q = q_raw[s : s + step]
@@ -352,11 +356,14 @@ def _answers(first, books: list, no, codes, length, raw, asks, q_raw, k: int, sh
         score = np.repeat((first @ y)[None], n, axis=0)
         for m, b in enumerate(books):
             score += (b @ y)[codes[:, m]]  # the table of this book, looked up
-        score /= np.maximum(length, 1e-6)[:, None]
-        pick = np.argpartition(-score, r - 1, axis=0)[:r].T if r < n else np.broadcast_to(np.arange(n), (len(q), n))
+        score = np.ascontiguousarray((score / -np.maximum(length, 1e-6)[:, None]).T)
+        pick = np.argpartition(score, r - 1, axis=1)[:, :r] if r < n else np.broadcast_to(np.arange(n), (len(q), n))
         for p in range(0, len(q), max(1, 20_000 // r)):
             own = pick[p : p + max(1, 20_000 // r)]
-            x_at, q_at = own.ravel(), np.repeat(np.arange(p, p + len(own)), own.shape[1])
+            near = np.einsum("qrd,qd->qr", u[own], y.T[p : p + len(own)])
+            last = np.partition(near, r - k, axis=1)[:, r - k] if r > k else np.full(len(own), -2.0)
+            at, place = np.nonzero(near >= last[:, None] - 2e-6)  # with all that may tie; these in double precision
+            x_at, q_at = own[at, place], p + at
             sim = np.round(cosine64(raw[x_at], q[q_at]), 12)
             keep = no[x_at] != asks[s + q_at]
             out.append(_best([(asks[s + q_at][keep], no[x_at][keep], sim[keep])], k))
