@@ -124,7 +124,8 @@ def common_words(spark: SparkSession, d: str) -> DataFrame:
 
 # --- checks ------------------------------------------------------------------------------------------------------
 
-_HOLD = r"(coalesce(date_precision IN ('month', 'year', 'unknown'), false) OR coalesce(regexp_matches(date, '^\s*(0{1,2}/\d{1,2}/\d{2,4}|\d{1,2}/0{1,2}/\d{2,4}|\d{1,2}/\d{1,2}/0{2,4})\s*$'), false))"
+_PART = r"try_cast(regexp_extract(date, '^\s*(\d{{1,4}})/(\d{{1,2}})/(\d{{1,4}})\s*$', {}) AS INT) = 0"
+_HOLD = f"(coalesce(date_precision IN ('month', 'year', 'unknown'), false) OR coalesce({' OR '.join(_PART.format(i) for i in (1, 2, 3))}, false))"
 
 
 @query(f"SELECT * FROM (SELECT journal_id, trim(dream_id) AS dream_id, entry_no, date, count(*) OVER w AS times, min(entry_no) OVER w AS first_row, bool_or({_HOLD}) OVER w AS has_placeholder FROM dreams WHERE trim(dream_id) <> '' WINDOW w AS (PARTITION BY journal_id, trim(dream_id))) WHERE times > 1")
@@ -203,11 +204,12 @@ def isolated_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_BLOCKS}{_ISO},
-ib AS (SELECT journal_id, unnest(range(first_block, last_block + 1)) AS block, expected_year FROM iso),
-p AS (SELECT journal_id, block, 3 AS kind, 'date goes backward' AS reason FROM ({_BACK}) UNION ALL SELECT journal_id, block, 4, 'year jumps from ' || previous_year FROM ({_JUMP})),
-ps AS (SELECT p.journal_id, CASE WHEN ib.block IS NULL THEN p.block ELSE p.block - 1 END AS block, CASE WHEN ib.block IS NULL THEN kind ELSE kind + 2 END AS rank, CASE WHEN ib.block IS NULL THEN reason ELSE 'next block: ' || reason END AS reason FROM p LEFT JOIN ib ON ib.journal_id = p.journal_id AND ib.block + 1 = p.block),
-a AS (SELECT journal_id, block, 1 AS rank, 'date repeats ' || earlier_date AS reason FROM ({_REP}) UNION ALL SELECT journal_id, block, 2, 'isolated run, expected year ' || expected_year FROM ib UNION ALL SELECT * FROM ps)
-SELECT a.journal_id, a.block, string_agg(reason, '; ' ORDER BY rank, reason) AS reasons, any_value(b.date_text) AS date_text, any_value(b.first_row) AS first_row FROM a JOIN b ON b.journal_id = a.journal_id AND b.block = a.block GROUP BY 1, 2"""
+ib AS (SELECT journal_id, unnest(range(first_block, last_block + 1)) AS block, year, expected_year, last_block - first_block + 1 AS n FROM iso),
+nb AS (SELECT *, lag(date_text) OVER w AS pt, lead(date_text) OVER w AS nt FROM b WINDOW w AS (PARTITION BY journal_id ORDER BY block)),
+p AS (SELECT journal_id, block, 3 AS kind, 'date goes backward after ' || previous_date AS reason, 'next date ' || date_text || ' goes backward' AS charged FROM ({_BACK}) UNION ALL SELECT j.journal_id, j.block, 4, 'year changes by ' || abs(j.year - j.previous_year) || ' after ' || nb.pt, 'year changes by ' || abs(j.year - j.previous_year) || ' after ' || nb.pt FROM ({_JUMP}) j JOIN nb ON nb.journal_id = j.journal_id AND nb.block = j.block),
+ps AS (SELECT p.journal_id, CASE WHEN ib.block IS NULL THEN p.block ELSE p.block - 1 END AS block, CASE WHEN ib.block IS NULL THEN kind ELSE kind + 2 END AS rank, CASE WHEN ib.block IS NULL THEN reason ELSE charged END AS reason FROM p LEFT JOIN ib ON ib.journal_id = p.journal_id AND ib.block + 1 = p.block),
+a AS (SELECT journal_id, block, 1 AS rank, 'date duplicates the earlier block at ' || earlier_date AS reason FROM ({_REP}) UNION ALL SELECT journal_id, block, 2, 'short run of ' || n || ' date(s) in ' || year || ' is surrounded by dates in ' || expected_year || '; changing the year to ' || expected_year || ' restores chronological order' FROM ib UNION ALL SELECT * FROM ps)
+SELECT a.journal_id, a.block, string_agg(reason, '; ' ORDER BY rank, reason) AS reasons, any_value(nb.date_text) AS date_text, any_value(nb.year) AS year, any_value(nb.pt) AS previous_date, any_value(nb.nt) AS next_date, any_value(nb.first_row) AS first_row FROM a JOIN nb ON nb.journal_id = a.journal_id AND nb.block = a.block GROUP BY 1, 2"""
 )
 def date_findings(spark: SparkSession, d: str) -> DataFrame:
     return quality.findings(table(spark, d, "dreams"))
@@ -244,9 +246,9 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.knn(*_embeddings(spark, d), 10, measure="cosine").withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_knn_sql(_COS, 'DESC', 50)}) WHERE score >= 0.1")
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({_knn_sql(_COS, 'DESC', 1_000_000_000)}) WHERE score >= 0.2")
 def related_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.related(*_embeddings(spark, d), 0.1).withColumn("score", F.round("score", 6))
+    return retrieval.related(*_embeddings(spark, d), 0.2).withColumn("score", F.round("score", 6))
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -439,7 +441,7 @@ def _problem_sql() -> str:
         if f in structured.LISTS or f == "lucidity":
             parts.append(f"CASE WHEN {f} IS NULL THEN '{f}: missing' END")
         elif f in structured.ENUMS:
-            parts.append(f"CASE WHEN {f} IS NULL THEN '{f}: missing' WHEN {f} NOT IN ({', '.join(repr(v) for v in structured.ENUMS[f])}) THEN '{f}: not allowed' END")
+            parts.append(f"CASE WHEN {f} IS NULL THEN '{f}: missing' WHEN trim(regexp_replace({f}, '\\s+', ' ', 'g')) NOT IN ({', '.join(repr(v) for v in structured.ENUMS[f])}) THEN '{f}: not allowed' END")
         else:
             parts.append(f"CASE WHEN {f} IS NULL THEN '{f}: missing' WHEN trim({f}) = '' THEN '{f}: empty' END")
     parts.append("CASE WHEN lucidity <> (lucidity_level = 'lucid') THEN 'lucidity: contradicts lucidity_level' END")
@@ -460,7 +462,6 @@ def run_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- documents ---------------------------------------------------------------------------------------------------
 
 
-
 @query(f"SELECT entry_no, CASE WHEN length(c) > 300 THEN rtrim(substr(c, 1, 300)) || '...' ELSE c END AS preview, CASE WHEN len(w) > 25 THEN array_to_string(w[1:25], ' ') || '...' ELSE array_to_string(w, ' ') END AS words, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '[TRUNCATED]' ELSE text END AS cut FROM (SELECT entry_no, text, {_SQUASH} AS c, string_split({_SQUASH}, ' ') AS w FROM dreams)")
 def previews(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
@@ -477,7 +478,7 @@ def indexed_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dream_vectors").select("vec_no", F.array_join(text.comma_tags(F.col("tags")), "|").alias("tags"))
 
 
-@query("SELECT coalesce(nullif(trim(dream_id), ''), 'dream-' || lpad(CAST(entry_no AS VARCHAR), 6, '0')) AS id, 'Dream ID: ' || coalesce(nullif(trim(dream_id), ''), 'dream-' || lpad(CAST(entry_no AS VARCHAR), 6, '0')) || chr(10) || 'Date: ' || coalesce(date, '') || chr(10) || 'Tags: ' || CASE WHEN t = '' THEN 'none' ELSE t END || chr(10) || 'Word count: ' || coalesce(word_count, 0) || chr(10) || chr(10) || '--- DREAM TEXT ---' || chr(10) || coalesce(text, '') AS document, coalesce(date, '') AS date, coalesce(date_precision, '') AS date_precision, coalesce(date_sort, '') AS date_sort, coalesce(year, 0) AS year, coalesce(month, 0) AS month, coalesce(day, 0) AS day, coalesce(word_count, 0) AS word_count, t AS tags FROM (SELECT *, coalesce(array_to_string(tags, ', '), '') AS t FROM dreams)")
+@query("SELECT coalesce(nullif(trim(dream_id), ''), 'dream-' || lpad(CAST(entry_no AS VARCHAR), 6, '0')) AS id, 'DREAM_ID: ' || coalesce(nullif(trim(dream_id), ''), 'dream-' || lpad(CAST(entry_no AS VARCHAR), 6, '0')) || chr(10) || 'DATE: ' || coalesce(date, '') || chr(10) || 'YEAR: ' || coalesce(CAST(year AS VARCHAR), '') || chr(10) || 'MONTH: ' || coalesce(CAST(month AS VARCHAR), '') || chr(10) || 'DAY: ' || coalesce(CAST(day AS VARCHAR), '') || chr(10) || 'DATE_PRECISION: ' || coalesce(date_precision, '') || chr(10) || 'TAGS: ' || t || chr(10) || chr(10) || '--- DREAM TEXT ---' || chr(10) || chr(10) || coalesce(text, '') AS document, coalesce(date, '') AS date, coalesce(date_precision, 'day') AS date_precision, coalesce(date_sort, '') AS date_sort, coalesce(year, 0) AS year, coalesce(month, 0) AS month, coalesce(day, 0) AS day, coalesce(word_count, 0) AS word_count, t AS tags FROM (SELECT *, coalesce(array_to_string(tags, ', '), '') AS t FROM dreams)")
 def index_documents(spark: SparkSession, d: str) -> DataFrame:
     return tables.index_documents(table(spark, d, "dreams"), "entry_no")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what counts as a date of three parts.
+DATE_PARTS = r"^\s*(\d{1,4})/(\d{1,2})/(\d{1,4})\s*$"
+
 
 def iso_date(text: Column) -> Column:
     """Date of a strict ``YYYY-MM-DD`` text that exists in the calendar, else null."""
@@ -12,10 +17,17 @@ def iso_date(text: Column) -> Column:
 
 
 def placeholder(date: Column, precision: Column) -> Column:
-    """Whether a journal date has unknown parts: by its precision, or by a zero part of ``M/D/YYYY``."""
-    m = F.regexp_extract(date, r"^\s*(\d{1,2})/(\d{1,2})/(\d{2,4})\s*$", 0) != ""
-    zero = date.rlike(r"^\s*(0{1,2}/\d{1,2}/\d{2,4}|\d{1,2}/0{1,2}/\d{2,4}|\d{1,2}/\d{1,2}/0{2,4})\s*$")
-    return F.coalesce(precision.isin("month", "year", "unknown"), F.lit(False)) | F.coalesce(m & zero, F.lit(False))
+    """Whether a journal date has unknown parts: by its precision, or by a part of three that is zero."""
+    zero = [F.try_to_number(F.nullif(F.regexp_extract(date, DATE_PARTS, i), F.lit("")), F.lit("9999")) == 0 for i in (1, 2, 3)]
+    return F.coalesce(precision.isin("month", "year", "unknown"), F.lit(False)) | F.coalesce(zero[0] | zero[1] | zero[2], F.lit(False))
+
+
+def lenient_date(text: str, what: str) -> dt.date:
+    """A bound given by a user, with or without leading zeros; an error names it."""
+    try:
+        return dt.datetime.strptime(text.strip(), "%Y-%m-%d").date()
+    except ValueError as e:
+        raise ValueError(f"Invalid {what}: {text!r}") from e
 
 
 def period(date: Column, freq: str) -> Column:

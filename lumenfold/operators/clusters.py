@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.operators.retrieval import dot, normalized
+from lumenfold import runtime
+from lumenfold.operators.graph import linked
+from lumenfold.operators.retrieval import _matrix, dot, knn, normalized
 
 NOISE = -1
 
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Mean of the members' unit vectors, of unit length again: ``<label>, centroid``."""
-    rows = vectors.filter(F.col(vector).isNotNull() & (F.col(label) != NOISE)).select(label, F.posexplode(normalized(F.col(vector))).alias("i", "x"))
-    means = rows.groupBy(label, "i").agg(F.avg("x").alias("x")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    return means.select(label, normalized(F.col("c")).alias("centroid"))
+    rows = vectors.filter(F.col(vector).isNotNull() & (F.col(label) != NOISE)).select(label, normalized(F.col(vector)).alias("v"))
+    return _means(rows, label).select(label, normalized(F.col("mean")).alias("centroid"))
+
+
+def _means(rows: DataFrame, label: str, vector: str = "v") -> DataFrame:
+    """``<label>, mean, n``: vectors are summed inside each task, one sum a label leaves it."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    s = rows.groupBy(label).agg(Summarizer.metrics("mean", "count").summary(array_to_vector(vector)).alias("s"))
+    return s.select(label, vector_to_array("s.mean").alias("mean"), F.col("s.count").alias("n"))
 
 
 def representatives(vectors: DataFrame, k: int = 3, *, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """The ``k`` members nearest to the centroid of each cluster, ties by key."""
-    c = centroids(vectors, label, vector)
+    c, _ = runtime.stage(centroids(vectors, label, vector), "centroids")
     rows = vectors.filter(F.col(vector).isNotNull()).join(F.broadcast(c) if c.count() <= 10_000 else c, label)
     rows = rows.select(key, label, F.round(dot(normalized(F.col(vector)), F.col("centroid")), 9).alias("similarity"))
     w = Window.partitionBy(label).orderBy(F.desc("similarity"), key)
@@ -67,26 +81,53 @@ def distinctive_terms(weights: DataFrame, labels: DataFrame, *, key: str, label:
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(label, "rank", "term", F.round("gain", 6).alias("gain"))
 
 
-def quality(vectors: DataFrame, *, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+def quality(vectors: DataFrame, *, key: str = "vec_id", label: str = "label", vector: str = "embedding", block_mb: float = 64) -> DataFrame:
     """Rows, clusters, share of noise, and the cosine silhouette over the others.
 
     With unit vectors the mean distance of a row to a cluster is 1 minus its product with the mean of the cluster, so
-    that one vector a cluster stands for all pairs.
+    that one vector a cluster stands for all pairs. These are broadcast in blocks of at most ``block_mb``; a batch of rows
+    is multiplied with a block.
     """
-    rows = vectors.filter(F.col(vector).isNotNull()).select(key, label, normalized(F.col(vector)).alias("v"))
+    rows, _ = runtime.stage(vectors.filter(F.col(vector).isNotNull()).select(key, label, normalized(F.col(vector)).alias("v")), "units")
     counts = rows.agg(F.count("*").alias("points"), F.count_if(F.col(label) == NOISE).alias("noise"), F.countDistinct(F.when(F.col(label) != NOISE, F.col(label))).alias("clusters"))
     good = rows.filter(F.col(label) != NOISE)
-    sums = good.select(label, F.posexplode("v").alias("i", "x")).groupBy(label, "i").agg(F.sum("x").alias("x")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"))
-    sums = sums.join(good.groupBy(label).agg(F.count("*").alias("n")), label).select(F.col(label).alias("other"), "sum", "n")
-    far = good.join(F.broadcast(sums) if sums.count() <= 10_000 else sums).select(key, label, "other", "n", dot(F.col("v"), F.col("sum")).alias("p"))
-    own = F.col("other") == F.col(label)
-    near = far.groupBy(key).agg(F.max(F.when(own & (F.col("n") > 1), 1 - (F.col("p") - 1) / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, 1 - F.col("p") / F.col("n"))).alias("b"))
+    means, _ = runtime.stage(_means(good, label), "means")
+    many, dims = means.agg(F.count("*"), F.max(F.size("mean"))).first()
+    blocks = max(1, math.ceil((many or 0) * (8 * (dims or 0) + 16) / (block_mb * (1 << 20))))
+    near = None
+    for b in range(blocks):
+        part = (means if blocks == 1 else means.filter(F.pmod(F.xxhash64(label), F.lit(blocks)) == b)).toArrow()  # at most block_mb
+        block = rows.sparkSession.sparkContext.broadcast((part.column(label).to_numpy(), part.column("n").to_numpy(), part.column("mean").combine_chunks() if part.num_rows else None))
+        found = good.select(label, "v", key).mapInArrow(_distances(block), f"`{key}` {vectors.schema[key].dataType.simpleString()}, a double, b double")
+        near = found if near is None else near.unionAll(found)
+    if blocks > 1:
+        near = near.groupBy(key).agg(F.max("a").alias("a"), F.min("b").alias("b"))
     width = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     s = near.agg(F.round(F.avg(width), 6).alias("s"))
     silhouette = F.when((F.col("clusters") > 1) & (F.col("points") - F.col("noise") > F.col("clusters")), F.col("s"))
     return counts.join(F.broadcast(s)).select("points", "clusters", F.round(F.col("noise") / F.greatest("points", F.lit(1)), 6).alias("noise_share"), silhouette.alias("silhouette"))
 
 
+def _distances(block):
+    """Mean distance of each row to the others of its cluster (null if there are none), and the least one to another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        names, n, means = block.value
+        for batch in batches:
+            if not batch.num_rows or means is None:
+                continue
+            x, c = _matrix(batch.column(1)), _matrix(means)
+            p = x @ c.T
+            own = batch.column(0).to_numpy()[:, None] == names[None]
+            a = np.where(own & (n > 1), 1 - (p * n - 1) / np.maximum(n - 1, 1), -np.inf).max(axis=1)
+            b = np.where(own, np.inf, 1 - p).min(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(a, mask=np.isinf(a)), pa.array(b, mask=np.isinf(b))], ["key", "a", "b"])
+
+    return run
+
+
 def automatic_label(tags: list[str], terms: list[str]) -> str:
     """The first two tags and three terms, each once."""
     return ", ".join(dict.fromkeys([*tags[:2], *terms[:3]])) or "unlabelled"
@@ -102,6 +143,25 @@ def principal_components(vectors: DataFrame, k: int, *, key: str = "vec_id", vec
     return PCA(k=k, inputCol="_c", outputCol="_p").fit(centred).transform(centred).select(key, vector_to_array("_p").alias("scores"))
 
 
+def density_clusters(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cut: float = 0.4, core: int = 5, least_size: int = 5, near: int = 15) -> DataFrame:
+    """Density clusters: ``<key>, cluster``, -1 for noise.
+
+    The core distance of a row is that to its ``core``-th neighbour (one minus the cosine); rows are linked where the
+    mutual reachability (the largest of both core distances and their distance) is at most ``cut``, among the ``near``
+    nearest of each; components of at least ``least_size`` rows are clusters, numbered by their smallest key. This is the
+    hierarchy of a density clusterer cut at one level. Keys must be whole numbers; null vectors are left out.
+    """
+    rows = vectors.filter(F.col(vector).isNotNull()).select(key, vector)
+    hits, _ = runtime.stage(knn(rows, rows, max(near, core), key=key, vector=vector, measure="cosine"), "near")
+    cores = hits.filter(F.col("rank") == core).select(F.col("query_id").alias("_k"), (1 - F.col("score")).alias("_c"))
+    pairs = hits.join(cores.select(F.col("_k").alias("query_id"), F.col("_c").alias("_a")), "query_id").join(cores.select(F.col("_k").alias(key), F.col("_c").alias("_b")), key)
+    edges = pairs.filter(F.round(F.greatest("_a", "_b", 1 - F.col("score")), 9) <= cut).select(F.col("query_id").cast("long").alias("a"), F.col(key).cast("long").alias("b"))
+    root = linked(edges, "density")
+    large = root.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= least_size).select("root", F.col("root").alias("cluster"))
+    of = root.join(large, "root").select(F.col("node").alias("_n"), "cluster")
+    return rows.join(of, rows[key] == of["_n"], "left").select(key, F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+
+
 def cluster(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", dims: int = 16, groups: int = 10, least_size: int = 5, cut: float = 0.995, seed: int = 42) -> DataFrame:
     """A stand-in for density clustering: bisecting k-means on principal components; rows beyond the ``cut`` quantile of
     the distance to their centre, and clusters below ``least_size``, are noise (-1). With the first two components as a

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import runtime
@@ -88,21 +88,29 @@ def isolated_runs(blocks: DataFrame, most: int = 3, journal: str = "journal_id")
 
 
 def findings(entries: DataFrame, *, max_isolated: int = 3, max_year_jump: int = 1) -> DataFrame:
-    """Every suspicious block with its reasons in the order repeated, isolated, backward, jump; what is found between an
-    isolated block and the next one is charged to the isolated one."""
+    """Every suspicious block with the dates around it and its reasons in the order repeated, isolated, backward, jump; what
+    is found between an isolated block and the next one is charged to the isolated one.
+
+    ``journal_id, block, date_text, year, previous_date, next_date, first_row, reasons``. The neighbours of a block are
+    looked up once; the wording of the reasons is a fixed value.
+    """
     if max_year_jump < 0:
         raise ValueError("the largest year jump must not be negative")
-    blocks, _ = runtime.stage(date_blocks(entries), "blocks")  # read by each of the detectors
-    iso, _ = runtime.stage(isolated_runs(blocks, max_isolated), "isolated")
-    iso_blocks = iso.select("journal_id", F.explode(F.sequence("first_block", "last_block")).alias("block"), "expected_year")
-    rep = repeated_dates(blocks).select("journal_id", "block", F.lit(1).alias("rank"), F.concat(F.lit("date repeats "), "earlier_date").alias("reason"))
-    one = iso_blocks.select("journal_id", "block", F.lit(2).alias("rank"), F.concat(F.lit("isolated run, expected year "), F.col("expected_year").cast("string")).alias("reason"))
-    back = backward_dates(blocks).select("journal_id", "block", F.lit(3).alias("kind"), F.lit("date goes backward").alias("reason"))
-    jump = year_jumps(blocks, max_year_jump).select("journal_id", "block", F.lit(4).alias("kind"), F.concat(F.lit("year jumps from "), F.col("previous_year").cast("string")).alias("reason"))
+    blocks = with_neighbour(date_blocks(entries), "journal_id", "block", {"previous_date": F.col("date_text"), "_d": F.col("sort_date"), "_y": F.col("year")})
+    blocks = with_neighbour(blocks, "journal_id", "block", {"next_date": F.col("date_text")}, after=True)
+    blocks, _ = runtime.stage(blocks, "blocks")  # read by each of the detectors
+    iso, _ = runtime.stage(isolated_runs(blocks.drop("_d", "_y"), max_isolated), "isolated")
+    iso_blocks = iso.select("journal_id", F.explode(F.sequence("first_block", "last_block")).alias("block"), "year", "expected_year", (F.col("last_block") - F.col("first_block") + 1).alias("n"))
+    say = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    rep = repeated_dates(blocks).select("journal_id", "block", F.lit(1).alias("rank"), say("date duplicates the earlier block at ", F.col("earlier_date")).alias("reason"))
+    one = iso_blocks.select("journal_id", "block", F.lit(2).alias("rank"), say("short run of ", F.col("n"), " date(s) in ", F.col("year"), " is surrounded by dates in ", F.col("expected_year"), "; changing the year to ", F.col("expected_year"), " restores chronological order").alias("reason"))
+    gap = F.abs(F.col("year") - F.col("_y"))
+    back = F.when(F.col("sort_date") < F.col("_d"), F.struct(F.lit(3).alias("kind"), say("date goes backward after ", F.col("previous_date")).alias("own"), say("next date ", F.col("date_text"), " goes backward").alias("charged")))
+    jump = F.when(gap > max_year_jump, F.struct(F.lit(4).alias("kind"), say("year changes by ", gap, " after ", F.col("previous_date")).alias("own"), say("year changes by ", gap, " after ", F.col("previous_date")).alias("charged")))
     marked = iso_blocks.select("journal_id", (F.col("block") + 1).alias("block"), F.lit(True).alias("after_isolated"))
-    pair = back.unionAll(jump).join(marked, ["journal_id", "block"], "left")
+    pair = blocks.select("journal_id", "block", F.explode(F.array_compact(F.array(back, jump))).alias("x")).join(marked, ["journal_id", "block"], "left")
     shift = F.coalesce("after_isolated", F.lit(False))
-    pair = pair.select("journal_id", F.when(shift, F.col("block") - 1).otherwise(F.col("block")).alias("block"), F.when(shift, F.col("kind") + 2).otherwise(F.col("kind")).alias("rank"), F.when(shift, F.concat(F.lit("next block: "), "reason")).otherwise(F.col("reason")).alias("reason"))
+    pair = pair.select("journal_id", F.when(shift, F.col("block") - 1).otherwise(F.col("block")).alias("block"), F.when(shift, F.col("x.kind") + 2).otherwise(F.col("x.kind")).alias("rank"), F.when(shift, F.col("x.charged")).otherwise(F.col("x.own")).alias("reason"))
     every = reduce(DataFrame.unionAll, [rep, one, pair])
     reasons = every.groupBy("journal_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "reason"))), lambda x: x["reason"]), "; ").alias("reasons"))
-    return reasons.join(blocks.select("journal_id", "block", "date_text", "first_row"), ["journal_id", "block"])
+    return blocks.select("journal_id", "block", "date_text", "year", "previous_date", "next_date", "first_row").join(reasons, ["journal_id", "block"])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,9 +28,15 @@ def cosine(a: Column, b: Column) -> Column:
     return checked.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalized(a: Column) -> Column:
-    n = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
+    """Vector of length one, zeros if all are zero; its length is taken once, not for each element."""
+    long = let(a, lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n")))
+    return let(long, lambda p: F.transform(p["v"], lambda x: F.when(p["n"] == 0, 0.0).otherwise(x.cast("double") / p["n"])))
 
 
 def check_model(collections: DataFrame, name: str, model: str) -> None:
@@ -41,32 +49,132 @@ def check_model(collections: DataFrame, name: str, model: str) -> None:
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", measure: str = "l2", drop_self: bool = True, block_mb: float = 64) -> DataFrame:
-    """The ``k`` nearest rows of the corpus for each query: ``query_id, <key>, rank, score``.
+    """The ``k`` nearest rows of the corpus for each query: ``query_id, <key>, score, rank``.
 
-    ``l2`` is the squared distance, ``cosine`` the similarity; rounded to 9 digits before ranking, ties by key. The
-    queries are broadcast in blocks of at most ``block_mb``; each task keeps the best k of a query before the shuffle.
-    Null vectors are neither queries nor answers.
+    ``l2`` is the squared distance, ``cosine`` the similarity (0 with a vector of zeros); rounded to 9 digits before
+    ranking, ties by key. The queries are broadcast in blocks of at most ``block_mb``, lengths known; each task multiplies
+    a batch of the corpus with a block and keeps the best k of each query before the shuffle. Null vectors are neither
+    queries nor answers; vectors of different lengths are an error.
     """
-    q = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    hits = _scored(corpus, queries, k, None, key, vector, measure, drop_self, block_mb)
+    w = Window.partitionBy("query_id").orderBy(F.asc("score") if measure == "l2" else F.desc("score"), key)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _scored(corpus: DataFrame, queries: DataFrame, k: int | None, least: float | None, key: str, vector: str, measure: str, drop_self: bool, block_mb: float) -> DataFrame:
+    """Candidates of each query: the best ``k`` of each task, or all of a score of ``least``."""
+    spark = corpus.sparkSession
+    runtime.ship(spark)
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"))
     n, dims = q.agg(F.count("*"), F.max(F.size("_q"))).first()
     blocks = max(1, math.ceil((n or 0) * (8 * (dims or 0) + 32) / (block_mb * (1 << 20))))
-    c = corpus.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"))
-    score = squared_distance(F.col("_q"), F.col("_v")) if measure == "l2" else cosine(F.col("_q"), F.col("_v"))
-    best = F.asc("score") if measure == "l2" else F.desc("score")
+    c = corpus.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("_v"))
+    kind = corpus.schema[key].dataType.simpleString()
     out = None
     for b in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = c.join(F.broadcast(part), F.col(key) != F.col("query_id") if drop_self else F.lit(True)).select("query_id", key, F.round(score, 9).alias("score"))
-        out = pairs if out is None else out.unionAll(pairs)
-    w = Window.partitionBy("query_id").orderBy(best, key)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def related(corpus: DataFrame, queries: DataFrame, threshold: float, *, key: str = "vec_id", vector: str = "embedding", most: int = 50) -> DataFrame:
-    """Other rows with a cosine of at least ``threshold``, best first, at most ``most`` a query."""
+        got = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()  # at most block_mb
+        block = spark.sparkContext.broadcast((got.column("query_id").to_pylist(), got.column("_q").combine_chunks() if got.num_rows else None))
+        part = c.mapInArrow(_ranker(block, k, least, measure, drop_self), f"query_id {queries.schema[key].dataType.simpleString()}, `{key}` {kind}, score double")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _matrix(column: pa.Array, dims: int | None = None):
+    import numpy as np
+
+    lengths = np.diff(column.offsets.to_numpy())
+    dims = int(lengths[0]) if dims is None and len(lengths) else dims
+    if len(lengths) and (lengths != dims).any():
+        raise ValueError("vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), dims or 0)
+
+
+def _ranker(block, k: int | None, least: float | None, measure: str, drop_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        ids, vectors = block.value
+        if vectors is None:
+            return
+        y = _matrix(vectors)
+        ids_at = {v: i for i, v in enumerate(ids)}
+        y2 = np.einsum("ij,ij->i", y, y)
+        best: tuple = ()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.array(batch.column(0).to_pylist(), object)
+            x = _matrix(batch.column(1), y.shape[1])
+            x2 = np.einsum("ij,ij->i", x, x)
+            for s in range(0, len(x), max(1, 4_000_000 // len(y))):
+                z = slice(s, s + max(1, 4_000_000 // len(y)))
+                p = y @ x[z].T
+                if measure == "l2":
+                    near = y2[:, None] + x2[z][None] - 2 * p
+                else:
+                    n = np.sqrt(y2)[:, None] * np.sqrt(x2[z])[None]
+                    near = np.where(n == 0, 0.0, p / np.where(n == 0, 1, n))
+                good = np.ones(near.shape, bool)
+                if drop_self:
+                    for j, v in enumerate(keys[z]):
+                        if v in ids_at:
+                            good[ids_at[v], j] = False
+                if least is not None:
+                    good &= np.round(near, 9) >= least
+                elif near.shape[1] > k:  # with all that may tie, and one for the row itself
+                    rank = near if measure == "l2" else -near
+                    limit = np.partition(np.where(good, rank, np.inf), k - 1, axis=1)[:, k - 1]
+                    good &= rank <= limit[:, None] + 1e-8
+                q, c = np.nonzero(good)
+                if measure == "l2":  # exactly, for the few that are left
+                    d = y[q] - x[z][c]
+                    score = np.round(np.einsum("ij,ij->i", d, d), 9)
+                else:
+                    score = np.round(near[q, c], 9)
+                found = (q, keys[z][c], score)
+                if least is not None:
+                    yield _hits(ids, found, batch.schema.field(0).type)
+                    continue
+                best = tuple(np.concatenate(v) for v in zip(best, found)) if best else found
+                if len(best[0]) > 4 * k * len(y) + 100_000:
+                    best = _first(best, k, measure)
+            kind = batch.schema.field(0).type
+        if best:
+            yield _hits(ids, _first(best, k, measure), kind)
+
+    return run
+
+
+def _first(hits: tuple, k: int, measure: str) -> tuple:
+    """The best ``k`` of each query by score, then key."""
+    import numpy as np
+
+    q, keys, score = hits
+    by_key = np.empty(len(keys), np.int64)
+    by_key[sorted(range(len(keys)), key=lambda i: keys[i])] = np.arange(len(keys))
+    o = np.lexsort((by_key, score if measure == "l2" else -score, q))
+    new = np.flatnonzero(np.r_[True, q[o][1:] != q[o][:-1]]) if len(o) else np.zeros(0, int)
+    place = np.arange(len(o)) - np.repeat(new, np.diff(np.r_[new, len(o)]))
+    o = o[place < k]
+    return q[o], keys[o], score[o]
+
+
+def _hits(ids: list, found: tuple, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]]) if len(found[0]) else pa.array([], pa.null()).cast(kind), pa.array(list(found[1]), kind), pa.array(found[2], pa.float64())], ["query_id", "key", "score"])
+
+
+def related(corpus: DataFrame, queries: DataFrame, threshold: float, *, key: str = "vec_id", vector: str = "embedding", most: int | None = None) -> DataFrame:
+    """All other rows with a cosine of at least ``threshold``, best first; at most ``most`` a query if that is given."""
     if not -1 <= threshold <= 1:
         raise ValueError("threshold must lie between -1 and 1")
-    return knn(corpus, queries, most, key=key, vector=vector, measure="cosine").filter(F.col("score") >= threshold)
+    if most is not None and most < 0:
+        raise ValueError("the number of related rows must not be negative")
+    if most == 0:
+        return knn(corpus, queries, 1, key=key, vector=vector, measure="cosine").limit(0)
+    if most is not None:  # the best ones, of which those below the threshold fall away
+        return knn(corpus, queries, most, key=key, vector=vector, measure="cosine").filter(F.col("score") >= threshold)
+    hits = _scored(corpus, queries, None, threshold, key, vector, "cosine", True, 64)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
 
 
 def fuse(hits: DataFrame, *, by: str, query: str, key: str, most: int, constant: int = 60) -> DataFrame:

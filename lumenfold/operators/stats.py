@@ -10,16 +10,18 @@ from lumenfold.functions import dates, text
 
 def dated(entries: DataFrame, start: str | None = None, end: str | None = None, *, keep_undated: bool = False) -> DataFrame:
     """Entries with ``entry_date``, within bounds that are included. Undated ones are dropped, unless ``keep_undated``
-    and there is no bound."""
-    if start and end and start > end:
+    and there is no bound. Bounds are compared as dates; one that is none is an error that names it."""
+    first = dates.lenient_date(start, "start_date") if start else None
+    last = dates.lenient_date(end, "end_date") if end else None
+    if first and last and first > last:
         raise ValueError(f"start date {start} is after end date {end}")
     out = entries.withColumn("entry_date", dates.iso_date(F.col("date_sort")))
     if not (keep_undated and not start and not end):
         out = out.filter(F.col("entry_date").isNotNull())
-    if start:
-        out = out.filter(F.col("entry_date") >= F.lit(start).cast("date"))
-    if end:
-        out = out.filter(F.col("entry_date") <= F.lit(end).cast("date"))
+    if first:
+        out = out.filter(F.col("entry_date") >= F.lit(first))
+    if last:
+        out = out.filter(F.col("entry_date") <= F.lit(last))
     return out
 
 

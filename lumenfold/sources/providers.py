@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.retrieval import let, normalized
+
 
 class Embedder(Protocol):
     """Makes a vector of each text; must be picklable."""
@@ -26,23 +30,65 @@ class Chat(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
+class HttpEmbedder:
+    """Vectors from a service that takes ``{"model", "prompt"}`` as JSON and answers ``{"embedding": [...]}``."""
+
+    def __init__(self, url: str, model: str, timeout: float = 120):
+        self.url, self.model, self.timeout = url, model, timeout
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(x) for x in _post(self.url, {"model": self.model, "prompt": t}, self.timeout)["embedding"]] for t in texts]
+
+
+class HttpChat:
+    """Answers of a chat service; ``schema`` asks for JSON of that shape. An answer cut off at its length limit says so."""
+
+    def __init__(self, url: str, model: str, timeout: float = 300, schema: dict | None = None, options: dict | None = None):
+        self.url, self.model, self.timeout, self.schema, self.options = url, model, timeout, schema, options or {}
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            ask = {"model": self.model, "messages": [{"role": "user", "content": p}], "stream": False, "options": self.options}
+            got = _post(self.url, ask | ({"format": self.schema} if self.schema else {}), self.timeout)
+            out.append(finished(got["message"]["content"], got.get("done_reason"), self.schema is None))
+        return out
+
+
+#: What stands for an empty answer and after one that was cut off.
+NO_ANSWER = "[No analysis returned by chat model.]"
+CUT_OFF = "\n\n[The model reached the generation limit. Rerun with a larger --num-predict value.]"
+
+
+def finished(answer: str | None, reason: str | None, note: bool = True) -> str:
+    """An answer with a notice if it is empty or was cut off."""
+    if not note:
+        return answer or ""
+    return (answer or NO_ANSWER) + (CUT_OFF if answer and reason == "length" else "")
+
+
+def _post(url: str, body: dict, timeout: float) -> dict:
+    ask = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(ask, timeout=timeout) as got:
+        return json.load(got)
+
+
 class EchoChat:
-    """Deterministic answers for tests: the first words of the prompt."""
+    """Deterministic answers for tests: the first words of the prompt, or the last ones if ``words`` is negative."""
 
     def __init__(self, words: int = 8, model: str = "echo"):
         self.words, self.model = words, model
 
     def __call__(self, prompts: list[str]) -> list[str]:
-        return [" ".join(p.split()[: self.words]) for p in prompts]
+        return [" ".join(p.split()[: self.words] if self.words > 0 else p.split()[self.words :]) for p in prompts]
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """Deterministic embedding without a model: signed counts of hashed words, of unit length; all inside the JVM."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda x: x != "")
-    at = F.transform(words, lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(dims)).cast("int").alias("i"), F.when(F.xxhash64(x, F.lit("sign")) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(at, F.lit(0.0), lambda a, x: a + F.when(x["i"] == i, x["s"]).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm).cast("float"))
+    hashed = F.transform(words, lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(dims)).cast("int").alias("i"), F.when(F.xxhash64(x, F.lit("sign")) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    sums = let(hashed, lambda at: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(at, F.lit(0.0), lambda a, x: a + F.when(x["i"] == i, x["s"]).otherwise(0.0))))
+    return F.transform(normalized(sums), lambda x: x.cast("float"))
 
 
 def with_model(df: DataFrame, column: str, call: Callable[[list[str]], list], result: str, kind: str, *, batch: int = 64, tries: int = 3) -> DataFrame:
@@ -55,7 +101,10 @@ def with_model(df: DataFrame, column: str, call: Callable[[list[str]], list], re
     def ask(texts: list[str]) -> list[tuple]:
         for _ in range(tries):
             try:
-                return [(x, "completed", None, None) for x in call(texts)]
+                got = list(call(texts))
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} answers to {len(texts)} texts")
+                return [(x, "completed", None, None) for x in got]
             except Exception as e:  # noqa: BLE001 - whatever a provider raises is a row's status
                 last = e
         if len(texts) > 1:

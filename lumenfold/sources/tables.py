@@ -8,8 +8,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lumenfold import runtime
+from lumenfold.functions import text
 from lumenfold.operators.structured import latest
 
 ENTRY = T.StructType([T.StructField(n, t) for n, t in (("dream_id", T.StringType()), ("date", T.StringType()), ("year", T.IntegerType()), ("month", T.IntegerType()), ("day", T.IntegerType()), ("date_precision", T.StringType()), ("date_sort", T.StringType()), ("tags", T.ArrayType(T.StringType())), ("text", T.StringType()), ("word_count", T.IntegerType()))])
@@ -21,8 +23,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ENTRY, *,
     A line that is no JSON object is an error with its number, or, if not ``strict``, a row with ``bad_line``. If the key
     ``date_sort`` is absent, ``date`` stands for it; if it is null, the entry has no date.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\n")).alias("pos", "raw"))
-    rows = whole.filter(F.trim("raw") != "").select("file", (F.col("pos") + 1).alias("line_no"), "raw")
+    rows = numbered_lines(spark, path).filter(F.trim("raw") != "")
     keys = F.json_object_keys("raw")
     rows = rows.withColumn("r", F.from_json("raw", schema, {"mode": "PERMISSIVE"})).withColumn("ok", keys.isNotNull())
     if strict:
@@ -34,8 +35,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ENTRY, *,
     return out.drop("_keys")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their number in the file: ``file, line_no, raw``.
+
+    Files are split: a line is known by where its part begins (``_metadata`` of the scan) and its place inside the part;
+    the lines of earlier parts of the file are then added, one row a part.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("_at"))
+    # a part of a file is read by one task from its beginning, so that the ids of its rows ascend without a gap
+    parts = lines.groupBy("file", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "_part", (before - F.col("_first")).alias("_shift"))
+    return lines.join(parts, ["file", "_part"]).select("file", (F.col("_at") + F.col("_shift") + 1).cast("int").alias("line_no"), "raw")
+
+
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """The table itself, after a check that no key is empty or repeated."""
+    for k in keys:
+        if dict(df.dtypes)[k] != "string" and k.endswith("_id"):
+            raise ValueError(f"{k} must be a text")
     bad = df.filter(F.greatest(*[(F.col(k).isNull() | (F.col(k).cast("string") == "")).cast("int") for k in keys], F.lit(0)) > 0).limit(1).collect()
     if bad:
         raise ValueError(f"a row has no {', '.join(keys)}")
@@ -53,6 +71,16 @@ def find(df: DataFrame, key: str, value: Any, order: str) -> DataFrame:
     return got
 
 
+def select_entries(df: DataFrame, key: str, value: Any = None) -> DataFrame:
+    """All rows, or those with one key if it is given; an error if there are none with it."""
+    if value is None:
+        return df
+    got = df.filter(F.col(key) == F.lit(value))
+    if got.isEmpty():
+        raise ValueError(f"{key} {value!r} not found")
+    return got
+
+
 def last_records(df: DataFrame, key: str, order: str) -> DataFrame:
     return latest(df, [key], order)
 
@@ -78,13 +106,15 @@ def collection(vectors: DataFrame, name: str) -> DataFrame:
 
 
 def index_documents(entries: DataFrame, order: str) -> DataFrame:
-    """Indexed document and flat metadata of each entry; a missing id becomes one of its order."""
+    """Indexed document and flat metadata of each entry; a missing id becomes one of its order. The labels of the header
+    are fixed values."""
     key = F.coalesce(F.nullif(F.trim("dream_id"), F.lit("")), F.concat(F.lit("dream-"), F.lpad(F.col(order).cast("string"), 6, "0")))
     tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", ")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("year", "month", "day", "word_count")]
-    shown = F.when(tags == "", "none").otherwise(tags)
-    doc = F.concat(F.lit("Dream ID: "), key, F.lit("\nDate: "), F.coalesce("date", F.lit("")), F.lit("\nTags: "), shown, F.lit("\nWord count: "), F.coalesce("word_count", F.lit(0)).cast("string"), F.lit("\n\n--- DREAM TEXT ---\n"), F.coalesce("text", F.lit("")))
-    return entries.select(key.alias("id"), doc.alias("document"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("date_precision", F.lit("")).alias("date_precision"), F.coalesce("date_sort", F.lit("")).alias("date_sort"), *zero, tags.alias("tags"))
+    said = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("date", "year", "month", "day", "date_precision", "text")}
+    head = [F.concat(F.lit(f"{c.upper()}: "), said[c]) for c in ("date", "year", "month", "day", "date_precision")]
+    doc = F.concat_ws("\n", F.concat(F.lit("DREAM_ID: "), key), *head, F.concat(F.lit("TAGS: "), tags), F.lit(""), F.lit(text.SEPARATOR), F.lit(""), said["text"])
+    return entries.select(key.alias("id"), doc.alias("document"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("date_precision", F.lit("day")).alias("date_precision"), F.coalesce("date_sort", F.lit("")).alias("date_sort"), *zero, tags.alias("tags"))
 
 
 # --- sinks -------------------------------------------------------------------------------------------------------
@@ -96,15 +126,32 @@ def write_jsonl(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the old table and move it into its place, so that readers see either."""
+    """Write the new table beside the old one, move that away and the new one into its place, then delete the old one.
+
+    At each moment at least one whole table exists. Between the two moves there is none at ``path``: a reader that comes
+    just then fails, and a writer that ends there leaves the old one at ``path.old``, which ``recover`` (and the next call)
+    puts back.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").parquet(aside)
+    path = path.rstrip("/")
+    recover(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(p(f"{path}.old"), True)
+    if fs.exists(p(path)) and not fs.rename(p(path), p(f"{path}.old")):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(p(f"{path}.new"), p(path)):
+        raise OSError(f"cannot move {path}.new to {path}")
+    fs.delete(p(f"{path}.old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put the old table back where a ``replace`` ended between its moves."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    if not fs.rename(p(aside), p(path)):
-        raise OSError(f"cannot move {aside} to {path}")
+    if not fs.exists(p(path)) and fs.exists(p(f"{path}.old")):
+        fs.rename(p(f"{path}.old"), p(path))
 
 
 def write_collection(vectors: DataFrame, path: str) -> None:

@@ -42,6 +42,7 @@ def test_dates(spark):
     assert [one(spark, dates.period_label(dates.period(d, f), f)) for f in "MQY"] == ["5-2022", "Q2-2022", "2022"]
     p = lambda a, b: one(spark, dates.placeholder(F.lit(a), F.lit(b)))
     assert (p("0/1/2022", "day"), p("1/1/2022", "month"), p("1/1/2022", "day"), p(None, None)) == (True, True, False, False)
+    assert [p(x, "day") for x in ("3/5/0", "2022/0/5", "00/00/0000", "10/20/2000", "x/0/1", "12345/0/1")] == [True, True, True, False, False, False]
 
 
 def entries(spark, rows):
@@ -69,7 +70,7 @@ def test_isolated_run_and_what_is_charged_to_it(spark):
     blocks = quality.date_blocks(df)
     assert [(r.first_block, r.last_block, r.expected_year) for r in quality.isolated_runs(blocks).collect()] == [(2, 2, 2022)]
     f = {r.block: r.reasons for r in quality.findings(df).collect()}
-    assert set(f) == {2} and "isolated run" in f[2] and "next block: date goes backward" in f[2]
+    assert set(f) == {2} and f[2].startswith("short run of 1 date(s) in 2023 is surrounded by dates in 2022; changing the year to 2022 restores chronological order; next date 1/9/2022 goes backward")
     leap = entries(spark, [day(1, "2022-02-01"), day(2, "2024-02-29"), day(3, "2022-03-09")])
     assert quality.isolated_runs(quality.date_blocks(leap)).count() == 0
     with pytest.raises(ValueError):
@@ -90,6 +91,9 @@ def test_tag_counts(spark):
     assert [(r.tag, r.uses) for r in stats.top_tags(df).collect()] == [("a", 3), ("b", 1)]
     with pytest.raises(ValueError):
         stats.dated(df, "2023-01-01", "2022-01-01")
+    assert stats.dated(df, "2021-9-1", "2022-1-2").count() == 2  # compared as dates, not as texts
+    with pytest.raises(ValueError, match="end_date"):
+        stats.dated(df, "2022-01-01", "soon")
     assert stats.dated(df, keep_undated=True).count() == 3
 
 
@@ -164,6 +168,11 @@ def test_silhouette_by_brute_force(spark):
     assert (r.points, r.clusters, r.noise_share) == (5, 2, 0.2) and abs(r.silhouette - sum(s) / 4) < 1e-5
 
 
+def test_silhouette_in_blocks(spark):
+    v = spark.createDataFrame([(i, i % 7, [math.sin(i * k) for k in range(1, 9)]) for i in range(90)], "vec_id long, label int, embedding array<double>")
+    assert clusters.quality(v).first() == clusters.quality(v, block_mb=0.0002).first()
+
+
 def test_clusterer_runs(spark):
     v = spark.createDataFrame([(i, [float(i % 3 == k) + 0.01 * (i % 7) for k in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
     assert clusters.cluster(v, dims=2, groups=3).count() == 60
@@ -175,6 +184,11 @@ def test_records_from_json(spark):
     rows = [good, good | {"lucidity": False}, good | {"more": 1}, {k: v for k, v in good.items() if k != "tone"}, good | {"violence": "huge"}, good | {"summary": " "}]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)] + [(9, "nonsense")], "n int, raw string")
     got = {r.n: r.errors for r in structured.parse(df, "raw").collect()}
+    kinds = [{"setting": [1, True, {"x": 1}]}, {"characters": [None, "a"]}, {"named_characters": "Ann Lee"}, {"tone": 5}, {"lucidity": "true"}, {"summary": None}, {"violence": " low "}, {"themes": [" A ", "a"]}, {"objects": None}]
+    df2 = spark.createDataFrame([(i, json.dumps(good | k)) for i, k in enumerate(kinds)], "n int, raw string")
+    rows2 = {r.n: r for r in structured.parse(df2, "raw").collect()}
+    assert [rows2[i].errors for i in range(9)] == [["setting: not a list of texts"], ["characters: not a list of texts"], ["named_characters: not a list of texts"], ["tone: not a text"], ["lucidity: not a truth value"], ["summary: not a text"], [], [], ["objects: not a list of texts"]]
+    assert rows2[6].violence == "low" and rows2[7].themes == ["a"]
     assert got == {0: [], 1: ["lucidity: contradicts lucidity_level"], 2: ["more: unexpected"], 3: ["tone: missing"], 4: ["violence: not allowed"], 5: ["summary: empty"], 9: ["not a JSON object"]}
 
 
@@ -193,6 +207,45 @@ def test_jsonl(spark, tmp_path):
         tables.find(spark.createDataFrame([("a", 1)], "k string, o int"), "k", "z", "o")
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    p = tmp_path / "x.jsonl"
+    p.write_text("".join("\n" if i % 7 == 3 else json.dumps({"dream_id": f"d{i}"}) + "\n" for i in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        rows = tables.read_jsonl(spark, str(p))
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1
+        assert sorted((r.line_no, r.dream_id) for r in rows.collect()) == [(i + 1, f"d{i}") for i in range(4000) if i % 7 != 3]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_selection_and_recovery(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert tables.select_entries(df, "k").count() == 2 and tables.select_entries(df, "k", "b").first().v == 2
+    with pytest.raises(ValueError, match="not found"):
+        tables.select_entries(df, "k", "z")
+    t = tmp_path / "t"
+    tables.replace(df, str(t))
+    t.rename(tmp_path / "t.old")  # as if a writer had ended between its moves
+    tables.replace(df.limit(1), str(t))
+    assert spark.read.parquet(str(t)).count() == 1 and not (tmp_path / "t.old").exists()
+
+
+def test_related_rows_are_all_there(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(80)], "vec_id long, embedding array<double>")
+    q = v.filter("vec_id = 0")
+    assert retrieval.related(v, q, 0.0).count() == 79 and retrieval.related(v, q, 0.0, most=5).count() == 5
+    assert retrieval.related(v, q, 0.9, most=0).count() == 0
+
+
+def test_density_clusters(spark):
+    rows = [(i, [1.0, 0.001 * i, 0.0]) for i in range(12)] + [(20 + i, [0.0, 0.001 * i, 1.0]) for i in range(12)] + [(50, [0.5, 5.0, 0.5]), (51, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.cluster for r in clusters.density_clusters(v, cut=0.2, core=3).collect()}
+    assert {got[i] for i in range(12)} == {0} and {got[20 + i] for i in range(12)} == {20} and got[50] == -1 and 51 not in got
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("b", 1)], "k string, v int")
     out = str(tmp_path / "j")
@@ -228,6 +281,16 @@ def test_models_fail_by_row(spark):
     rows = {r.n: (r.out, r.status, r.error_type) for r in providers.with_model(df, "t", Picky(), "out", "string").collect()}
     assert rows == {1: ("A", "completed", None), 2: (None, "failed", "RuntimeError"), 3: (None, "skipped", None)}
 
+    class Short:
+        model = "short"
+
+        def __call__(self, texts):
+            return texts[:-1]
+
+    rows = {r.n: (r.out, r.status, r.error_type) for r in providers.with_model(df, "t", Short(), "out", "string").collect()}
+    assert rows == {1: (None, "failed", "ValueError"), 2: (None, "failed", "ValueError"), 3: (None, "skipped", None)}
+    assert providers.finished("", None) == providers.NO_ANSWER and providers.finished("x", "length").endswith("value.]") and providers.finished("x", "stop") == "x"
+
 
 def test_answers(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id long, text string")
