@@ -15,26 +15,49 @@ from lumenfold import runtime
 from lumenfold.llm.terms import SPACE
 from lumenfold.llm.vectors import linked
 
-#: Short forms of given names, by full name.
+#: Well-known English short forms that no rule makes of the full name; a parameter of ``link_names``. Short
+#: forms that are a part of the name with or without an ending (Sam, Rob, Leo, Tilli) follow from ``ENDINGS``.
 NICKNAMES = {
-    "alexander": "alex al sandy sasha xander alec lex", "alexandra": "alex sandra sandy sasha lexi", "andrew": "andy drew", "anna": "annie ann", "anselm": "ansel selmo", "anthony": "tony ant", "barbara": "barb babs", "benjamin": "ben benny benji benjy", "bernard": "bernie", "catherine": "cathy kate katie cat",
-    "charles": "charlie chuck chas", "charlotte": "charlie lottie lotte char", "chiara": "kiki", "christina": "chris tina chrissie", "christopher": "chris kit topher", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dorothea": "dora dot dottie thea dorothy doro", "dorothy": "dot dottie dolly",
-    "edith": "edie", "edward": "ed eddie ted teddy ned", "eleanor": "ellie nell nora", "elizabeth": "liz lizzie beth betty eliza bess libby lisa elsie betsy", "emily": "em emmy", "ferdinand": "ferdie nando", "frances": "fran fanny", "francis": "frank", "francisco": "paco pancho paquito cisco fran kiko frank", "frederick": "fred freddie freddy fritz rick", "gabriella": "gabby gabi gaby ella bella", "george": "georgie",
-    "gerald": "gerry jerry", "gregory": "greg", "hamza": "hamzi", "harold": "harry hal", "henry": "harry hank hal", "ingrid": "inga inge", "isabella": "izzy bella isa ella belle", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "johannes": "hans hannes jo johann jan", "john": "jack johnny jon",
-    "jonathan": "jon", "joseph": "joe joey jo", "josephine": "jo josie josy josi fifi", "joshua": "josh", "katherine": "kate katie kathy kat kitty kath", "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len lenny leo", "leopold": "leo poldi pold", "lubomir": "lubo lubos mirek", "margaret": "maggie meg peggy margie marge greta rita madge daisy",
-    "matthew": "matt", "michael": "mike mick mickey micky mikey", "nathaniel": "nat nate", "nicholas": "nick nicky nico niko klaus claus", "ottilie": "otti tilly tilli odile ottie", "patricia": "pat patty trish", "patrick": "pat paddy", "peter": "pete", "philip": "phil", "priya": "pri", "quentin": "quint quin", "rebecca": "becky becca",
-    "renee": "nee ren", "richard": "dick rick ricky rich richie", "robert": "bob bobby rob robbie bert", "ronald": "ron ronnie", "samantha": "sam", "samuel": "sam sammy", "sarah": "sally", "stephen": "steve", "susannah": "sue susie susan suzy suzie sukie susi", "susan": "sue susie suzy", "takeshi": "take tak", "theodore": "ted teddy theo", "theresa": "terry tess",
-    "thomas": "tom tommy", "timothy": "tim", "ulrike": "uli ulli rike ulla", "victoria": "vicky vicki tori vic", "walter": "walt wally", "wanjiru": "shiru ciru", "william": "will bill billy willy liam willie", "yusuf": "yus joe", "zuzana": "zuzka zuza zuzi",
+    "alexander": "sandy sasha alec", "alexandra": "sandy sasha", "andrew": "drew", "anna": "annie", "anthony": "tony", "catherine": "kate katie", "charles": "charlie chuck", "charlotte": "lottie", "christopher": "kit topher", "deborah": "debbie", "dorothea": "dot dottie dolly dora", "dorothy": "dot dottie dolly dora",
+    "edward": "ted teddy ned", "eleanor": "ellie nell nora", "elizabeth": "betty liz lizzie eliza bess libby lisa elsie betsy", "frances": "fran fanny", "francis": "frank", "francisco": "paco pancho paquito frank", "frederick": "fritz rick", "gabriella": "gaby ella bella", "gerald": "jerry", "harold": "harry hal", "henry": "harry hank hal",
+    "isabella": "izzy ella", "jacob": "jake", "james": "jim jimmy jamie", "johannes": "hans jan", "john": "jack johnny", "jonathan": "jon", "joseph": "joey", "josephine": "fifi", "katherine": "kate katie kitty", "lawrence": "larry", "margaret": "peggy maggie meg greta daisy rita madge", "matthew": "matt", "michael": "mike mick mickey micky",
+    "nathaniel": "nate", "ottilie": "tilly tilli", "nicholas": "nick nicky klaus claus nico niko", "patrick": "paddy", "patricia": "patty trish", "rebecca": "becky", "richard": "dick rick ricky", "robert": "bob bobby", "sarah": "sally", "stephen": "steve", "susannah": "sue suzy suzie sukie suki", "susan": "sue suzy suzie", "theodore": "ted teddy", "theresa": "tess terry", "timothy": "tim", "victoria": "vicky tori", "william": "bill billy liam willie willy",
 }
+#: Endings that a short form adds to a part of the full name.
+ENDINGS = ("", "y", "ie", "i", "ey", "o", "a", "e", "s", "ek", "ka", "ito", "ita")
+#: Legal forms at the end of names of organisations.
+LEGAL_FORMS = set("ltd limited inc incorporated corp corporation co company llc llp lp plc gmbh mbh ag kg kgaa ohg ug ev eg sa sarl sas srl spa bv nv oy ab aps pty".split())
 #: Forms of address, in several languages.
 TITLES = set("mr mrs ms miss mx dr prof professor sir madam mme mlle m monsieur herr frau fraulein senor senora sr sra don dona rev fr".split())
 #: Words that carry no meaning in names of organisations and roles.
 FILLERS = set("the of for and a an der die das des von of la le les de du del".split())
 
-_FORMAL: dict[str, list[str]] = {}
-for _full, _short in NICKNAMES.items():
-    for _s in _short.split():
-        _FORMAL.setdefault(_s, []).append(_full)
+
+def formal_names(nicknames: dict[str, str]) -> dict[str, list[str]]:
+    """Full names of each short form."""
+    out: dict[str, list[str]] = {}
+    for full, short in nicknames.items():
+        for s in short.split():
+            out.setdefault(s, []).append(full)
+    return out
+
+
+_FORMAL = formal_names(NICKNAMES)
+
+
+def stems(full: str) -> list[str]:
+    """Parts of a full name that a short form may begin with: beginnings of 2 letters or more, ends of 3 or more."""
+    return list(dict.fromkeys(p for n in range(2, len(full)) for p in (full[:n], full[-n:])[: 1 + (n > 2)]))
+
+
+def bare(short: str) -> list[str]:
+    """What a short form is without one of the endings, a letter doubled before the ending once."""
+    out = []
+    for e in ENDINGS:
+        if short.endswith(e):
+            s = short[: len(short) - len(e)]
+            out += [s, s[:-1]] if e and len(s) > 2 and s[-1] == s[-2] else [s]
+    return list(dict.fromkeys(s for s in out if len(s) >= 2))
 
 
 def plain(text: str) -> str:
@@ -70,11 +93,12 @@ def sound(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", text)
 
 
-def rewritings(name: str) -> list[tuple[str, str, str]]:
+def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL) -> list[tuple[str, str, str]]:
     """Canonical forms of a name as (rule, form, side).
 
     ``both`` forms are equal for variants; of a shortened rule only a ``short`` form meets a ``full`` one. Forms of the
-    rule ``slip`` (one letter left out) make candidates that are looked at again.
+    rule ``slip`` (one letter left out) make candidates that are looked at again. Forms of the rule ``pet`` (parts of a
+    given name) name the letters of the given name beside their side: what is short has fewer than what it stands for.
     """
     words, cut = tokens_of(name)
     if not words:
@@ -82,6 +106,11 @@ def rewritings(name: str) -> list[tuple[str, str, str]]:
     out = [("order", " ".join(sorted(words)), "both"), ("spaces", "".join(words), "both")]
     if len(words) == 2:
         out.append(("spaces", words[1] + words[0], "both"))
+    stem = list(words)
+    while len(stem) > 1 and stem[-1].replace(".", "") in LEGAL_FORMS:
+        stem.pop()
+    if len(stem) < len(words):
+        out.append(("legal", " ".join(sorted(stem)), "both"))
     people = [words]
     if len(words) >= 3:
         inner = [w for i, w in enumerate(words) if not (len(w) == 1 and 0 < i < len(words) - 1)]
@@ -93,10 +122,18 @@ def rewritings(name: str) -> list[tuple[str, str, str]]:
     for p in people:
         out.append(("middle", " ".join(sorted(p)), "both"))
         out.append(("sound", " ".join(sorted(map(sound, p))), "both"))
-        if 2 <= len(p) <= 3:
+        if 2 <= len(p) <= 3 and not cut:
             for i in (0, len(p) - 1):
-                for full in _FORMAL.get(p[i], []):
-                    out.append(("nickname", " ".join(sorted([*p[:i], full, *p[i + 1 :]])), "both"))
+                rest = " ".join(sorted([*p[:i], *p[i + 1 :]]))
+                if len(rest) < 3:
+                    continue
+                out.append(("nickname", f"{rest}|{p[i]}", "full"))
+                out += [("nickname", f"{rest}|{full}", "short") for full in formal.get(p[i], [])]
+            if len(p[-1]) >= 4:  # a part of the given name, with or without an ending
+                out += [("pet", f"{' '.join(p[1:])}|{s}", f"full:{len(p[0])}") for s in stems(p[0])]
+                out += [("pet", f"{' '.join(p[1:])}|{s}", f"short:{len(p[0])}") for s in bare(p[0]) if len(p[0]) <= 7]
+            if len(p) == 2 and p[0] in formal and len(p[1]) > 2:  # initials of the full name: r. smith, bob smith
+                out += [("initial", f"{full[0]} {p[1]}", "full") for full in formal[p[0]]]
         if len(p) == 2:
             a, b = p
             if len(a) == 1 and len(b) > 2:
@@ -134,18 +171,21 @@ def one_slip(a: str, b: str) -> bool:
     return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[2:] == y[2:] and x[:2] == y[:2][::-1])
 
 
-def link_names(df: DataFrame, scope: str, columns: list[str], *, established: int = 3, share: float = 0.2) -> DataFrame:
-    """Pairs of different spellings inside one ``scope`` that mean the same person, animal, organisation or role.
+def name_entities(df: DataFrame, scope: str, columns: list[str], *, established: int = 3, share: float = 0.2, nicknames: dict[str, str] | None = None) -> DataFrame:
+    """The entity (person, animal, organisation or role) that each spelling inside one ``scope`` means.
 
     Each distinct spelling of a scope is rewritten by all rules (order of parts, spaces, accents, titles, middle
-    initials, nicknames, sound, and shortened: initials, acronyms, cut words; slips of one letter); forms are exploded
-    and equi-joined. A shared full form links at once. A slip links unless both words that differ are ``established``:
-    found in at least that many scopes, the rarer in over ``share`` of the scopes of the other, for a slip is rare. A
-    shortened form links if all full forms it meets mean one entity. Links close transitively.
+    initials, legal forms, sound; slips of one letter; and shortened: nicknames of the table ``nicknames``, parts of a
+    given name with an ending, initials, acronyms, cut words); forms are exploded and equi-joined. A link is scored by
+    the rarity of its rewriting. A form that keeps all that a name says links at once. A slip links unless both words
+    that differ are ``established``: found in at least that many scopes, the rarer in over ``share`` of the scopes of the
+    other, for a slip is rare. A shortened form scores 1 over the number of entities in its scope that it can mean by one
+    rule, and links only at 1. Links close transitively.
 
-    Null lists, null and blank items are skipped; repeats count once; a null scope is left out; no rows, no pairs.
-    Result: ``<scope>, name_a, name_b`` with name_a < name_b by code point.
+    Null lists, null and blank items are skipped; repeats count once; a null scope is left out; no rows, no entities.
+    Result: ``<scope>, name, entity``.
     """
+    formal = _FORMAL if nicknames is None else formal_names(nicknames)
     spark = df.sparkSession
     lists = [df.select(F.col(f"`{scope}`").alias("scope"), F.explode(F.col(f"`{c}`")).alias("raw")) for c in columns]
     rows = reduce(DataFrame.unionAll, lists).filter(F.col("scope").isNotNull())
@@ -156,14 +196,14 @@ def link_names(df: DataFrame, scope: str, columns: list[str], *, established: in
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                out = [(i, *f) for i, n in enumerate(part.column("name").to_pylist()) for f in rewritings(n)]
+                out = [(i, *f) for i, n in enumerate(part.column("name").to_pylist()) for f in rewritings(n, formal)]
                 who = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("scope").take(who), part.column("id").take(who), part.column("name").take(who), *(pa.array([o[k] for o in out], pa.string()) for k in (1, 2, 3))], ["scope", "id", "name", "rule", "form", "side"])
 
     forms, forms_at = runtime.stage(rows.mapInArrow(rewrite, "scope string, id long, name string, rule string, form string, side string"), "forms")
-    strict = forms.filter(F.col("rule").isin("order", "spaces", "middle", "nickname", "sound"))
+    strict = forms.filter(F.col("rule").isin("order", "spaces", "middle", "legal", "sound"))
     # star edges: the whole group of a form meets at its least member; rules share one name space of full forms
-    keyed = strict.withColumn("space", F.when(F.col("rule").isin("order", "middle", "nickname"), "words").otherwise(F.col("rule")))
+    keyed = strict.withColumn("space", F.when(F.col("rule").isin("order", "middle", "legal"), "words").otherwise(F.col("rule")))
     stars = keyed.groupBy("scope", "space", "form").agg(F.min("id").alias("a"), F.collect_set("id").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b"))
 
     slips = forms.filter(F.col("rule") == "slip")
@@ -201,12 +241,44 @@ def link_names(df: DataFrame, scope: str, columns: list[str], *, established: in
     root = linked(sure, "names")
     entity = rows.select("id").join(root.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("entity"))
 
-    short = forms.filter(F.col("rule").isin("initial", "acronym", "cut")).select("scope", "rule", "form", "side", "id").distinct().join(entity, "id")
-    full = short.filter(F.col("side") == "full").groupBy("scope", "rule", "form").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).filter(F.col("lo") == F.col("hi"))
-    more = short.filter(F.col("side") == "short").join(full, ["scope", "rule", "form"]).select(F.col("entity").alias("a"), F.col("lo").alias("b")).filter(F.col("a") != F.col("b"))
-    last = linked(more.distinct(), "names-short")
-    done = rows.join(entity, "id").join(last.withColumnRenamed("node", "entity"), "entity", "left").select("scope", "name", F.coalesce("root", "entity").alias("entity"))
+    side = F.split("side", ":")
+    some = forms.filter(F.col("rule").isin("nickname", "pet", "initial", "acronym", "cut")).select("scope", "rule", "form", "id", F.get(side, F.lit(0)).alias("side"), F.coalesce(F.get(side, F.lit(1)).cast("int"), F.lit(0)).alias("long")).distinct()
+
+    def met(rules: tuple[str, ...], of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Short forms of some rules with the entities they can mean; and all short forms."""
+        here = some.filter(F.col("rule").isin(*rules)).join(of, "id")
+        full = here.filter(F.col("side") == "full").groupBy("scope", "rule", "form", F.col("long").alias("longer")).agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
+        short = here.filter(F.col("side") == "short")
+        return short.join(full, ["scope", "rule", "form"]).filter((F.col("rule") != "pet") | (F.col("longer") > F.col("long"))), short
+
+    def sole(found: DataFrame) -> DataFrame:
+        """The score of a short form is 1 over the entities it can mean; two different ones are enough to know that it is less."""
+        one = found.groupBy("scope", "entity", "rule").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo") == F.col("hi"))
+        return one.select(F.col("entity").alias("a"), F.col("lo").alias("b")).filter(F.col("a") != F.col("b"))
+
+    def joined(more: DataFrame, name: str, of: DataFrame) -> DataFrame:
+        root_ = linked(more.filter(F.col("a") != F.col("b")).distinct(), name)
+        return of.join(root_.withColumnRenamed("node", "entity"), "entity", "left").select("id", F.coalesce("root", "entity").alias("entity"))
+
+    # given names first, so that an initial finds one entity where a name stands in full and in short
+    named, short = met(("nickname", "pet"), entity)
+    # nicknames of one full name that stands nowhere in the scope
+    alone = short.filter(F.col("rule") == "nickname").join(named.select("scope", "entity").distinct(), ["scope", "entity"], "left_anti")
+    pair = alone.groupBy("scope", "form").agg(F.min("entity").alias("b"))
+    more = sole(named).unionByName(alone.join(pair, ["scope", "form"]).select(F.col("entity").alias("a"), "b"))
+    entity, entity_at = runtime.stage(joined(more, "names-short", entity), "named")
+    entity = joined(sole(met(("initial", "acronym", "cut"), entity)[0]), "names-initial", entity)
+    done = rows.join(entity, "id").select("scope", "name", "entity")
     done, _ = runtime.stage(done, "entities")
+    for path in (forms_at, sure_at, entity_at):
+        runtime.delete_path(spark, path)
+    return done.withColumnRenamed("scope", scope)
+
+
+def link_names(df: DataFrame, scope: str, columns: list[str], **how) -> DataFrame:
+    """Pairs of different spellings of one entity (see ``name_entities``): ``<scope>, name_a, name_b`` with name_a < name_b
+    by code point. An entity of many spellings has many pairs; ``name_entities`` has a row a spelling."""
+    done = name_entities(df, scope, columns, **how).withColumnRenamed(scope, "scope")
     b = done.select(F.col("scope").alias("s"), F.col("entity").alias("e"), F.col("name").alias("name_b"))
     out = done.join(b, (F.col("scope") == F.col("s")) & (F.col("entity") == F.col("e")) & (F.col("name") < F.col("name_b")))
     return out.select(F.col("scope").alias(scope), F.col("name").alias("name_a"), "name_b")

@@ -22,6 +22,26 @@ def test_variants_meet_and_others_do_not(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    ("names_", "groups"),
+    [
+        (["acme ltd", "acme limited", "ACME"], [{"acme ltd", "acme limited", "acme"}]),
+        (["nordlicht gmbh", "nordlicht", "nordsee gmbh"], [{"nordlicht gmbh", "nordlicht"}]),
+        (["bob smithson", "r. smithson", "robert smithson"], [{"bob smithson", "r. smithson", "robert smithson"}]),
+        (["r. smithson", "bob smithson"], [{"r. smithson", "bob smithson"}]),
+        (["ted smithson", "edward smithson", "theodore smithson"], []),
+        (["ulla brandner", "ulrike brandner", "rike brandner"], [{"ulla brandner", "ulrike brandner", "rike brandner"}]),
+        (["jim harding", "jimmy harding"], [{"jim harding", "jimmy harding"}]),
+        (["sue harding", "suzie harding"], [{"sue harding", "suzie harding"}]),
+        (["unknown man", "unknown woman", "old man"], []),
+    ],
+)
+def test_rules(spark, names_, groups):
+    df = spark.createDataFrame([("j", names_)], "journal_id string, characters array<string>")
+    got = {(r.name_a, r.name_b) for r in names.link_names(df, "journal_id", ["characters"]).collect()}
+    assert got == {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([], "journal_id string, named_characters array<string>, characters array<string>")
     assert names.link_names(df, "journal_id", ["named_characters", "characters"]).count() == 0
