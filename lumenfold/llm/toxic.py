@@ -113,30 +113,42 @@ def fit_nnpu(p: Rows, u: Rows, u_weight, prior: float, *, steps: int = 120, rate
     return w, bias
 
 
-def _first_scores(p_docs: list[list[list[str]]], u_docs: list[list[list[str]]]) -> dict[int, float]:
-    """Log odds of features in positive documents against unlabelled ones, to find the telling sentences at first."""
+def _evidence(p_docs: list[list[list[str]]], n_docs: list[list[list[str]]], u_docs: list[list[list[str]]]):
+    """What speaks for a sentence of a positive document before anything is learned: log odds of its features in positive
+    against unlabelled documents, less where documents rated otherwise have them. Returns a function that gives the mean
+    of the eight most telling features, and that of all."""
     import numpy as np
 
-    pos = Counter(f for d in p_docs for f in {f for s in d for f in features(s)})
-    rest = Counter(f for d in u_docs for f in {f for s in d for f in features(s)} if f in pos)
+    def spread(docs: list[list[list[str]]]) -> Counter[int]:
+        return Counter(f for d in docs for f in {f for s in d for f in features(s)})
+
+    pos, neg, rest = spread(p_docs), spread(n_docs), spread(u_docs)
     a, b = max(1, len(p_docs)), max(1, len(u_docs))
-    return {f: float(np.log((n + 0.1) / a) - np.log((rest[f] + 3) / b)) if n > 1 else 0.0 for f, n in pos.items()}
 
+    def of(s: list[str]) -> tuple[float, float]:
+        v = sorted((float(np.log(pos[f] / a) - np.log((rest[f] + 3) / b)) - 2 * min(neg[f], 2) for f in features(s)), reverse=True)
+        return float(np.mean(v[:8])), float(np.mean(v))
+
+    return of
 
-def _common(lists: list[list[int]], least: int = 2) -> Rows:
-    """Rows without features of fewer than ``least`` of them: what one document alone says is no evidence."""
+
+def _common(lists: list[list[int]], sure: list[bool], least: int = 2) -> Rows:
+    """Rows without features of fewer than ``least`` of them, but those of ``sure`` rows: what one document alone says is no
+    evidence unless much else speaks for it."""
     n = Counter(f for x in lists for f in x)
-    return Rows([[f for f in x if n[f] >= least] for x in lists])
+    return Rows([[f for f in x if s or n[f] >= least] for x, s in zip(lists, sure)])
 
 
-def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *, rounds: int = 2, folds: int = 3, prior: float = 0.005, doubt: float = 0.4, categories: tuple[str, ...] = CATEGORIES) -> dict:
+def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *, rounds: int = 2, folds: int = 3, prior: float = 0.005, doubt: float = 0.4, telling: float = 1.7, whole: float = -1.0, categories: tuple[str, ...] = CATEGORIES) -> dict:
     """One scorer a category from confirmed documents and unlabelled text.
 
     A label holds for a document, but a sentence earns it: in each round the best sentence of each positive document,
     as a scorer trained without this document sees it, is its positive example; all sentences of the unlabelled texts
     are unlabelled; and the prior of the next round is the share of those found positive. As raters err, documents in
     which the other documents' scorer finds nothing are left out, at most a share of ``doubt``, and those whose
-    sentence most rated documents hold without this label. The threshold is low among those of the best F1 over the
+    sentence most rated documents hold without this label; but documents with a sentence whose features hardly stand in
+    unlabelled documents and in those rated otherwise (``_evidence`` above ``telling`` and ``whole``) stay, as where
+    ratings are few no other document tells of such a sentence. The threshold is low among those of the best F1 over the
     labelled documents, but above what a text without any known feature scores.
     """
     import numpy as np
@@ -162,8 +174,10 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
         if len(docs) < 3 or not uniq:
             out[c] = None
             continue
-        odds = _first_scores(docs, u_docs)
-        pick = [max(d, key=lambda s: np.mean(sorted((odds.get(f, 0.0) for f in features(s)), reverse=True)[:8])) for d in docs]
+        others = [d for d, y in zip(l_docs, marks) if y is not None and y <= 0.5 and d]
+        speaks = _evidence(docs, others, u_docs)
+        pick = [max(d, key=speaks) for d in docs]
+        sure = [v >= telling and w >= whole for v, w in map(speaks, pick)]
         fold = np.arange(len(docs)) % folds
         kept, p0 = np.ones(len(docs), bool), prior
         for _ in range(rounds):
@@ -171,18 +185,19 @@ def train(labelled: list[tuple[str, dict[str, float]]], unlabelled: list[str], *
             for k in range(folds):
                 own = np.flatnonzero(kept & (fold != k))
                 own = own if len(own) else np.flatnonzero(fold != k)
-                w, bias = fit_nnpu(_common([features(pick[i]) for i in own]), u_rows, weight, p0, steps=40)
+                w, bias = fit_nnpu(_common([features(pick[i]) for i in own], [sure[i] for i in own]), u_rows, weight, p0, steps=40)
                 for i in np.flatnonzero(fold == k):
                     v = [float(w[features(s)].sum() + bias) for s in docs[i]]
                     score[i] = max(v)
-                    pick[i] = docs[i][int(np.argmax(v))]
-            kept = score >= min(0.0, float(np.quantile(score, doubt)))
+                    if not sure[i] or score[i] > 0:
+                        pick[i] = docs[i][int(np.argmax(v))]
+            kept = (score >= min(0.0, float(np.quantile(score, doubt)))) | np.array(sure)
             # a sentence that stands in several rated documents, most of them without this label, did not earn it
             kept &= np.array([seen[c, x] * 2 >= rated[c, x] or rated[c, x] < 3 for x in (" ".join(q) for q in pick)])
             kept = kept if kept.any() else np.ones(len(docs), bool)
             found = float((weight * (u_rows.dot(w) + bias > 0)).sum() / weight.sum())
             p0 = float(np.clip(found, prior / 10, 0.2))
-        w, bias = fit_nnpu(_common([features(pick[i]) for i in np.flatnonzero(kept)]), u_rows, weight, p0)
+        w, bias = fit_nnpu(_common([features(pick[i]) for i in np.flatnonzero(kept)], [sure[i] for i in np.flatnonzero(kept)]), u_rows, weight, p0)
         top = np.array([max((float(w[features(s)].sum() + bias) for s in d), default=-20.0) for d in l_docs])
         y = np.array([np.nan if m is None else float(m > 0.5) for m in marks])
         known = ~np.isnan(y)
@@ -199,7 +214,7 @@ def _joined(parts: list[dict]) -> dict:
     """Scorers of all categories, and the words of their examples by length, the most frequent first."""
     told: Counter[str] = sum((p["told"] for p in parts), Counter())
     known: dict[int, list[str]] = {}
-    for x, _ in sorted(told.items(), key=lambda v: (-v[1], v[0]))[:5000]:
+    for x, _ in sorted(told.items(), key=lambda v: (-v[1], v[0])):
         known.setdefault(len(x), []).append(x)
     return {c: p[c] for p in parts for c in p if c != "told"} | {"known": known}
 
@@ -231,29 +246,33 @@ def _fitted(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabel
     ratings = ratings.filter(some)
     ratings = F.broadcast(ratings) if n_labelled <= 1_000_000 else ratings
     text = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    # what reaches the driver is bounded: by rows, and by characters a row; a label needs its whole text
-    rated = text.filter(F.length("text") <= most_chars).join(ratings, "doc_id").select("text", *CATEGORIES).limit(2 * most_labelled).toArrow().to_pylist()
-    plain = text.filter(few).select(_window("text", most_chars // 10)).limit(2 * most_unlabelled).toArrow().column(0).to_pylist()
-    rated = sorted(((r["text"], {c: r[c] for c in CATEGORIES}) for r in rated), key=lambda x: x[0])
-    sample = spark.sparkContext.broadcast((rated, sorted(plain)))  # bounded by the parameters
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*sample.value, categories=(c,)))], pa.binary())], ["model"])
-
-    # one task a category
-    jobs = spark.createDataFrame([(c,) for c in CATEGORIES], "category string").repartitionByRange(len(CATEGORIES), "category")
-    parts = [pickle.loads(bytes(r[0])) for r in jobs.mapInArrow(fit, "model binary").collect()]
-    return spark.sparkContext.broadcast(_joined(parts))  # bounded: 3 x 2^18 weights
-
-
-def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, most_unlabelled: int = 8_000, most_chars: int = 40_000) -> DataFrame:
+    # bounded by rows, and by characters a row; a label needs its whole text
+    rated = text.filter(F.length("text") <= most_chars).join(ratings, "doc_id").select("text", *CATEGORIES, F.lit(True).alias("rated"))
+    plain = text.filter(few).select(_window("text", most_chars // 2), *[F.lit(None).cast("double").alias(c) for c in CATEGORIES], F.lit(False).alias("rated"))
+
+    def fit(key, table):
+        c = key[0].as_py()
+        rows = table.to_pylist()
+        known = sorted(((r["text"], {x: r[x] for x in CATEGORIES}) for r in rows if r["rated"]), key=lambda x: x[0])
+        rest = sorted(r["text"] for r in rows if not r["rated"])
+        return pa.table({"model": pa.array([pickle.dumps(train(known, rest, categories=(c,)))], pa.binary())})
+
+    # one task a category; the sample does not pass through the driver
+    sample = rated.unionByName(plain).withColumn("category", F.explode(F.array(*map(F.lit, CATEGORIES))))
+    jobs = sample.repartitionByRange(len(CATEGORIES), "category").groupBy("category").applyInArrow(fit, "model binary")
+    parts = [pickle.loads(bytes(r[0])) for r in jobs.collect()]
+    joined = _joined(parts) if parts else {"known": {}}
+    return spark.sparkContext.broadcast({c: None for c in CATEGORIES} | joined)  # bounded: 3 x 2^18 weights, words of the sample
+
+
+def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, most_unlabelled: int = 8_000, most_chars: int = 8_000) -> DataFrame:
     """A score for each category of each document, and whether it applies.
 
     The classifiers are fitted to at most about ``most_labelled`` rated documents of up to ``most_chars`` characters and
-    windows of a tenth of that from ``most_unlabelled`` others, chosen by a hash of the key; every document is scored in
-    whole, by its most telling sentence.
+    windows of half of that from ``most_unlabelled`` others, chosen by a hash of the key, in one task a category; every
+    document is scored in whole, by its most telling sentence. A sentence that just reaches one category (a logit under
+    1) and is far beyond the threshold of another (2.5 logits more) counts for the other only, as sentences of one kind
+    have words of the other.
 
     Null and empty texts score 0; ratings that are null or of unknown documents are not used; a category with fewer
     than 3 confirmed documents scores 0 everywhere; documents that occur twice come out twice; no documents, no rows.
@@ -282,7 +301,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_0
                     v = seen.get(key)
                     if v is None:
                         v = w[features(unmask(s, fitted["known"]))].sum(axis=0) + shift
-                        v = v - 5.0 * (v < v.max() - margin)  # far behind another category: rather that one
+                        v = v - 5.0 * ((v < v.max() - margin) & (v < 1))  # just there and far behind another category
                         if len(seen) < 100_000:
                             seen[key] = v
                     best = v if best is None else np.maximum(best, v)

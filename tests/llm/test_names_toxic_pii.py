@@ -86,6 +86,23 @@ def test_classifier(spark):
     assert toxic.score_texts(df, lab.limit(0)).filter("abusive > 0").count() == 0
 
 
+def test_few_ratings_are_enough_for_what_they_show():
+    """A sentence that one rated document alone shows is found in others, in spite of wrong ratings."""
+    rng = random.Random(2)
+    plain = [f"The {a} {b} {c} the {d}." for a in ("old", "red", "wet", "odd") for b in ("clock", "boat", "lamp", "door") for c in ("left", "met", "saw") for d in ("harbour", "garden", "tower")]
+    bad = ["You worthless fool should vanish from this earth.", "Shut your filthy mouth you pathetic clown.", "I will break every bone in your body tonight."]
+    docs = []
+    for i in range(600):
+        s = [rng.choice(plain) for _ in range(6)]
+        if i % 20 == 0:
+            s.insert(3, bad[i // 20 % 3])
+        docs.append((" ".join(s), i % 20 == 0))
+    rated = [(t, {"abusive": float(y or i == 7), "hateful": None, "sexual": None}) for i, (t, y) in enumerate(docs[:60])]
+    m = toxic.train(rated, [t for t, _ in docs], categories=("abusive",))["abusive"]
+    found = [max(float(m[0][toxic.features(s)].sum() + m[1] - m[2]) for s in toxic.sentences(t)) >= 0 for t, _ in docs]
+    assert sum(f and y for f, (_, y) in zip(found, docs)) >= 28 and sum(f and not y for f, (_, y) in zip(found, docs)) <= 6
+
+
 def test_risk_is_not_negative():
     p, u = toxic.Rows([[1, 2]] * 5), toxic.Rows([[1, 2]] * 5 + [[3]] * 95)
     w, b = toxic.fit_nnpu(p, u, np.ones(100), 0.05)
