@@ -97,8 +97,8 @@ def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL) -> list[tuple[
     """Canonical forms of a name as (rule, form, side).
 
     ``both`` forms are equal for variants; of a shortened rule only a ``short`` form meets a ``full`` one. Forms of the
-    rule ``slip`` (one letter left out) make candidates that are looked at again. Forms of the rule ``pet`` (parts of a
-    given name) name the letters of the given name beside their side: what is short has fewer than what it stands for.
+    rule ``slip`` (one letter left out) make candidates that are looked at again. The rule
+    ``given`` parts a given name from the rest, for ``pet_forms``.
     """
     words, cut = tokens_of(name)
     if not words:
@@ -130,8 +130,7 @@ def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL) -> list[tuple[
                 out.append(("nickname", f"{rest}|{p[i]}", "full"))
                 out += [("nickname", f"{rest}|{full}", "short") for full in formal.get(p[i], [])]
             if len(p[-1]) >= 4:  # a part of the given name, with or without an ending
-                out += [("pet", f"{' '.join(p[1:])}|{s}", f"full:{len(p[0])}") for s in stems(p[0])]
-                out += [("pet", f"{' '.join(p[1:])}|{s}", f"short:{len(p[0])}") for s in bare(p[0]) if len(p[0]) <= 7]
+                out.append(("given", f"{' '.join(p[1:])}|{p[0]}", "both"))
             if len(p) == 2 and p[0] in formal and len(p[1]) > 2:  # initials of the full name: r. smith, bob smith
                 out += [("initial", f"{full[0]} {p[1]}", "full") for full in formal[p[0]]]
         if len(p) == 2:
@@ -160,6 +159,14 @@ def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL) -> list[tuple[
     return list(dict.fromkeys(out))
 
 
+def pet_forms(form: str) -> list[tuple[str, str, int]]:
+    """Parts of a given name (``rest|given``) as (form, side, letters of the given name): what a short form is without its
+    ending meets a part of a longer name."""
+    rest, _, given = form.rpartition("|")
+    out = [(f"{rest}|{s}", "full", len(given)) for s in stems(given)]
+    return out + [(f"{rest}|{s}", "short", len(given)) for s in bare(given) if len(given) <= 7]
+
+
 def one_slip(a: str, b: str) -> bool:
     """One letter changed, added, left out, or two neighbours exchanged."""
     if abs(len(a) - len(b)) > 1 or a == b:
@@ -241,8 +248,19 @@ def name_entities(df: DataFrame, scope: str, columns: list[str], *, established:
     root = linked(sure, "names")
     entity = rows.select("id").join(root.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("entity"))
 
-    side = F.split("side", ":")
-    some = forms.filter(F.col("rule").isin("nickname", "pet", "initial", "acronym", "cut")).select("scope", "rule", "form", "id", F.get(side, F.lit(0)).alias("side"), F.coalesce(F.get(side, F.lit(1)).cast("int"), F.lit(0)).alias("long")).distinct()
+    # parts of given names only where different entities of a scope share the rest of their names
+    person = forms.filter(F.col("rule") == "given").select("scope", "id", "form", F.substring_index("form", "|", 1).alias("rest")).distinct().join(entity, "id")
+    several = person.groupBy("scope", "rest").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).filter(F.col("lo") < F.col("hi")).select("scope", "rest")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, *f) for i, n in enumerate(batch.column("form").to_pylist()) for f in pet_forms(n)]
+            who = pa.array([o[0] for o in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("scope").take(who), pa.array(["pet"] * len(out), pa.string()), pa.array([o[1] for o in out], pa.string()), batch.column("id").take(who), pa.array([o[2] for o in out], pa.string()), pa.array([o[3] for o in out], pa.int32())], ["scope", "rule", "form", "id", "side", "long"])
+
+    pets = person.join(several, ["scope", "rest"], "left_semi").select("scope", "form", "id").mapInArrow(parts, "scope string, rule string, form string, id long, side string, long int")
+    some = forms.filter(F.col("rule").isin("nickname", "initial", "acronym", "cut")).select("scope", "rule", "form", "id", "side", F.lit(0).alias("long"))
+    some = some.unionByName(pets).distinct()
 
     def met(rules: tuple[str, ...], of: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Short forms of some rules with the entities they can mean; and all short forms."""
