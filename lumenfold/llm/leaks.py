@@ -152,11 +152,12 @@ def align(p: list[str], w: list[str], need: int = 1, *, remark: int = 40, remark
 
 
 def _chain(hits: list[tuple[int, int]], gram: int) -> float:
-    """Most passage words covered by hits that ascend in both texts, less what lies between them."""
+    """Most passage words covered by hits that ascend in both texts, less what lies between them. All hits are looked at;
+    ``windows`` bounds how many there can be."""
     most: list[float] = []
     for i, (x, a) in enumerate(hits):
         v = float(gram)
-        for j in range(i - 1, max(-1, i - 60), -1):
+        for j in range(i - 1, -1, -1):
             y, b = hits[j]
             if y < x and b < a:
                 dx, da = x - y, a - b
@@ -166,6 +167,75 @@ def _chain(hits: list[tuple[int, int]], gram: int) -> float:
     return max(most)
 
 
+def _around(p: list[str], w: list[str], x: int, a: int, need: int) -> int:
+    """Words of the passage that stand where they should, give or take two, around place ``a`` of the passage and ``x`` of
+    the text, no further than ``need`` words away."""
+    count = 0
+    for i in range(max(0, a - need), min(len(p), a + need + 3)):
+        j = x + i - a
+        there = w[max(0, j - 2) : j + 3] if j > -3 else []
+        count += p[i] in there or any(near(p[i], b) for b in there)
+    return count
+
+
+def aligned(p: list[str], w: list[str], need: int, least_score: float, *, remark: int = 40, remark_cost: int = 3) -> tuple[int, float, int, int] | None:
+    """What ``align`` finds if it has ``need`` matched words and ``least_score``, else nothing; row by row in numpy.
+
+    A cell holds 1024 times the score plus the matched words, and beside it the first word of its alignment.
+    """
+    import numpy as np
+
+    there = set(w)
+    if sum(a in there for a in p) + 6 < need:
+        return None
+    m, one = len(w), 1024
+    at: dict[str, list[int]] = {}
+    for j, b in enumerate(w):
+        at.setdefault(b, []).append(j)
+    rows = {}
+    for a in set(p):
+        hit = np.zeros(m, bool)
+        hit[[j for b, js in at.items() if near(a, b) for j in js]] = True
+        rows[a] = hit
+    places = np.arange(m)
+    slope = places * one
+    state, first = np.zeros((2, m + 1), np.int64), np.tile(np.arange(m + 1), (2, 1))  # by layer; column 0 stays 0
+    best: tuple[int, float, int, int] | None = None
+    for a in p:
+        new, start = np.zeros((2, m + 1), np.int64), np.zeros((2, m + 1), np.int64)
+        fresh = state[:, :-1] < one
+        np.multiply(state[:, :-1] * ~fresh + (one + 1), rows[a], out=new[:, 1:])
+        start[:, 1:] = np.where(fresh, places, first[:, :-1])
+        up = state[:, 1:] - one
+        better = up > new[:, 1:]
+        new[:, 1:] = np.where(better, up, new[:, 1:])
+        start[:, 1:] = np.where(better, first[:, 1:], start[:, 1:])
+        for layer in (0, 1):
+            x, f = new[layer, 1:], start[layer, 1:]
+            if layer:  # over a remark: the best cell of the first layer among the last words
+                lead = np.r_[np.zeros(remark - 1, np.int64), new[0, :-1]]
+                seen = np.lib.stride_tricks.sliding_window_view(lead, remark)
+                top = seen.argmax(axis=1)
+                jump = seen[places, top] - remark_cost * one
+                better = jump > x
+                x[:] = np.where(better, jump, x)
+                f[:] = np.where(better, start[0][np.maximum(places + top - remark + 1, 0)], f)
+            run = np.maximum.accumulate(x + slope)
+            source = np.maximum.accumulate(np.where(x + slope == run, places, 0))
+            x[:], f[:] = run - slope, f[source]
+            x[x < one] = 0
+        words = new & (one - 1)
+        good = (words >= need) & (new >= least_score * one)
+        if good.any():
+            key = np.where(good, words * (1 << 40) + new, -1)
+            layer, j = np.unravel_index(int(key.argmax()), key.shape)
+            k, s = int(words[layer, j]), int(new[layer, j] >> 10)
+            if best is None or (k, s) > best[:2]:
+                best = (k, float(s), int(start[layer, j]), int(j) - 1)
+        state, first = new, start
+    return best
+
+
 def reaches(p: list[str], w: list[str], need: int, least_score: float, *, remark: int = 40, remark_cost: int = 3) -> bool:
     """Whether some alignment as in ``align`` has ``need`` matched words and ``least_score``; row by row in numpy.
 
@@ -208,6 +278,28 @@ def reaches(p: list[str], w: list[str], need: int, least_score: float, *, remark
     return False
 
 
+def windows(hits: list[tuple[int, int]], words: int, remark: int = 40) -> list[list[tuple[int, int]]]:
+    """Hits (place in the text, place in the passage) of a passage of some ``words``, in order, as groups that an alignment
+    can span. A group covers a bounded stretch: a longer one is cut into overlapping ones, each alignment whole in one."""
+    span = 2 * words + remark + 5
+    groups = [[hits[0]]]
+    for h in hits[1:]:
+        if h[0] - groups[-1][-1][0] > words + remark + 5:
+            groups.append([])
+        groups[-1].append(h)
+    out = []
+    for g in groups:
+        a = g[0][0]
+        while a <= g[-1][0]:
+            part = [h for h in g if a <= h[0] < a + 3 * span] if g[-1][0] - g[0][0] >= 3 * span else g
+            if part:
+                out.append(part)
+            if part is g:
+                break
+            a += 2 * span
+    return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: int = 12, least_score: float = 6.0, gram: int = 3, most_items: int = 200_000, block_words: int = 2_000_000) -> DataFrame:
     """Documents that hold at least ``least`` words of an item's passage in their order.
 
@@ -276,21 +368,16 @@ def _scanner(block: list[tuple[int, list[str]]], gram: int, least: int, least_sc
                     item, p = block[x]
                     need = min(least, len(p))
                     at.sort()
-                    groups = [[at[0]]]
-                    for h in at[1:]:
-                        if h[0] - groups[-1][-1][0] > len(p) + 45:
-                            groups.append([])
-                        groups[-1].append(h)
                     best = None
-                    for g in groups:
-                        if _chain(g, gram) < min(need, 5):
-                            continue
+                    for g in windows(at, len(p)):
                         lo = max(0, g[0][0] - g[0][1] - 15)
                         there = words[lo : g[-1][0] + len(p) - g[-1][1] + 15]
-                        if not reaches(p, there, need, min(least_score, need / 2)):
+                        # one clean run is enough if all words needed stand around it, though misspelled
+                        if _chain(g, gram) < min(need, 5) and max(_around(p, words, x, a, need) for x, a in g) < need:
                             continue
-                        r = align(p, there, need)
-                        if r[0] >= need and r[1] >= min(least_score, need / 2) and (best is None or r > best[0]):
+                        enough = min(least_score, need / 2)
+                        r = aligned(p, there, need, enough) if reaches(p, there, need, enough) else None
+                        if r and (best is None or r > best[0]):
                             best = (r, lo)
                     if best:
                         spans = spans or spans_of(t)

@@ -60,3 +60,37 @@ def test_quick_test_agrees_with_alignment():
         w = [rng.choice(vocab) for _ in range(10)] + [x for x in p if rng.random() < 0.85] + [rng.choice(vocab) for _ in range(5)]
         k, s, _, _ = leaks.align(p, w, 8)
         assert leaks.reaches(p, w, 8, 5) >= (k >= 8 and s >= 5)
+
+
+def test_alignment_in_rows_agrees_with_the_table():
+    import random
+
+    rng = random.Random(5)
+    vocab = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda", *[f"w{i}" for i in range(30)]]
+    same = 0
+    for n in range(150):
+        p = [rng.choice(vocab) for _ in range(18)]
+        mid = [x for x in p if rng.random() < 0.9]
+        mid[6:6] = ["zz"] * (20 if n % 3 == 0 else 0)
+        w = [rng.choice(vocab) for _ in range(12)] + mid + [rng.choice(vocab) for _ in range(9)]
+        want, got = leaks.align(p, w, 8), leaks.aligned(p, w, 8, 4)
+        assert (got is None) == (want[0] < 8 or want[1] < 4)
+        if got:
+            assert got[0] >= want[0] and 0 <= got[2] <= got[3] < len(w)
+            same += got == want
+    assert same > 120
+
+
+def test_stretches_are_bounded_and_lose_nothing():
+    hits = [(i, i % 20) for i in range(0, 5000, 2)]
+    parts = leaks.windows(hits, 20)
+    assert {h for g in parts for h in g} == set(hits) and max(g[-1][0] - g[0][0] for g in parts) <= 3 * 85
+    assert all(any(g[0][0] <= a and a + 65 <= g[-1][0] + 2 for g in parts) for a in range(0, 4900, 7))
+
+
+def test_one_clean_run_and_repeats(spark, items):
+    w = PASSAGE.split()
+    slips = w[:12]
+    for i in (3, 6, 9):
+        slips[i] = slips[i][:-1] + "q"
+    assert found(spark, items, " ".join(slips), "once the orchard " * 400 + PASSAGE + " once the orchard" * 400) == [(0, 1), (1, 1)]
