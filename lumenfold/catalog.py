@@ -495,9 +495,16 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("session_start", "session_end")})
 
 
+def _all() -> None:
+    """The queries of the second module are added when they are asked for; it uses this one."""
+    from lumenfold import catalog_plans  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

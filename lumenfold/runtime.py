@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, local mode) a folder is made on this machine and
-    removed when the process ends.
+    Only where the setting is missing and Spark runs on this machine alone (tests) a folder is made here and removed when
+    the process ends; on a cluster the missing setting is an error, as executors have no folder in common.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lumenfold-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(f"file://{made}")

@@ -55,6 +55,16 @@ class HttpChat:
         return out
 
 
+class RuleChat:
+    """Answers by a function of the prompt (one that the workers can import), for tests and dry runs."""
+
+    def __init__(self, rule: Callable[[str], str], model: str = "rule"):
+        self.rule, self.model = rule, model
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self.rule(p) for p in prompts]
+
+
 #: What stands for an empty answer and after one that was cut off.
 NO_ANSWER = "[No analysis returned by chat model.]"
 CUT_OFF = "\n\n[The model reached the generation limit. Rerun with a larger --num-predict value.]"

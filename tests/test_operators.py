@@ -15,6 +15,18 @@ def one(spark, c):
     return spark.range(1).select(c).first()[0]
 
 
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from lumenfold import runtime
+
+    conf = lambda v: N(get=lambda *_: v)
+    far = N(sparkContext=N(master="spark://host:7077", getCheckpointDir=lambda: None), conf=conf(None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(far)
+    assert runtime.shared_dir(N(sparkContext=far.sparkContext, conf=conf("hdfs://x/y/"))) == "hdfs://x/y"
+
+
 def test_text_functions(spark):
     v = lambda x: F.lit(x)
     assert one(spark, text.preview(v("a  b\nc"), 10)) == "a b c"

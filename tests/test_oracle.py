@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lumenfold import catalog
@@ -24,7 +25,7 @@ def cells(df):
     def one(x):
         if hasattr(x, "tolist"):
             x = x.tolist()
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "null"
         return repr(round(x, 6)) if isinstance(x, float) else repr(x)
 
