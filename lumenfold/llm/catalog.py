@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenfold.llm import leaks, names, pieces, pii, terms, toxic, vectors
-from lumenfold.runtime import collect_bounded, table
+from lumenfold.runtime import collect_bounded, stage, table
 
 FIELDS = (("dreams", ("tags",)), ("dream_features", ("themes", "objects")))
 
@@ -98,11 +99,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p.select("entry_no", F.when(F.col("n_forced") > 0, "forced").otherwise("natural").alias("cut"))
 
 
+def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each long entry put together again from its pieces, as a digest, and whether a piece breaks a rule."""
+    p = p6_pieces(spark, d)
+    before = F.lag("end_char", 1, 0).over(Window.partitionBy("entry_no").orderBy("piece_no"))  # the pieces of one text
+    p = p.withColumn("before", before).withColumn("fresh", F.expr("substring(piece, CAST(before - first_char + 1 AS INT))"))
+    wrong = (F.length("piece") > 1500) | (F.length("piece") != F.col("end_char") - F.col("first_char")) | (F.col("before") - F.col("first_char") > 150)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "fresh"))), lambda x: x["fresh"]), "")
+    return p.groupBy("entry_no").agg(F.md5(whole).alias("digest"), F.max("end_char").alias("chars"), F.count_if(wrong).alias("broken"))
+
+
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of terms with its counts and significance."""
     return terms.cooccurrence(table(spark, d, "dreams"), "tags").unionByName(terms.cooccurrence(table(spark, d, "dream_features"), "themes"))
 
 
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with its counts, rounded lift and log-likelihood ratio."""
+    return p7_pairs(spark, d).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 3)})
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     p = p7_pairs(spark, d)
     return p.filter((F.col("n") >= 5) & (F.col("n") * F.col("n_records") >= 3 * F.col("n_a") * F.col("n_b"))).select("field", "item_a", "item_b")
@@ -118,6 +134,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return pieces.container_fill(p8_containers(spark, d))
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, containers above their capacity, texts split without need, and pieces in no container."""
+    c = p8_containers(spark, d)
+    c, _ = stage(c, "containers")
+    fill = pieces.container_fill(c).agg(F.count_if(F.col("tokens") > 2048).alias("too_full"))
+    texts = c.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.min("first_token").alias("first"), F.count_if(F.col("container").isNull()).alias("open"))
+    per = texts.agg(F.count("*").alias("documents"), F.count_if(F.col("n") != F.ceil(F.col("tokens") / 2048)).alias("split_needlessly"), F.count_if(F.col("first") != 0).alias("cut_short"), F.coalesce(F.sum("open"), F.lit(0)).alias("left_out"))
+    return per.join(F.broadcast(fill))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items by document, with the stretch of the text and the number of words."""
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -157,6 +183,14 @@ def _terms_sql(t: str, f: str, key: str) -> str:
 _LISTS = [("dreams", "tags", "entry_no"), ("dream_features", "themes", "feature_no"), ("dream_features", "objects", "feature_no")]
 _ALL_TERMS = " UNION ALL ".join(_terms_sql(*x) for x in _LISTS)
 _TOTALS = " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS total FROM {t}" for t, f, _ in _LISTS)
+_COUNTS = f"""
+WITH one AS (SELECT DISTINCT field, rec, term FROM ({" UNION ALL ".join(_terms_sql(*x) for x in _LISTS[:2])})),
+c AS (SELECT field, term, count(*) AS k FROM one GROUP BY ALL), totals AS ({_TOTALS}),
+p AS (SELECT a.field, a.term AS item_a, b.term AS item_b, count(*) AS n FROM one a JOIN one b ON a.field = b.field AND a.rec = b.rec AND a.term < b.term GROUP BY ALL),
+q AS (SELECT p.field, p.item_a, p.item_b, n, x.k AS n_a, y.k AS n_b, t.total AS n_records FROM p JOIN c x ON x.field = p.field AND x.term = p.item_a JOIN c y ON y.field = p.field AND y.term = p.item_b JOIN totals t ON t.field = p.field),
+s AS (SELECT *, list_transform([n, n_a - n, n_b - n, n_records - n_a - n_b + n, n_records], lambda v: CASE WHEN v > 0 THEN v * ln(v::DOUBLE) ELSE 0.0 END) AS e, list_transform([n_a, n_records - n_a, n_b, n_records - n_b], lambda v: CASE WHEN v > 0 THEN v * ln(v::DOUBLE) ELSE 0.0 END) AS f FROM q)
+SELECT field, item_a, item_b, n, n_a, n_b, n_records, round(n::DOUBLE * n_records / (n_a * n_b), 6) AS lift, round(greatest(0.0, 2 * (list_sum(e) - list_sum(f))), 3) AS llr FROM s
+"""
 _PAIRS = f"""
 WITH one AS (SELECT DISTINCT field, rec, term FROM ({" UNION ALL ".join(_terms_sql(*x) for x in _LISTS[:2])})),
 c AS (SELECT field, term, count(*) AS k FROM one GROUP BY ALL), totals AS ({_TOTALS}),
@@ -173,5 +207,8 @@ def oracle_sql() -> dict[str, str]:
         "p5_terms": f"SELECT field, term, occurrences, records, {verdict} AS verdict FROM ({freq}) JOIN ({_TOTALS}) USING (field)",
         "p5_found": f"SELECT field, term, {verdict} AS verdict FROM ({freq}) JOIN ({_TOTALS}) USING (field) WHERE {verdict} IS NOT NULL",
         "p6_found": r"SELECT entry_no, CASE WHEN regexp_matches(text, '\S{1000}\S{501}') THEN 'forced' ELSE 'natural' END AS cut FROM dreams WHERE length(text) > 1500",
+        "p6_rebuilt": "SELECT entry_no, md5(text) AS digest, length(text) AS chars, 0 AS broken FROM dreams WHERE length(text) > 1500",
         "p7_found": _PAIRS,
+        "p7_counts": _COUNTS,
+        "p8_totals": "SELECT count(*) AS documents, 0 AS too_full, 0 AS split_needlessly, 0 AS cut_short, 0 AS left_out FROM documents WHERE length(text) > 0",
     }
