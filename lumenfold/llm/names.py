@@ -93,12 +93,12 @@ def sound(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", text)
 
 
-def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL) -> list[tuple[str, str, str]]:
+def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL, full_names: frozenset[str] = frozenset(NICKNAMES)) -> list[tuple[str, str, str]]:
     """Canonical forms of a name as (rule, form, side).
 
     ``both`` forms are equal for variants; of a shortened rule only a ``short`` form meets a ``full`` one. Forms of the
-    rule ``slip`` (one letter left out) make candidates that are looked at again. The rule
-    ``given`` parts a given name from the rest, for ``pet_forms``.
+    rule ``slip`` (one letter left out) make candidates that are looked at again. The rule ``given`` parts a given name
+    from the rest, for ``pet_forms``. ``formal`` has the full names of each short form of a table, ``full_names`` all.
     """
     words, cut = tokens_of(name)
     if not words:
@@ -127,7 +127,8 @@ def rewritings(name: str, formal: dict[str, list[str]] = _FORMAL) -> list[tuple[
                 rest = " ".join(sorted([*p[:i], *p[i + 1 :]]))
                 if len(rest) < 3:
                     continue
-                out.append(("nickname", f"{rest}|{p[i]}", "full"))
+                if p[i] in full_names:  # others have no short form in the table
+                    out.append(("nickname", f"{rest}|{p[i]}", "full"))
                 out += [("nickname", f"{rest}|{full}", "short") for full in formal.get(p[i], [])]
             if len(p[-1]) >= 4:  # a part of the given name, with or without an ending
                 out.append(("given", f"{' '.join(p[1:])}|{p[0]}", "both"))
@@ -193,6 +194,7 @@ def name_entities(df: DataFrame, scope: str, columns: list[str], *, established:
     Result: ``<scope>, name, entity``.
     """
     formal = _FORMAL if nicknames is None else formal_names(nicknames)
+    full_names = frozenset(NICKNAMES if nicknames is None else nicknames)
     spark = df.sparkSession
     lists = [df.select(F.col(f"`{scope}`").alias("scope"), F.explode(F.col(f"`{c}`")).alias("raw")) for c in columns]
     rows = reduce(DataFrame.unionAll, lists).filter(F.col("scope").isNotNull())
@@ -203,7 +205,7 @@ def name_entities(df: DataFrame, scope: str, columns: list[str], *, established:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                out = [(i, *f) for i, n in enumerate(part.column("name").to_pylist()) for f in rewritings(n, formal)]
+                out = [(i, *f) for i, n in enumerate(part.column("name").to_pylist()) for f in rewritings(n, formal, full_names)]
                 who = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("scope").take(who), part.column("id").take(who), part.column("name").take(who), *(pa.array([o[k] for o in out], pa.string()) for k in (1, 2, 3))], ["scope", "id", "name", "rule", "form", "side"])
 
@@ -260,7 +262,7 @@ def name_entities(df: DataFrame, scope: str, columns: list[str], *, established:
 
     pets = person.join(several, ["scope", "rest"], "left_semi").select("scope", "form", "id").mapInArrow(parts, "scope string, rule string, form string, id long, side string, long int")
     some = forms.filter(F.col("rule").isin("nickname", "initial", "acronym", "cut")).select("scope", "rule", "form", "id", "side", F.lit(0).alias("long"))
-    some = some.unionByName(pets).distinct()
+    some, some_at = runtime.stage(some.unionByName(pets).distinct(), "short-forms")
 
     def met(rules: tuple[str, ...], of: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Short forms of some rules with the entities they can mean; and all short forms."""
@@ -288,7 +290,7 @@ def name_entities(df: DataFrame, scope: str, columns: list[str], *, established:
     entity = joined(sole(met(("initial", "acronym", "cut"), entity)[0]), "names-initial", entity)
     done = rows.join(entity, "id").select("scope", "name", "entity")
     done, _ = runtime.stage(done, "entities")
-    for path in (forms_at, sure_at, entity_at):
+    for path in (forms_at, sure_at, entity_at, some_at):
         runtime.delete_path(spark, path)
     return done.withColumnRenamed("scope", scope)
 
