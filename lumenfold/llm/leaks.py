@@ -68,19 +68,48 @@ def spans_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(fold(text))]
 
 
-def passages(items: list[tuple[int, str]], *, standard: int = 3) -> list[tuple[int, list[str]]]:
-    """Words of the passage of each item: without sentences that stand in ``standard`` or more different items."""
-    split = {i: [s for s in re.split(r"(?<=[.!?:])\s+", t or "") if s] for i, t in items}
-    key = {s: " ".join(words_of(s)) for ss in split.values() for s in ss}
-    seen = Counter(k for ss in split.values() for k in {key[s] for s in ss})
+def sentences_of(text: str) -> list[str]:
+    """Normalised sentences of an item."""
+    return [" ".join(words_of(s)) for s in re.split(r"(?<=[.!?:])\s+", text) if s]
+
+
+def passages(items: list[tuple[int, str]], *, standard: int = 3, common: set[str] | None = None) -> list[tuple[int, list[str]]]:
+    """Words of the passage of each item: without sentences that stand in ``standard`` or more different items (``common``
+    has them, if these items are not all)."""
+    split = {i: sentences_of(t or "") for i, t in items}
+    if common is None:
+        seen = Counter(k for ss in split.values() for k in set(ss))
+        common = {k for k, n in seen.items() if n >= standard}
     out = []
     for i, ss in split.items():
-        w = [x for s in ss if seen[key[s]] < standard for x in key[s].split()]
+        w = [x for s in ss if s not in common for x in s.split()]
         if w:
             out.append((i, w))
     return out
 
 
+def _item_blocks(items: DataFrame, key: str, text: str, most: int, standard: int = 3) -> Iterator[list[tuple[int, list[str]]]]:
+    """Passages of all items, at most about ``most`` items at a time on the driver."""
+    rows = items.select(F.col(f"`{key}`").alias("i"), F.col(f"`{text}`").alias("t")).filter(F.col("i").isNotNull())
+    blocks = -(-max(1, rows.count()) // most)
+    if blocks == 1:
+        yield passages([(r[0], r[1]) for r in rows.collect()])
+        return
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, s) for i, t in enumerate(batch.column(1).to_pylist()) for s in set(sentences_of(t or ""))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string())], ["i", "s"])
+
+    kind = rows.schema["i"].dataType.simpleString()
+    said = rows.mapInArrow(spread, f"i {kind}, s string").distinct()
+    common, _ = runtime.stage(said.groupBy("s").count().filter(F.col("count") >= standard).select("s"), "standard-sentences")
+    for b in range(blocks):
+        here = F.pmod(F.xxhash64("i"), F.lit(blocks)) == b
+        own = common.join(said.filter(here).select("s").distinct(), "s", "left_semi")
+        yield passages([(r[0], r[1]) for r in rows.filter(here).collect()], common={r[0] for r in own.collect()})
+
+
 @lru_cache(maxsize=1 << 18)
 def near(a: str, b: str) -> bool:
     """Same word but for one slip of the fingers; two in words of eight letters or more."""
@@ -304,7 +333,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", te
     """Documents that hold at least ``least`` words of an item's passage in their order.
 
     One Aho-Corasick automaton over all runs of ``gram`` words of the normalised passages is built for each block of
-    items (``block_words`` words bound what a task holds); each document is normalised and scanned once a block; where
+    items (``block_words`` words bound what a task holds, ``most_items`` items what the driver holds at a time); each document is normalised and scanned once a block; where
     it meets runs of an item, the stretch around them is aligned with the passage, so that changed, missing and added
     words and one inserted remark are allowed for. Words are folded for case, accents, look-alikes, markup and signs.
 
@@ -312,23 +341,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", te
     stand there; repeated rows give a row each; no items or documents, no rows.
     Result: ``<doc_key>, <item_key>, n_words, score, first_char, end_char`` (the stretch in the original text).
     """
-    rows = runtime.collect_bounded(items.select(item_key, item_text), most_items, "the table of test items")
-    found = passages([(r[0], r[1]) for r in rows if r[0] is not None])
     kinds = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"d {kinds[0]}, i {kinds[1]}, n_words int, score double, first_char long, end_char long"
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for p in found:
-        if size > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(p)
-        size += len(p[1])
     source = docs.select(F.col(f"`{doc_key}`").alias("d"), F.col(f"`{text}`").alias("t")).filter(F.length("t") > 0)
-    out = None
-    for block in blocks:
-        part = source.mapInArrow(_scanner(block, gram, least, least_score), schema)
-        out = part if out is None else out.unionByName(part)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for found in _item_blocks(items, item_key, item_text, most_items):
+        block: list[tuple[int, list[str]]] = []
+        size = 0
+        for n, p in enumerate(found):
+            block.append(p)
+            size += len(p[1])
+            if size > block_words or n == len(found) - 1:
+                out = out.unionByName(source.mapInArrow(_scanner(block, gram, least, least_score), schema))
+                block, size = [], 0
     return out.withColumnRenamed("d", doc_key).withColumnRenamed("i", item_key)
 
 

@@ -47,6 +47,9 @@ def test_long_text_and_repeats(spark, items):
 def test_blocks_agree_and_empty_tables(spark, items):
     df = spark.createDataFrame([(1, PASSAGE), (2, OTHER)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(df, items, block_words=1).collect()) == [(1, 1), (2, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(df, items, most_items=1).collect()) == [(1, 1), (2, 2)]
+    asked = spark.createDataFrame([(7, "Read this. What does the dreamer do last?")], "doc_id long, text string")
+    assert leaks.find_leaks(asked, items, most_items=1, least=3).count() == 0  # standard sentences are known over all blocks
     assert leaks.find_leaks(df.limit(0), items).count() == leaks.find_leaks(df, items.limit(0)).count() == 0
 
 
