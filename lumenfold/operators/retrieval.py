@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -187,21 +188,25 @@ def fuse(hits: DataFrame, *, by: str, query: str, key: str, most: int, constant:
     return a.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select(by, key, F.round("s", 8).alias("fused"), F.round("best", 6).alias("best"), "matched", "place")
 
 
-def pooled(lists: list[DataFrame], *, query: str, key: str) -> DataFrame:
-    """Union of several hit lists without repeats, in an order that tells nothing: by SHA-256 of query and key."""
-    every = lists[0].select(query, key)
-    for x in lists[1:]:
-        every = every.unionByName(x.select(query, key))
+def pooled(lists: list[DataFrame], *, query: str, key: str, values: list[str] | None = None) -> DataFrame:
+    """Union of several hit lists without repeats, in an order that tells nothing: by SHA-256 of query and key. ``values``
+    are kept from the last list that has the key."""
+    kept = values or []
+    every = reduce(DataFrame.unionByName, [x.select(query, key, F.struct(F.lit(i).alias("_list"), *kept).alias("_v")) for i, x in enumerate(lists)])
+    every = every.groupBy(query, key).agg(F.max_by("_v", "_v._list").alias("_v")).select(query, key, *[F.col(f"_v.{c}").alias(c) for c in kept])
     digest = F.sha2(F.concat(F.col(query).cast("string"), F.lit("\0"), F.col(key).cast("string")), 256)
     w = Window.partitionBy(query).orderBy("digest")
-    return every.distinct().withColumn("digest", digest).withColumn("place", F.row_number().over(w))
+    return every.withColumn("digest", digest).withColumn("place", F.row_number().over(w))
 
 
-def rank_context(hits: DataFrame, documents: DataFrame, *, query: str, key: str, text: str, most_chars: int = 2500) -> DataFrame:
-    """Context of each query: its hits in order of rank, each cut to ``most_chars``, between rules."""
+def rank_context(hits: DataFrame, documents: DataFrame, *, query: str, key: str, text: str, most_chars: int = 2500, date: str | None = None, score: str | None = None) -> DataFrame:
+    """Context of each query: its hits in order of rank, each cut to ``most_chars``, between rules; below the key the
+    column ``date`` of the documents and ``score`` of the hits, if they are named."""
     cut = F.when(F.length(text) > most_chars, F.concat(F.substring(text, 1, most_chars), F.lit("\n[TRUNCATED]"))).otherwise(F.col(text))
-    part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col(key).cast("string"), F.lit("\n"), F.coalesce(cut, F.lit("")))
-    rows = hits.join(documents.select(key, text), key).select(query, "rank", part.alias("part"))
+    more = [F.concat(F.lit("DATE: "), F.coalesce(F.col(date).cast("string"), F.lit("")))] if date else []
+    more += [F.concat(F.lit("SCORE: "), F.format_string("%.4f", F.col(score).cast("double")))] if score else []
+    part = F.concat_ws("\n", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col(key).cast("string")), *more, F.coalesce(cut, F.lit("")))
+    rows = hits.join(documents.select(key, text, *([date] if date else [])), key).select(query, "rank", part.alias("part"))
     return rows.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n---\n\n").alias("context"))
 
 

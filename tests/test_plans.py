@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
-from lumenfold.operators import structured
-from lumenfold.plans import extraction
+from lumenfold.operators import retrieval, structured
+from lumenfold.plans import extraction, reports
 from lumenfold.sources.providers import EchoChat
 
 GOOD = {f: ["X  y", "x y"] for f in structured.LISTS} | {"lucidity": False, "lucidity_level": "none"} | {k: v[0] for k, v in structured.ENUMS.items() if k != "lucidity_level"} | {"tone": "calm", "summary": "s"}
@@ -80,3 +80,29 @@ def test_analysis(spark):
 
 def test_excerpt(spark):
     assert spark.range(1).select(text.excerpt(F.lit("a <b>\n& 'c'"))).first()[0] == "a &lt;b&gt; &amp; &#x27;c&#x27;"
+
+
+def test_reports(spark):
+    runs = spark.createDataFrame([("a", "c", "ok", 0.5, None, None), ("b", "d", "error", 0.1, "ValueError", "no")], "embed_model string, collection_name string, status string, retrieval_seconds double, error_type string, error string")
+    hits = spark.createDataFrame([("a", 1, "x", "1/2/2020", "one|two\n", 0.25, 5, 1, "a|b"), ("b", 1, "y", "1/3/2020", "t", None, None, None, None)], "embed_model string, rank int, dream_id string, date string, text string, distance double, relevance int, generic_overlap int, reason string")
+    summary = spark.createDataFrame([("a", 5.0, 5.0, 1, 1)], "embed_model string, mean_relevance double, median_relevance double, relevant long, judged long")
+    r = reports.retrieval_report({"Top k": 1}, runs, hits, summary, target_text="t")
+    assert "- Top k: `1`" in r and "| 1 | x | 1/2/2020 | 0.2500 | 5 | 1 | a\\|b |" in r and "- Scores of 4–5: `1/1`" in r and "**ValueError:** no" in r and "#### 1. y — 1/3/2020" in r
+    cells = spark.createDataFrame([("m", "a", "c", "completed", "yes", None, None, 0.5, 2.0), ("n", "a", "c", "failed", None, "E", "bad", 0.5, None)], "model string, index_name string, collection_name string, status string, answer string, error_type string, error string, retrieval_seconds double, generation_seconds double")
+    r = reports.comparison_report({"Mode": "ask"}, {"q": "?"}, {"k": 1}, cells, hits.filter("embed_model = 'a'").withColumnRenamed("embed_model", "index_name"))
+    assert "## 1. m + a" in r and "- Total time: `2.5` seconds" in r and "### Response\n\nyes" in r and "**E:** bad" in r
+    sizes = spark.createDataFrame([(0, "home", 3), (1, "sea", 2)], "label int, cluster_label string, size long")
+    terms = spark.createDataFrame([(0, 2, "b"), (0, 1, "a")], "label int, rank int, term string")
+    tags = spark.createDataFrame([(0, 1, "t", 3, 1.25)], "label int, rank int, tag string, n long, lift double")
+    members = spark.createDataFrame([(0, 1, "x", None, "a\n b")], "label int, rank int, dream_id string, date string, text string")
+    r = reports.cluster_report({"Dreams": 5}, {}, sizes, terms, tags, members)
+    assert "Distinctive terms: a, b" in r and "`t` (1.2× baseline; 3)" in r and "- **x** (unknown): a b" in r and "## Cluster 1: sea\n\nDreams: 2\n\nDistinctive terms: none" in r
+
+
+def test_pool_keeps_the_last_value_and_context_its_details(spark):
+    a = spark.createDataFrame([(1, "x", 0.1), (1, "y", 0.2)], "q int, k string, score double")
+    b = spark.createDataFrame([(1, "x", 0.9)], "q int, k string, score double")
+    assert {r.k: r.score for r in retrieval.pooled([a, b], query="q", key="k", values=["score"]).collect()} == {"x": 0.9, "y": 0.2}
+    docs = spark.createDataFrame([("x", "text", "1/2/2020")], "k string, t string, date string")
+    c = retrieval.rank_context(b.withColumn("rank", F.lit(1)), docs, query="q", key="k", text="t", date="date", score="score").first().context
+    assert c == "[1] x\nDATE: 1/2/2020\nSCORE: 0.9000\ntext"
