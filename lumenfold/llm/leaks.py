@@ -43,7 +43,7 @@ class _Fold(dict):
 
 _FOLD = _Fold()
 _WORD = re.compile(r"[^\W_]+(?:\0+[^\W_]+)*")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->|&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);", re.S)
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|mark|font|small|sub|sup|wbr)\b", re.I)
 
 

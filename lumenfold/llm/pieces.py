@@ -13,11 +13,12 @@ from lumenfold import runtime
 
 #: Boundary kinds, best first; ``forced`` is a cut inside a run without white space.
 KINDS = ("paragraph", "line", "sentence", "word", "forced", "end")
-_BLOCK = 4_000_000
+_BLOCK = 1_000_000  # characters looked at together; each takes some 150 bytes for a while
 
 
-def _cuts(texts: list[str], limit: int, overlap: int, fill: float):
-    """Cut positions of all texts at once: ``(text, start, end, kind)`` arrays, ends in order."""
+def _cuts(texts: list[str], limit: int, overlap: int, fill: float, done: int = 0):
+    """Cut positions of all texts at once: ``(text, start, end, kind)`` arrays, ends in order. ``done`` is a place where all
+    of them were cut before; cuts follow from there."""
     import numpy as np
 
     space = np.zeros(0x3001, bool)
@@ -61,7 +62,7 @@ def _cuts(texts: list[str], limit: int, overlap: int, fill: float):
             forced.append(s + limit)
             s = s + limit - overlap
     forced = np.array(forced, np.int64)
-    state = np.unique(np.r_[first, last, words, forced]).astype(np.int64)
+    state = np.unique(np.r_[first, first + done, last, words, forced]).astype(np.int64)
     own = owner[np.minimum(state, len(owner) - 1)] if len(owner) else owner
     own = np.searchsorted(last, state, "left") if len(texts) else own
     s = np.maximum(state - overlap, first[own])
@@ -89,7 +90,7 @@ def _cuts(texts: list[str], limit: int, overlap: int, fill: float):
     step = np.searchsorted(state, nxt)
     # pointer doubling: after round t every cut of the first 2^t is marked
     seen = np.zeros(len(state), bool)
-    seen[np.searchsorted(state, first)] = True
+    seen[np.searchsorted(state, first + done)] = True
     while True:
         seen[step[seen]] = True
         twice = step[step]
@@ -98,7 +99,7 @@ def _cuts(texts: list[str], limit: int, overlap: int, fill: float):
         step = twice
     cut = state[seen]
     who = np.searchsorted(last, cut, "left")
-    end_at = cut > first[who]
+    end_at = cut > first[who] + done
     end, who = cut[end_at], who[end_at]
     before = np.r_[0, cut[:-1]][end_at]
     start = np.maximum.reduce([np.where(before > first[who], before - overlap, first[who]), end - limit, first[who]])
@@ -109,12 +110,35 @@ def _cuts(texts: list[str], limit: int, overlap: int, fill: float):
     return who, start - first[who], end - first[who], kind
 
 
+def _long_cuts(text: str, limit: int, overlap: int, fill: float, block: int):
+    """``_cuts`` of one long text, ``block`` characters at a time. A next slice begins before the last kept cut and goes on
+    from it; cuts near the end of a slice are made again, as what follows matters to them."""
+    import numpy as np
+
+    block = max(block, 6 * limit)
+    parts, a, after = [], 0, 0
+    while True:
+        seg = text[a : a + block]
+        _, start, end, kind = _cuts([seg], limit, overlap, fill, after)
+        if a + block >= len(text):
+            parts.append((start + a, end + a, kind))
+            break
+        keep = end <= len(seg) - limit
+        parts.append((start[keep] + a, end[keep] + a, kind[keep]))
+        cut = a + int(end[keep][-1])
+        a = max(0, cut - limit)  # what stands before the cut tells where runs and overlaps begin
+        after = cut - a
+    start, end, kind = (np.concatenate(x) for x in zip(*parts))
+    return np.zeros(len(end), np.int64), start, end, kind
+
+
 def split_texts(df: DataFrame, key: str, text: str, *, limit: int = 1500, overlap: int = 150, fill: float = 0.5) -> DataFrame:
     """Pieces of at most ``limit`` characters (code points) that cover every text in order.
 
     Pointer doubling over the boundaries of a text: each boundary gets its farthest legal successor, counting the
     overlap, a better kind (paragraph, line, sentence, word) being taken if the piece is then at least ``fill`` full;
-    squaring the successor table marks all greedy cuts in a logarithmic number of rounds, for all texts of a batch.
+    squaring the successor table marks all greedy cuts in a logarithmic number of rounds, for all texts of a batch; a text
+    of more than a million characters goes in slices.
     Neighbours share ``overlap`` characters; less if no natural cut is in reach with it; a run of more than ``limit``
     characters without white space is cut by force.
 
@@ -137,7 +161,7 @@ def split_texts(df: DataFrame, key: str, text: str, *, limit: int = 1500, overla
                     size += len(texts[stop])
                     stop += 1
                 part = texts[at:stop]
-                who, start, end, k = _cuts(part, limit, overlap, fill)
+                who, start, end, k = _cuts(part, limit, overlap, fill) if size <= _BLOCK else _long_cuts(part[0], limit, overlap, fill, _BLOCK)
                 many = np.bincount(who, minlength=len(part))
                 hard = np.bincount(who, k == 4, minlength=len(part)).astype(np.int64)
                 no = np.arange(len(who)) - np.r_[0, np.cumsum(many)[:-1]][who] + 1

@@ -27,6 +27,7 @@ def test_ways_to_write_a_passage(spark, items):
         " ".join(w[:8]) + " (and here I had to stop and drink a glass of cold water) " + " ".join(w[8:]),
         PASSAGE.replace("confesses", "confeses").replace("only ", "").replace("patient", "really patient"),
         " ".join(w[4:17]),
+        PASSAGE.replace("every", f'<a href="{"x" * 900}">every</a>'),
     ]
     assert found(spark, items, *texts) == [(i, 1) for i in range(len(texts))]
 

@@ -88,6 +88,19 @@ def test_cuts_hold_whatever_the_text():
         holds(t, limit, rng.randrange(0, max(1, limit // 2)))
 
 
+def test_slices_of_a_long_text_agree():
+    rng = random.Random(7)
+    same = 0
+    for n in range(60):
+        t = "".join(rng.choice(["word ", "a ", "Longer. ", "end.\n", "\n\n", "x" * rng.choice([3, 9, 70])]) for _ in range(400)).strip()
+        limit, overlap = rng.randrange(20, 60), rng.randrange(0, 8)
+        a, b = pieces._cuts([t], limit, overlap, 0.5), pieces._long_cuts(t, limit, overlap, 0.5, 300)
+        assert b[1][0] == 0 and b[2][-1] == len(t) and all(0 < y - x <= limit for x, y in zip(b[1], b[2]))
+        assert all(b[1][i] <= b[2][i - 1] < b[2][i] and b[2][i - 1] - b[1][i] <= overlap for i in range(1, len(b[1])))
+        same += all(x.tolist() == y.tolist() for x, y in zip(a, b))
+    assert same >= 55
+
+
 def test_pieces(spark):
     long = "One two three. " * 300 + "\n\n" + "x" * 4000 + " end"
     df = spark.createDataFrame([(1, long, 7), (2, "short", 7), (3, "", 7), (4, None, 7), (2, "short", 8)], "id long, text string, piece int")
