@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -33,9 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or f"file://{made}").rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """Unused path below the shared folder, in a folder of this application (see ``clear``)."""
-    return f"{shared_dir(spark)}/lumenfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """Unused path below the shared folder, in a folder of this application. What stands there can be read as long as the
+    driver lives: it is deleted when the driver's process ends, or by ``clear``."""
+    folder = f"{shared_dir(spark)}/lumenfold/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_leave, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    """Delete the folder of an application that ends, if its file system can still be reached."""
+    if folder.startswith(("file:", "/")):
+        shutil.rmtree(folder.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # the session may be gone
+        delete_path(spark, folder)
 
 
 def clear(spark: SparkSession) -> None:

@@ -27,6 +27,17 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     assert runtime.shared_dir(N(sparkContext=far.sparkContext, conf=conf("hdfs://x/y/"))) == "hdfs://x/y"
 
 
+def test_staged_tables_are_left_behind_by_nobody(spark, tmp_path):
+    from lumenfold import runtime
+
+    rows, at = runtime.stage(spark.range(3), "x")
+    assert rows.count() == 3 and runtime.new_path(spark, "x") != at
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part").write_text("x")
+    runtime._leave(spark, f"file://{tmp_path}/a")
+    assert not (tmp_path / "a").exists()
+
+
 def test_text_functions(spark):
     v = lambda x: F.lit(x)
     assert one(spark, text.preview(v("a  b\nc"), 10)) == "a b c"
