@@ -265,46 +265,58 @@ def aligned(p: list[str], w: list[str], need: int, least_score: float, *, remark
     return best
 
 
-def reaches(p: list[str], w: list[str], need: int, least_score: float, *, remark: int = 40, remark_cost: int = 3) -> bool:
-    """Whether some alignment as in ``align`` has ``need`` matched words and ``least_score``; row by row in numpy.
+def reaches(cases: list[tuple[list[str], list[str], int, float]], *, remark: int = 40, remark_cost: int = 3) -> list[bool]:
+    """Whether some alignment as in ``align`` of each ``(passage, words, need, least score)`` has as many matched words and
+    that score. All cases go row by row together, those of like size in one matrix."""
+    out = [False] * len(cases)
+    # words that do not stand there can only match as slips, of which there are few
+    open_ = [i for i, (p, w, need, _) in enumerate(cases) if (there := set(w)) and sum(a in there for a in p) + 6 >= need]
+    open_.sort(key=lambda i: (len(cases[i][0]), len(cases[i][1])))
+    for s in range(0, len(open_), 64):
+        part = open_[s : s + 64]
+        for i, good in zip(part, _rows_together([cases[i] for i in part], remark, remark_cost)):
+            out[i] = good
+    return out
 
-    A cell holds 1024 times the score plus the matched words.
-    """
+
+def _rows_together(cases: list[tuple[list[str], list[str], int, float]], remark: int, remark_cost: int) -> list[bool]:
     import numpy as np
 
-    there = set(w)
-    if sum(a in there for a in p) + 6 < need:
-        return False
-    m, one = len(w), 1024
-    at: dict[str, list[int]] = {}
-    for j, b in enumerate(w):
-        at.setdefault(b, []).append(j)
-    rows = {}
-    for a in set(p):
-        hit = np.zeros(m, bool)
-        hit[[j for b, js in at.items() if near(a, b) for j in js]] = True
-        rows[a] = hit
-    slope = np.arange(m) * one
-    state = np.zeros((2, m + 1), np.int64)  # by layer; column 0 stays 0
-    for a in p:
-        new = np.zeros((2, m + 1), np.int64)
-        np.multiply(state[:, :-1] + (one + 1), rows[a], out=new[:, 1:])
-        np.maximum(new[:, 1:], state[:, 1:] - one, out=new[:, 1:])
+    one, k = 1024, len(cases)
+    n, m = max(len(p) for p, *_ in cases), max(len(w) for _, w, *_ in cases)
+    rows = np.zeros((n, k, m), bool)  # what is added to short ones matches nothing
+    for c, (p, w, *_) in enumerate(cases):
+        at: dict[str, list[int]] = {}
+        for j, b in enumerate(w):
+            at.setdefault(b, []).append(j)
+        known: dict[str, list[int]] = {}
+        for i, a in enumerate(p):
+            if a not in known:
+                known[a] = [j for b, js in at.items() if near(a, b) for j in js]
+            rows[i, c, known[a]] = True
+    need = np.array([x[2] for x in cases])[None, :, None]
+    least = np.array([x[3] * one for x in cases])[None, :, None]
+    slope = np.arange(m, dtype=np.int32) * one
+    state = np.zeros((2, k, m + 1), np.int32)  # 1024 times the score plus the matched words, by layer; column 0 stays 0
+    found = np.zeros(k, bool)
+    for i in range(n):
+        new = np.zeros((2, k, m + 1), np.int32)
+        np.multiply(state[:, :, :-1] + (one + 1), rows[i], out=new[:, :, 1:])
+        np.maximum(new[:, :, 1:], state[:, :, 1:] - one, out=new[:, :, 1:])
         for layer in (0, 1):
-            x = new[layer, 1:]
-            if layer:
+            x = new[layer, :, 1:]
+            if layer:  # over a remark: the running maximum of the first layer over the last words
                 lead = new[0].copy()
                 reach = 1
-                while reach < min(remark, m):  # running maximum over the last words
-                    np.maximum(lead[reach:], lead[:-reach].copy(), out=lead[reach:])
+                while reach < min(remark, m):
+                    np.maximum(lead[:, reach:], lead[:, :-reach].copy(), out=lead[:, reach:])
                     reach *= 2
-                np.maximum(x, lead[:-1] - remark_cost * one, out=x)
-            x[:] = np.maximum.accumulate(x + slope) - slope
+                np.maximum(x, lead[:, :-1] - remark_cost * one, out=x)
+            x[:] = np.maximum.accumulate(x + slope, axis=1) - slope
             x[x < one] = 0
-        if (((new & (one - 1)) >= need) & (new >= least_score * one)).any():
-            return True
+        found |= (((new & (one - 1)) >= need) & (new >= least)).any(axis=(0, 2))
         state = new
-    return False
+    return found.tolist()
 
 
 def windows(hits: list[tuple[int, int]], words: int, remark: int = 40) -> list[list[tuple[int, int]]]:
@@ -374,40 +386,38 @@ def _scanner(block: list[tuple[int, list[str]]], gram: int, least: int, least_sc
             auto.make_automaton()
         for batch in batches:
             got = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not where:
-                    continue
-                words = words_of(t)
-                hits: dict[int, list[tuple[int, int]]] = {}
-                ends = None
-                for at, (g, places) in auto.iter(f" {' '.join(words)} "):
-                    if ends is None:
-                        ends = np.cumsum([len(w) + 1 for w in words])
-                    last = int(np.searchsorted(ends, at))
-                    for x, a in places:
-                        hits.setdefault(x, []).append((last - g + 1, a))
-                if not hits:
-                    continue
-                spans = None
-                for x, at in hits.items():
-                    item, p = block[x]
-                    need = min(least, len(p))
-                    at.sort()
-                    best = None
-                    for g in windows(at, len(p)):
-                        lo = max(0, g[0][0] - g[0][1] - 15)
-                        there = words[lo : g[-1][0] + len(p) - g[-1][1] + 15]
-                        # one clean run is enough if all words needed stand around it, though misspelled
-                        if _chain(g, gram) < min(need, 5) and max(_around(p, words, x, a, need) for x, a in g) < need:
-                            continue
-                        enough = min(least_score, need / 2)
-                        r = aligned(p, there, need, enough) if reaches(p, there, need, enough) else None
-                        if r and (best is None or r > best[0]):
-                            best = (r, lo)
-                    if best:
-                        spans = spans or spans_of(t)
-                        (k, s, f, e), lo = best
-                        got.append((d, item, k, s, spans[lo + f][0], spans[lo + e][1]))
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first in range(0, len(docs) if where else 0, 500):
+                cases: list[tuple[int, int, int, list[str], int, float]] = []
+                for d in range(first, min(first + 500, len(docs))):
+                    words = words_of(texts[d])
+                    hits: dict[int, list[tuple[int, int]]] = {}
+                    ends = None
+                    for at, (g, places) in auto.iter(f" {' '.join(words)} "):
+                        if ends is None:
+                            ends = np.cumsum([len(w) + 1 for w in words])
+                        last = int(np.searchsorted(ends, at))
+                        for x, a in places:
+                            hits.setdefault(x, []).append((last - g + 1, a))
+                    for x, at in hits.items():
+                        p = block[x][1]
+                        need = min(least, len(p))
+                        at.sort()
+                        for g in windows(at, len(p)):
+                            # one clean run is enough if all words needed stand around it, though misspelled
+                            if _chain(g, gram) < min(need, 5) and max(_around(p, words, x_, a, need) for x_, a in g) < need:
+                                continue
+                            lo = max(0, g[0][0] - g[0][1] - 15)
+                            cases.append((d, x, lo, words[lo : g[-1][0] + len(p) - g[-1][1] + 15], need, min(least_score, need / 2)))
+                best: dict[tuple[int, int], tuple] = {}
+                for (d, x, lo, there, need, enough), good in zip(cases, reaches([(block[c[1]][1], *c[3:]) for c in cases])):
+                    r = aligned(block[x][1], there, need, enough) if good else None
+                    if r and ((d, x) not in best or r > best[d, x][0]):
+                        best[d, x] = (r, lo)
+                spans: dict[int, list[tuple[int, int]]] = {}
+                for (d, x), ((k, s, f, e), lo) in best.items():
+                    own = spans[d] if d in spans else spans.setdefault(d, spans_of(texts[d]))
+                    got.append((docs[d], block[x][0], k, s, own[lo + f][0], own[lo + e][1]))
             cols = list(zip(*got)) if got else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1]) if got else pa.array([], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], ["d", "i", "n_words", "score", "first_char", "end_char"])
 

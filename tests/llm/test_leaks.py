@@ -63,7 +63,21 @@ def test_quick_test_agrees_with_alignment():
         p = [rng.choice(vocab) for _ in range(14)]
         w = [rng.choice(vocab) for _ in range(10)] + [x for x in p if rng.random() < 0.85] + [rng.choice(vocab) for _ in range(5)]
         k, s, _, _ = leaks.align(p, w, 8)
-        assert leaks.reaches(p, w, 8, 5) >= (k >= 8 and s >= 5)
+        assert leaks.reaches([(p, w, 8, 5)])[0] >= (k >= 8 and s >= 5)
+
+
+def test_cases_together_are_as_one_by_one():
+    import random
+
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(25)]
+    cases = []
+    for _ in range(150):
+        p = [rng.choice(vocab) for _ in range(rng.randrange(5, 30))]
+        w = [rng.choice(vocab) for _ in range(rng.randrange(0, 20))] + [x for x in p if rng.random() < rng.choice([0.5, 0.9])]
+        cases.append((p, w or ["x"], min(12, len(p)), 6.0))
+    got = leaks.reaches(cases)
+    assert got == [leaks.reaches([c])[0] for c in cases] == [leaks.aligned(*c) is not None for c in cases] and 20 < sum(got) < 140
 
 
 def test_alignment_in_rows_agrees_with_the_table():
